@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -68,3 +69,9 @@ def n_words(text: Column) -> Column:
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only ``columns`` of ``df``, by exact name; other columns cannot clash with ours."""
     return df.select(*[df[c] for c in columns])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are done, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

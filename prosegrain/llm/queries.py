@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .license_scan import license_scan
 from .mixing import fair_mix
+from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import BASE, secret_scan, span_text
 from .sharding import shard_documents
+from .token_files import token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select(*cols)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), 4096, end_id=1)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), end_id=2)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_tokens"
@@ -49,6 +59,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
+    "op3_token_files": op3_token_files,
     "op4_sharding": op4_sharding,
     "op5_secret_scan": op5_secret_scan,
     "op8_license_scan": op8_license_scan,
