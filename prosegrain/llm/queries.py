@@ -11,10 +11,12 @@ from .jaccard_join import jaccard_classes
 from .license_scan import license_scan
 from .mixing import fair_mix
 from .packing import pack
+from .parsing import fingerprint_documents
 from .quality_rules import quality_rules
 from .secret_scan import BASE, secret_scan, span_text
 from .sharding import shard_documents
 from .token_files import token_files
+from .toxicity import toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    spans = F.transform("offending", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string")))
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), F.array_join(spans, ",").alias("sentences"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
@@ -62,6 +70,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -69,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_secret_scan": op5_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE: dict[str, str] = {}
