@@ -1,12 +1,56 @@
-"""A training-data pipeline over ``documents``: each stage works on what the one before kept."""
+"""A training-data pipeline over ``documents``: each stage works on what the one before kept.
+
+Toxic documents go, one document of each near-duplicate class stays, secrets
+are replaced by their kind, sources are mixed to their target weights (a
+document taken n times is there n times), and the result is packed into
+sequences of 4096 tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from prosegrain.llm.common import cut
+from prosegrain.llm.jaccard_join import drop_near_copies
+from prosegrain.llm.mixing import mix_documents
+from prosegrain.llm.packing import pack
+from prosegrain.llm.secret_scan import redact_documents
+from prosegrain.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), 0.7)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact_documents(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, 4096, end_id=1)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+#: Neither the trained scores nor the packing can be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, need, release
+from .common import SPACES, cut, drop, need, release
 from .components import components
 
 U = np.uint64
@@ -296,7 +296,7 @@ def set_table(width: int):
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 0) -> DataFrame:
-    """One row a document: id, n_shingles, component_id, text_key (md5 of the text), node (its set)."""
+    """One row a document: id, n_shingles, component_id, text_key (md5 of the text), class (null without a word)."""
     bands = Bands(percent)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
@@ -343,7 +343,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Classes of nodes, then of documents: the least id of a class.
     named = nodes.select("node", "least").join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("class"))
     leasts = named.groupBy(F.col("class").alias("c")).agg(F.min("least").alias("component_id"))
-    by_node = named.join(leasts, F.col("class") == F.col("c")).select(F.col("node").alias("of"), "component_id")
-    own = table.select("id", "key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    by_node = named.join(leasts, F.col("class") == F.col("c")).select(F.col("node").alias("of"), "class", "component_id")
+    own = table.select("id", "key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))  # no word: no node
     out = own.join(by_node, F.col("node") == F.col("of"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("text_key"), "node")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("text_key"), "class")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id, null ids last. Rows without a word all stay."""
+    classes = jaccard_classes(docs, id_col, text_col, **options).where("n_shingles > 0")
+    best = classes.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key")).alias("b"))
+    best = best.select(F.col("b.id").alias("of_id"), F.col("b.text_key").alias("of_key"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.unhex(F.md5(text)).alias("k"), (F.btrim(text, F.lit(SPACES)) == "").alias("blank"))
+    same = F.col("i").eqNullSafe(F.col("of_id")) & (F.col("k") == F.col("of_key"))
+    kept = rows.where("not blank").join(best, same, "left_semi").dropDuplicates(["i", "k"])
+    return kept.select("row.*").unionByName(rows.where("blank").select("row.*"))

@@ -13,7 +13,7 @@ only the slice in which the budget ends is ordered row by row. DataFrame
 functions only.
 
 Defined cases: a null text has size 0; null is a source of its own and comes
-last; repeated rows are separate documents; a source without words gets target
+last; repeated rows are separate documents that share one decision; a source without words gets target
 0 and takes nothing; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -51,13 +51,18 @@ def source_targets(sizes: DataFrame, budget_share: float = 1.0, max_epochs: int
     return s.select("source", "source_size", "weight", F.when(F.col("weight") > 0, target).otherwise(0.0).alias("target"))
 
 
+def mixed(seed: int, id_: Column, text: Column) -> Column:
+    """Place of a document in its source's shuffled order."""
+    return F.xxhash64(F.lit(seed), id_, text)
+
+
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, budget_share: float = 1.0,
              max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), order_buckets: int = 4096, time_buckets: int = 4096, size: Column | None = None) -> DataFrame:
-    """One row a document: id, source, size, source_size, weight, target, epochs (times taken), taken (words), first_time."""
+    """One row a document: id, source, size, source_size, weight, target, epochs (times taken), taken (words), first_time, mixed."""
     text = F.col(text_col)
     sizes = cut(need(docs, id_col, text_col, source_col).select(
         F.col(id_col), F.col(source_col).alias("source"), (n_words(text) if size is None else size).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("mixed"),
+        mixed(seed, F.col(id_col), text).alias("mixed"),
     ), "mix")
     bucket = F.pmod(F.shiftrightunsigned(F.col("mixed"), 20), F.lit(order_buckets))
     rows = sizes.withColumn("bucket", bucket)
@@ -67,7 +72,8 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     base = sums.withColumn("base", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0))).drop("in_bucket")
     base = base.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     base = base.withColumnsRenamed({"source": "of", "bucket": "at"})
-    upto = W.partitionBy("source", "bucket").orderBy("mixed", id_col, "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Rows that are equal in source, id and text are peers: they are served together and share one decision.
+    upto = W.partitionBy("source", "bucket").orderBy("mixed", id_col).rangeBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("served", F.sum("size").over(upto))
     rows = rows.join(base, rows["source"].eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))).withColumn("served", F.col("served") + F.col("base")).drop("of", "at", "base")
     queued = cut(rows, "queued")
@@ -93,4 +99,13 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     inside_cut = lambda e: F.when(F.col("open"), finish(e) < F.col("cutoff")).otherwise(finish(e) <= F.col("cutoff"))
     epochs = sum((F.coalesce(inside_cut(e).cast("int"), F.lit(0)) for e in range(max_epochs)), F.lit(0))
     out = queued.crossJoin(F.broadcast(cutoff)).withColumn("epochs", F.when(F.col("size") > 0, epochs).otherwise(0))
-    return out.select(id_col, "source", "size", "source_size", "weight", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"), finish(0).alias("first_time"))
+    return out.select(id_col, "source", "size", "source_size", "weight", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"), finish(0).alias("first_time"), "mixed")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
+    """``docs`` as mixed: rows that are not taken go, a row taken n times is there n times."""
+    taken = fair_mix(docs, id_col, text_col, source_col, seed, **options).where("epochs > 0")
+    taken = taken.select(F.col(id_col).alias("of_id"), F.col("source").alias("of_source"), F.col("mixed").alias("of_mixed"), F.col("epochs").alias("times")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), mixed(seed, F.col(id_col), F.col(text_col)).alias("m"))
+    same = F.col("i").eqNullSafe(F.col("of_id")) & F.col("s").eqNullSafe(F.col("of_source")) & (F.col("m") == F.col("of_mixed"))
+    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), "times")).alias("time")).select("row.*")

@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, need
+from .common import let
 from .trigram_query import trigram_query
 
 
@@ -93,9 +93,13 @@ def candidates(docs: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Dat
     return met.where(F.col("met") == F.element_at(need_all, F.col("rule"))).groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> DataFrame:
-    """One row a document: id and ``found``, its spans by start, then by the rules' order; the text too if asked for."""
-    rows = need(docs, id_col, text_col).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, whole: bool = False) -> DataFrame:
+    """One row a document: id and ``found``, its spans by start, then by the rules' order.
+
+    With ``whole``, the document is there as struct ``row`` instead of its id.
+    """
+    kept = F.struct("*").alias("row") if whole else F.col(id_col).alias("row")
+    rows = docs.select(kept, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.unhex(F.md5("text")))
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex))}
     hits = candidates(keyed, queries).withColumnRenamed("key", "of")
@@ -103,7 +107,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = lambda k: (F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0) if k in queries else F.lit(True)
     none = F.array().cast(SPAN)
     found = [F.when(asked(k), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
-    return joined.select(id_col, F.array_sort(F.concat(*found)).alias("found"), *(["text"] if keep_text else []))
+    return joined.select(F.col("row").alias("row" if whole else id_col), F.array_sort(F.concat(*found)).alias("found"))
 
 
 def span_text(found: Column) -> Column:
@@ -119,3 +123,15 @@ def redact(text: Column, found: Column) -> Column:
 
     done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
     return F.when(F.size(found) > 0, done).otherwise(text)
+
+
+def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every secret replaced by its kind; the length column follows the text, other columns stay."""
+    found = secret_scan(docs, id_col, text_col, rules, whole=True)
+    text = redact(F.col("row")[text_col], F.col("found"))
+    out = found.select("row", text.alias("text"), (F.size("found") > 0).alias("changed"))
+    new = {text_col: F.col("text")}
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        new[length_col] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("row")[length_col])
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

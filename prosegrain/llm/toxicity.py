@@ -162,13 +162,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column | None =
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
 
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``offending``: (start, stop, score) of the sentences that carry it."""
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("score", "offending")) -> DataFrame:
+    """``docs`` with two more columns: the score, and (start, stop, score) of the sentences that carry it."""
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(span))])
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
 
@@ -178,7 +178,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             found = [score(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in found], pa.float64()), pa.array([[{"start": a, "stop": b, "score": p} for a, b, p in s] for _, s in found], kind)],
-                [*batch.schema.names, "score", "offending"],
+                [*batch.schema.names, *names],
             )
 
     return docs.mapInArrow(run, schema)
@@ -194,3 +194,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(*training_sample(docs, labels, ~held_out(id_col), id_col, text_col, **options))
     rows = need(docs, id_col, text_col).select(F.col(id_col), F.col(text_col).alias("text"))
     return score_documents(rows, model).select(id_col, held_out(id_col).alias("held_out"), "score", "offending")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without those that score ``threshold`` or more."""
+    model = fit(*training_sample(docs, labels, ~held_out(id_col), id_col, text_col, **options))
+    return score_documents(docs, model, text_col, ("_toxic_score", "_toxic_spans")).where(F.col("_toxic_score") < threshold).drop("_toxic_score", "_toxic_spans")
