@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Words kept with their ids; the cache starts anew when it is full, so a worker's memory is bounded.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 700_000
 #: Texts are handled in lots of about this many characters.
-LOT_CHARS = 1 << 20
+LOT_CHARS = 1 << 22
 
 
 def default_path() -> str:
@@ -35,8 +34,8 @@ def lots(texts: Iterable[str], chars: int = LOT_CHARS) -> Iterator[list[str]]:
 
 #: Stands between words that are encoded together; one token, and never part of another as blanks surround it.
 BETWEEN = "\x01"
-#: Punctuation at the end of a piece is a token of its own if a letter or digit comes before it.
-ENDING = re.compile(r"(?<=[a-z0-9à-öø-ÿ])[!-/:-@\[-`{-~]+\Z")
+#: Latin-1 bytes by kind: letters and digits ``a``, full stop and comma ``.``, ASCII white space a blank, all else ``p``.
+KINDS = bytes(ord("a" if c.isalnum() else "." if c in ".," else " " if c in " \t\n\r\x0b\x0c" else "p") for c in map(chr, range(256)))
 
 
 class WordEncoder:
@@ -45,7 +44,7 @@ class WordEncoder:
     Only for a tokenizer that folds case, drops white space and keeps letters
     and punctuation in separate tokens, as ``word_bpe_49k`` does: then the ids
     of a text are those of its pieces between blanks, tabs and line ends, in
-    order, and a piece's are those of its stem and its closing punctuation.
+    order, and a full stop or comma between a letter and white space is a piece.
     """
 
     def __init__(self, path: str):
@@ -55,43 +54,38 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         (self.between,) = self._ids(BETWEEN)
         self.pieces: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn_stems(self, new: list[str]) -> None:
+    def _learn(self, new: Iterable[str]) -> None:
         plain = [w for w in new if BETWEEN not in w and "<|" not in w]
         for k in range(0, len(plain), 2000):
             some = plain[k : k + 2000]
             ids = np.array(self._ids(f" {BETWEEN} ".join(some)), dtype="<u4")
-            cuts = np.flatnonzero(ids == self.between).tolist()
-            data = ids.tobytes()
-            starts, stops = [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), len(data)]
-            if len(starts) != len(some):
+            cuts = np.flatnonzero(ids == self.between) * 4
+            data, stops = ids.tobytes(), [*cuts.tolist(), ids.nbytes]
+            if len(stops) != len(some):
                 raise ValueError("the tokenizer joins words across blanks")
-            self.stems.update(zip(some, (data[a:b] for a, b in zip(starts, stops))))
-        for w in set(new).difference(plain):
-            self.stems[w] = np.array(self._ids(w), dtype="<u4").tobytes()
-
-    def _learn(self, new: Iterable[str]) -> None:
-        parts = {}
-        for w in new:
-            # Case is folded here only where it is the same for every reader: Latin-1 has no letter that depends on its neighbours.
-            low = w.lower() if w.isascii() or max(w) <= "\xff" else w
-            m = ENDING.search(low)
-            parts[w] = (low[: m.start()], m[0]) if m else (low, "")
-        stems = {x for p in parts.values() for x in p}.difference(self.stems)
-        if len(self.stems) + len(stems) > CACHE_WORDS:
-            stems = {x for p in parts.values() for x in p}
-            self.stems = {"": b""}
-            stems.discard("")
-        self._learn_stems(list(stems))
-        get = self.stems.__getitem__
-        self.pieces.update((w, get(a) + get(b)) for w, (a, b) in parts.items())
+            self.pieces.update(zip(some, map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], stops))))
+        for w in set(new).difference(plain) if len(plain) < len(new) else ():
+            self.pieces[w] = np.array(self._ids(w), dtype="<u4").tobytes()
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        # Case is folded here only where it is the same for every reader: no Latin-1 letter's case depends on its neighbours.
+        text = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        kinds = data.translate(KINDS)
+        if b"p. " not in kinds and b".. " not in kinds:  # else it may belong to the punctuation before it
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
 
     def lot(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = list(map(self.split, texts))
         every = set().union(*split)
         new = every.difference(self.pieces)
         if len(self.pieces) + len(new) > CACHE_WORDS:
