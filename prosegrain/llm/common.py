@@ -75,3 +75,24 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of queries that are done, which it does when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow, giving memory back to the system at its end: workers idle between tasks and stages."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

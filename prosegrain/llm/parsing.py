@@ -7,11 +7,11 @@ and differs from its neighbour's; a phrase begins at each local maximum. So an
 equal stretch of two texts is parsed alike, but for a few phrases at its ends,
 wherever it stands. A phrase's name is a hash of its content.
 
-The fingerprint holds the smallest names of two levels: short phrases for short
-texts, and phrases of phrases. Likeness estimates the share of phrases two
-texts have in common.
+The fingerprint holds the smallest names of phrases of phrases, and those of
+the first phrases too where a text has few others. Likeness estimates the share
+of phrases two texts have in common.
 
-Defined cases: a null text is an empty one and its fingerprint is ``/``; two
+Defined cases: a null text is an empty one and its fingerprint is ``00``; two
 empty texts are alike (1.0), an empty and another one are not (0.0); equal ids
 are ordered by text; null ids come first; repeated rows are documents of their
 own; a table of one document has it for its own successor; an empty table gives
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need
+from .common import cut, need, tidy
 
 U = np.uint64
 LOT_CHARS = 1 << 20
 #: Names kept of the first and the second level.
-KEEP = (48, 96)
-#: A text with fewer second-level names than this is compared by its first level.
+KEEP = (48, 64)
+#: Texts with fewer second-level names than this are compared by their first level.
 FEW = 8
 DEEPEST = 2
 
@@ -137,8 +137,8 @@ def parse(texts: list[bytes], levels: int = DEEPEST) -> list[tuple[np.ndarray, n
     return out
 
 
-def fingerprints(texts: list[bytes]) -> list[str]:
-    """Hex of the smallest 32-bit names of both levels, ascending, apart by a slash."""
+def fingerprints(texts: list[bytes]) -> list[bytes]:
+    """A byte with the number of first-level names that follow, those, then second-level names; 32 bits each, ascending."""
     halves = []
     for (names, sizes), keep in zip(parse(texts), KEEP):
         low = mix(names) >> U(32)
@@ -147,21 +147,22 @@ def fingerprints(texts: list[bytes]) -> list[str]:
         data = (key & U(0xFFFFFFFF)).astype(">u4").tobytes()
         ends = np.searchsorted(of, np.arange(len(texts)), side="right")
         starts = np.concatenate([[0], ends[:-1]])
-        halves.append([data[4 * a : 4 * min(b, a + keep)].hex() for a, b in zip(starts.tolist(), ends.tolist())])
-    return [f"{a}/{b}" for a, b in zip(*halves)]
+        halves.append([data[4 * a : 4 * min(b, a + keep)] for a, b in zip(starts.tolist(), ends.tolist())])
+    return [b"\0" + b if len(b) >= 4 * FEW else bytes([len(a) // 4]) + a + b for a, b in zip(*halves)]
 
 
-def _names(hexed: str) -> list[str]:
-    return [hexed[k : k + 8] for k in range(0, len(hexed), 8)]
+def _levels(mark: bytes) -> tuple[list[int], list[int]]:
+    names = np.frombuffer(mark, ">u4", offset=1).tolist()
+    return names[: mark[0]], names[mark[0] :]
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: bytes, b: bytes) -> float:
     """Estimated Jaccard similarity of two texts' phrases, 0 to 1."""
     if a == b:
         return 1.0
-    a, b = a.split("/"), b.split("/")
-    level = 1 if max(len(a[1]), len(b[1])) >= 8 * FEW else 0
-    x, y = _names(a[level]), _names(b[level])
+    a, b = _levels(a), _levels(b)
+    level = 1 if max(len(a[1]), len(b[1])) >= FEW else 0
+    x, y = a[level], b[level]
     smallest = sorted({*x, *y})[: KEEP[level]]
     both = {*x} & {*y}
     return sum(n in both for n in smallest) / len(smallest) if smallest else 0.0
@@ -173,16 +174,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def compare(texts: list[str], following: list[str], own: list[str] | None = None, next_: list[str] | None = None) -> list[tuple]:
+def compare(texts: list[str], following: list[str], own: list[bytes] | None = None, next_: list[bytes] | None = None) -> list[tuple]:
     """(n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each text."""
     changed = [edited(a, b).encode() for a, b in zip(texts, following)]
     own = own if own is not None else fingerprints([t.encode() for t in texts])
     next_ = next_ if next_ is not None else fingerprints([t.encode() for t in following])
-    return [(len(t), hashlib.sha256(c).hexdigest(), a, e, likeness(a, e), likeness(a, b)) for t, c, a, e, b in zip(texts, changed, own, fingerprints(changed), next_)]
+    return [(len(t), hashlib.sha256(c).digest(), a, e, likeness(a, e), likeness(a, b)) for t, c, a, e, b in zip(texts, changed, own, fingerprints(changed), next_)]
 
 
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+#: Hashes and fingerprints travel as bytes and become hex at the end.
+RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 _NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
@@ -232,7 +234,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([ids, *[pa.nulls(1, t) for t in _KINDS], pa.array([part], pa.int32()), pa.array([first], pa.string()), pa.array(texts, pa.string())], names)
 
     schema = f"id {kind}, {RESULT}, part int, first_text string, last_text string"
-    done = cut(rows.mapInArrow(walk, schema), "fingerprints")
+    done = cut(rows.mapInArrow(tidy(walk), schema), "fingerprints")
     ends = done.where("part is not null")
     parts = sorted(r[0] for r in ends.select("part").collect())  # a number a range
     follow = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "a int, b int")
@@ -245,5 +247,5 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 b = batch.slice(k, 64)
                 yield pa.RecordBatch.from_arrays(result(b.column(0), compare(b.column(1).to_pylist(), b.column(2).to_pylist())), ["id", *_NAMES])
 
-    out = done.where("part is null").select("id", *_NAMES).union(seams.mapInArrow(sew, f"id {kind}, {RESULT}"))
-    return out.withColumnRenamed("id", id_col)
+    out = done.where("part is null").select("id", *_NAMES).union(seams.mapInArrow(tidy(sew), f"id {kind}, {RESULT}"))
+    return out.select(F.col("id").alias(id_col), *[F.lower(F.hex(c)).alias(c) if k == pa.binary() else F.col(c) for c, k in zip(_NAMES, _KINDS)])
