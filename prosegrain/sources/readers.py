@@ -16,7 +16,7 @@ CHECK_FILES = ("*.md", "*.txt")
 def text_files(spark: SparkSession, path: str | list[str], globs: tuple[str, ...] = TEXT_FILES, keep_blank: bool = False) -> DataFrame:
     """(path, text), a row a file below ``path``; line ends become ``\\n``; files of white space only are left out."""
     glob = globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), normalise_lines(F.col("value")).alias("text"))
     return rows if keep_blank else rows.where(F.col("text").rlike(r"(?U)\S"))
 
