@@ -53,7 +53,8 @@ def source_targets(sizes: DataFrame, budget_share: float = 1.0, max_epochs: int
 
 def mixed(seed: int, id_: Column, text: Column) -> Column:
     """Place of a document in its source's shuffled order."""
-    return F.xxhash64(F.lit(seed), id_, text)
+    name = F.concat_ws(":", F.lit(str(seed)), id_.cast("string"), F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
+    return F.conv(F.substring(F.md5(F.encode(name, "UTF-8")), 1, 15), 16, 10).cast("long")
 
 
 def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, budget_share: float = 1.0,
@@ -64,7 +65,7 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.col(id_col), F.col(source_col).alias("source"), (n_words(text) if size is None else size).alias("size"),
         mixed(seed, F.col(id_col), text).alias("mixed"),
     ), "mix")
-    bucket = F.pmod(F.shiftrightunsigned(F.col("mixed"), 20), F.lit(order_buckets))
+    bucket = F.floor(F.col("mixed") / (1 << 60) * order_buckets)  # ranges of the shuffled order
     rows = sizes.withColumn("bucket", bucket)
     targets = source_targets(sizes, budget_share, max_epochs, weights)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE
 from .jaccard_join import jaccard_classes
 from .license_scan import license_scan
 from .mixing import fair_mix
@@ -86,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE: dict[str, str] = {}
+
