@@ -36,12 +36,13 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", bundles: int = 16384, large: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", bundles: int = 16384, large: int = 64, whole: int = 4) -> DataFrame:
     """One row a document: id, size, text_crc32, n_tokens, shard, slot.
 
     A group is large if it holds more than 1 / (shards * ``large``) of all
-    bytes or rows, so there are at most 2 * shards * large such groups, and at
-    most as many portions again.
+    bytes or rows, so there are at most 2 * shards * large such groups. It is
+    split if it holds more than 1 / (shards * ``whole``), into at most
+    2 * shards * whole portions more.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -52,7 +53,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     unit = max(1.0, total["bytes"] / (shards * large)), max(1.0, total["rows"] / (shards * large))
     by_group = rows.groupBy("group", "group2").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    portions = F.ceil(F.greatest(F.col("bytes") / unit[0], F.col("rows") / unit[1]))
+    portions = F.ceil(F.greatest(F.col("bytes") / unit[0], F.col("rows") / unit[1]) * whole / large)
     big = by_group.where((F.col("bytes") > unit[0]) | (F.col("rows") > unit[1])).withColumn("portions", F.when(F.col("rows") > 1, F.least(portions, F.col("rows"))).otherwise(1))
     big = big.select(F.col("group").alias("g"), F.col("group2").alias("g2"), "portions")
     # At most 2 * shards * large groups can be over a unit: bounded by parameters, so it is broadcast.
@@ -60,7 +61,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     portion = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.col("portions"))
     key = F.when(F.col("g").isNotNull(), F.struct(F.col("group").alias("a"), F.col("group2").alias("b"), portion.alias("c")))
     rows = rows.withColumn("unit", F.coalesce(key, F.struct(F.pmod(F.col("group"), F.lit(bundles)).alias("a"), F.lit(0).cast("long").alias("b"), F.lit(-1).cast("long").alias("c"))))
-    units = rows.groupBy("unit").agg(F.sum("size"), F.sum("n_tokens"), F.count("*")).collect()  # at most bundles + 4 * shards * large
+    units = rows.groupBy("unit").agg(F.sum("size"), F.sum("n_tokens"), F.count("*")).collect()  # at most bundles + 2 * shards * (large + whole)
     units.sort(key=lambda r: tuple(r["unit"]))
     placed = place(np.array([r[1:4] for r in units], dtype=float).reshape(-1, 3), shards)
     base, at = np.zeros(shards, dtype=np.int64), []
