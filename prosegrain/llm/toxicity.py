@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, tidy
 
 STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s)[^.!?\n]*)*[.!?]*")
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 PREFIXES = (4, 5, 6)
 
 
@@ -181,7 +181,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", names
                 [*batch.schema.names, *names],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
