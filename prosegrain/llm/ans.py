@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SCALE, LANES, STRIDE = 20, 256, 256
+SCALE, LANES, STRIDE = 20, 1024, 256
 LOW = np.uint64(1 << 31)
 WORD_BITS, MASK = np.uint64(32), np.uint64((1 << SCALE) - 1)
 

@@ -26,13 +26,12 @@ import bisect
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, need
+from .common import cut, need, tidy
 from .tokens import default_path, encoder, lots
 
 #: Documents and gaps that one sweep takes, and that one task finishes.
@@ -45,23 +44,21 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            for lot in lots("" if t is None else t for t in texts):
+            at = 0
+            for lot in lots(batch.column(1)):
                 of, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(enc.lot(lot), at):
-                    ids = np.concatenate([ids, end])
+                for k, ids in enumerate(enc.each(lot, end_id), at):
                     for n, a in enumerate(range(0, len(ids), capacity)):
                         part = ids[a : a + capacity]
-                        of.append(k), piece.append(n), start.append(a), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
+                        of.append(k), piece.append(n), start.append(a), length.append(len(part)), crc.append(zlib.crc32(part))
                 at += len(lot)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
                     [id_col, "piece", "start", "length", "ids_crc32"],
                 )
 
-    return need(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return need(docs, id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Gaps:
@@ -189,7 +186,7 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer_path: str | None = Non
             both = both.coalesce(1)
         else:
             both = both.repartitionByRange(max(2, -(-(n_items + n_gaps) // serial)), "size", "is_gap", "id")
-        swept = cut(both.sortWithinPartitions("size", "is_gap", "id").mapInArrow(sweep(capacity if last else None, opened), SWEPT), "swept")
+        swept = cut(both.sortWithinPartitions("size", "is_gap", "id").mapInArrow(tidy(sweep(capacity if last else None, opened)), SWEPT), "swept")
         logs.append(swept.where("bin is not null").select("id", "bin"))
         if last:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import ans
-from .common import cut, drop, need, new_path, release
+from .common import cut, drop, need, new_path, release, tidy
 from .tokens import default_path, encoder, lots
 
 MAGIC, END = b"PGTOKEN1", "\nPGEND\n"
@@ -39,10 +39,12 @@ HEAD = struct.Struct("<8sqqqqq")  # magic, range, first row, documents, tokens,
 BLOCK = struct.Struct("<qqqIII")  # tokens, stretches, words, crc32 of the bytes, crc32 of the ids, crc32 of the table
 BLOCK_TOKENS = 4 * ans.LANES * ans.STRIDE
 CONTAINER_TOKENS = 1 << 22
+#: Ids counted in one row of counts.
+CHUNK = 1024
 
 
 def sorted_ids(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(range, row, id, ids) in ascending order of ids within ranges and between them."""
+    """(range, row, id, ids) in ascending order of ids within ranges and between them; rows below 0 have the range's counts of ids, by chunk."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     order = (F.asc_nulls_first("id"), F.asc("tie"))
@@ -51,24 +53,29 @@ def sorted_ids(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        part, row, enc, total = TaskContext.get().partitionId(), 0, encoder(path), np.zeros(0, np.int64)
+        wide = max(enc.dtype.itemsize > 2, end_id >= 1 << 16)
+        kind = "<u4" if wide else "<u2"
+        names = ["range", "row", "id", "wide", "ids", "counts"]
         for batch in batches:
             at = 0
-            for lot in lots(batch.column(1).to_pylist()):
-                ids = [x.tobytes() + end for x in enc.lot(lot)]
-                if all(len(x) == 0 or np.frombuffer(x, "<u4").max() < 65536 for x in ids):
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                    wide = False
-                else:
-                    wide = True
+            for lot in lots(batch.column(1)):
+                ids, ends = enc.lot(lot)
+                flat = np.insert(ids.astype(kind), ends, end_id)  # behind each text
+                seen = np.bincount(flat, minlength=len(total))
+                seen[: len(total)] += total
+                total, n = seen, len(lot)
+                bounds = pa.py_buffer(np.concatenate([[0], (ends + np.arange(1, n + 1)) * flat.itemsize]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(lot), pa.int32()), pa.array(range(row, row + len(lot)), pa.int64()), batch.column(0).slice(at, len(lot)), pa.array([wide] * len(lot), pa.bool_()), pa.array(ids, pa.binary())],
-                    ["range", "row", "id", "wide", "ids"],
+                    [pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), batch.column(0).slice(at, n), pa.array([bool(wide)] * n, pa.bool_()), pa.BinaryArray.from_buffers(pa.binary(), n, [None, bounds, pa.py_buffer(flat)]), pa.nulls(n, pa.binary())], names
                 )
-                row, at = row + len(lot), at + len(lot)
+                row, at = row + n, at + n
+        chunks = [total[k : k + CHUNK].astype("<i8").tobytes() for k in range(0, len(total), CHUNK)]
+        if chunks:
+            n = len(chunks)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([-1 - k for k in range(n)], pa.int64()), pa.nulls(n, pa.int64()), pa.array([bool(wide)] * n), pa.array([b""] * n, pa.binary()), pa.array(chunks, pa.binary())], names)
 
-    return rows.mapInArrow(run, "range int, row long, id long, wide boolean, ids binary")
+    return rows.mapInArrow(tidy(run), "range int, row long, id long, wide boolean, ids binary, counts binary")
 
 
 def tokens_of(data: bytes, wide: bool) -> np.ndarray:
@@ -76,24 +83,21 @@ def tokens_of(data: bytes, wide: bool) -> np.ndarray:
 
 
 def count_ids(table: DataFrame) -> np.ndarray:
-    """How often each id occurs: summed within tasks, then by id; as many numbers as the vocabulary has ids."""
+    """How often each id occurs: the ranges' counts summed by chunk of the vocabulary, of which there is a bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for wide, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                c = np.bincount(tokens_of(ids.as_buffer(), wide), minlength=len(total))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "n"])
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n = np.frombuffer(data.as_buffer(), "<i8")
+                held = total.setdefault(row, np.zeros(CHUNK, np.int64))
+                held[: len(n)] += n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - k for k in total], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "n"])
 
-    rows = table.select("wide", "ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n")).collect()
-    out = np.zeros(max([r[0] + 1 for r in rows], default=0), dtype=np.int64)
-    for token, n in rows:
-        out[token] = n
-    return out
+    each = table.where("row < 0").select("row", "counts").repartition("row")
+    rows = sorted(tuple(r) for r in each.mapInArrow(tidy(run), "chunk long, n binary").collect())
+    return np.concatenate([np.frombuffer(n, "<i8") for _, n in rows]) if rows else np.zeros(0, np.int64)
 
 
 def write_block(tokens: np.ndarray, table: ans.Table, table_crc: int) -> bytes:
@@ -179,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         if key:
             yield flush()
 
-    save_binary(ids.mapInArrow(run, "data binary"), f"{path}/blocks")
+    save_binary(ids.where("row >= 0").drop("counts").mapInArrow(tidy(run), "data binary"), f"{path}/blocks")
     drop(ids)
 
 
@@ -202,7 +206,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     files = spark.read.format("binaryFile").load(f"{path}/blocks").select("content")
     schema = "range long, row long, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    docs = cut(files.mapInArrow(run, schema), "tokens-read")
+    docs = cut(files.mapInArrow(tidy(run), schema), "tokens-read")
     sizes = docs.groupBy("range", "row").agg(F.sum("n_tokens").alias("n"))
     ranges = sizes.groupBy("range").agg(F.sum("n").alias("all"))  # a row a range
     before = ranges.withColumn("base", F.coalesce(F.sum("all").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("all")

@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Words kept with their ids; the cache starts anew when it is full, so a worker's memory is bounded.
-CACHE_WORDS = 700_000
-#: Texts are handled in lots of about this many characters.
-LOT_CHARS = 1 << 22
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words kept with their ids. A full cache becomes the old one, whose words are taken over when they come again; so a
+#: worker's memory is bounded by twice this number.
+CACHE_WORDS = 400_000
+#: Texts are handled in lots of about this many bytes.
+LOT_BYTES = 1 << 22
+#: Bytes as the pieces see them: ASCII letters folded; tabs and line ends as blanks.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[ord("A") : ord("Z") + 1] += 32
+FOLD[[ord(c) for c in "\t\n\r"]] = ord(" ")
+#: Words of letters whose case is folded go to the model at once; their other steps change nothing but the alphabet.
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
+#: Stands between words that are encoded together; one token, and never part of another as blanks surround it.
+BETWEEN = "\x01"
 
 
 def default_path() -> str:
@@ -19,23 +31,22 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def lots(texts: Iterable[str], chars: int = LOT_CHARS) -> Iterator[list[str]]:
-    lot: list[str] = []
-    n = 0
-    for t in texts:
-        lot.append(t)
-        n += len(t)
-        if n >= chars:
-            yield lot
-            lot, n = [], 0
-    if lot:
-        yield lot
+def lots(texts: pa.Array, size: int = LOT_BYTES) -> Iterator[pa.Array]:
+    """``texts`` in slices of about ``size`` bytes; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size)))
+        yield texts.slice(a, b - a)
+        a = b
 
 
-#: Stands between words that are encoded together; one token, and never part of another as blanks surround it.
-BETWEEN = "\x01"
-#: Latin-1 bytes by kind: letters and digits ``a``, full stop and comma ``.``, ASCII white space a blank, all else ``p``.
-KINDS = bytes(ord("a" if c.isalnum() else "." if c in ".," else " " if c in " \t\n\r\x0b\x0c" else "p") for c in map(chr, range(256)))
+def byte_alphabet() -> dict[int, str]:
+    """Code points from 128 to 255 as the characters that stand for their UTF-8 bytes in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    name = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(name[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
 class WordEncoder:
@@ -44,7 +55,9 @@ class WordEncoder:
     Only for a tokenizer that folds case, drops white space and keeps letters
     and punctuation in separate tokens, as ``word_bpe_49k`` does: then the ids
     of a text are those of its pieces between blanks, tabs and line ends, in
-    order, and a full stop or comma between a letter and white space is a piece.
+    order, and a full stop or comma that ends a piece after a letter or digit
+    is a token of its own. Anything else inside a piece is left to the
+    tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,53 +65,99 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Ids are kept in as few bytes as the vocabulary needs.
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         (self.between,) = self._ids(BETWEEN)
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.ends = {c: self._bytes(self._ids(c)) for c in ".,"}
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        probes = ["the", "unheard", "zqxj", "été", "ÿß", "straße"]
+        self.direct = all(self._letters(w) == self._bytes(self._ids(w)) for w in probes)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: Iterable[str]) -> None:
-        plain = [w for w in new if BETWEEN not in w and "<|" not in w]
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.alphabet))])
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are encoded as one text, with a token between them."""
+        plain = [w for w in words if BETWEEN not in w and "<|" not in w]
+        out = {w: self._bytes(self._ids(w)) for w in set(words).difference(plain)}
         for k in range(0, len(plain), 2000):
             some = plain[k : k + 2000]
-            ids = np.array(self._ids(f" {BETWEEN} ".join(some)), dtype="<u4")
-            cuts = np.flatnonzero(ids == self.between) * 4
+            ids = np.array(self._ids(f" {BETWEEN} ".join(some)), self.dtype)
+            cuts = np.flatnonzero(ids == self.between) * ids.itemsize
             data, stops = ids.tobytes(), [*cuts.tolist(), ids.nbytes]
             if len(stops) != len(some):
                 raise ValueError("the tokenizer joins words across blanks")
-            self.pieces.update(zip(some, map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], stops))))
-        for w in set(new).difference(plain) if len(plain) < len(new) else ():
-            self.pieces[w] = np.array(self._ids(w), dtype="<u4").tobytes()
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        try:
-            data = text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        # Case is folded here only where it is the same for every reader: no Latin-1 letter's case depends on its neighbours.
-        text = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        kinds = data.translate(KINDS)
-        if b"p. " not in kinds and b".. " not in kinds:  # else it may belong to the punctuation before it
-            text = text.replace(". ", " . ").replace(", ", " , ")
-        return text.split(" ")
-
-    def lot(self, texts: list[str]) -> list[np.ndarray]:
-        split = list(map(self.split, texts))
-        every = set().union(*split)
-        new = every.difference(self.pieces)
-        if len(self.pieces) + len(new) > CACHE_WORDS:
-            self.pieces = {"": b""}
-            new = every.difference(self.pieces)
-        if new:
-            self._learn(new)
-        ids = self.pieces.__getitem__
-        return [np.frombuffer(b"".join(map(ids, ws)), dtype="<u4") for ws in split]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        for lot in lots("" if t is None else t for t in texts):
-            yield from self.lot(lot)
+            out.update(zip(some, map(data.__getitem__, map(slice, [0, *(cuts + ids.itemsize).tolist()], stops))))
+        return out
+
+    def _learn(self, names: list[str], held: list[bytes | None]) -> None:
+        """Fill in the ids of the names that the cache does not hold."""
+        cache, old, later = self.cache, self.old, []
+        for k, w in enumerate(names):
+            if held[k] is not None:
+                continue
+            ids = old.get(w) if old else None
+            if ids is None:
+                # Case is folded here only where it is the same for every reader: no Latin-1 letter's case depends on its neighbours.
+                stem, end = w if w.isascii() or max(w) > "\xff" else w.lower(), b""
+                if stem[-1] in ".," and stem[-2:-1].isalnum() and stem[-2] <= "\xff":
+                    stem, end = stem[:-1], self.ends[stem[-1]]
+                if stem is not w:
+                    ids = cache.get(stem) or (old.get(stem) if old else None)
+                if ids is None:
+                    if not (self.direct and LETTERS.match(stem)):
+                        later.append((k, stem, end))
+                        continue
+                    ids = self._letters(stem)
+                    if stem is not w:
+                        cache[stem] = ids
+                ids += end
+            held[k] = cache[w] = ids
+        if later:
+            found = self._together(list({stem for _, stem, _ in later}))
+            for k, stem, end in later:
+                held[k] = cache[names[k]] = found[stem] + end
+
+    def lot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, where each text's ids end); a null text has none."""
+        texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.string()), "")])
+        n = len(texts)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n + 1]
+        data = FOLD[np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]]
+        folded = pa.StringArray.from_buffers(n, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(data))
+        pieces = pc.split_pattern(folded, " ")
+        words = pieces.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        if len(self.cache) + len(names) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {"": b""}
+        held = list(map(self.cache.get, names))
+        self._learn(names, held)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(held), self.dtype)
+        index = words.indices.to_numpy()
+        each = sizes[index]
+        upto = np.cumsum(each)
+        place = np.repeat((np.cumsum(sizes) - sizes)[index] - (upto - each), each) + np.arange(upto[-1])
+        ends = np.concatenate([[0], upto])[np.asarray(pieces.offsets)[1:] - pieces.offsets[0].as_py()]
+        return ids[place], ends
+
+    def each(self, texts: pa.Array, end: int | None = None) -> list[np.ndarray]:
+        """Ids of each text, as 32-bit numbers, with an end id if there is one."""
+        ids, ends = self.lot(texts)
+        ids = ids.astype("<u4")
+        more = np.array([] if end is None else [end], "<u4")
+        return [np.concatenate([ids[a:b], more]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
