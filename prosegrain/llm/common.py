@@ -20,8 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/prosegrain/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/prosegrain/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application, once its results are written elsewhere."""
+    _delete(spark, own_dir(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -42,9 +57,7 @@ def drop(*frames: DataFrame) -> None:
     """Delete tables made by :func:`cut` that nothing will read again."""
     for df in frames:
         if path := getattr(df, "cut_path", None):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
