@@ -114,6 +114,13 @@ TRIMMED = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 SENTENCES_B = f"""marked AS (SELECT path, line, string_split(regexp_replace(text, '([.!?])["'')\\]]*\\s+([A-Z0-9"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM paras),
 sents AS (SELECT path, line, list_filter(list_transform(parts, lambda s: {TRIMMED.format('s')}), lambda s: len(regexp_extract_all(s, '[A-Za-z0-9][A-Za-z0-9''\\-_/.]*')) >= 3) AS sents FROM marked)"""
 T_M3 = f"SELECT p.path, p.line, 'T-M3' AS rule, len(sents) || ' sentences in one paragraph' AS label, trim(substr(text, 1, 60)) AS match, NULL::VARCHAR AS fix FROM paras p JOIN sents s ON p.path = s.path AND p.line = s.line WHERE len(sents) > 6"
+T_M11 = f"""SELECT path, (1 + len(before) - len(replace(before, {NL}, '')))::INTEGER AS line, 'T-M11' AS rule, 'condition after the first clause' AS label, regexp_replace(regexp_extract(s, {_lit(R.LATE_CONDITION.replace('(?iU)', '(?i)'))}), '\\s+', ' ', 'g') AS match, NULL::VARCHAR AS fix FROM (
+ SELECT path, s, substr(body, 1, strpos(body, s) - 1) AS before FROM (SELECT path, body, unnest(list_filter(list_transform(string_split(regexp_replace(body, '([.!?])["'')\\]]*\\s+([A-Z0-9"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: {TRIMMED.format('s')}), lambda s: len(regexp_extract_all(s, '[A-Za-z0-9][A-Za-z0-9''\\-_/.]*')) >= 3)) AS s FROM bodies))
+ WHERE regexp_matches(s, {_lit(R.LATE_CONDITION.replace('(?iU)', '(?i)'))})"""
+#: Advisory findings: terms of the lexicon in the decorated documents.
+W_M10 = f"""dtok AS (SELECT path AS unit, {tokens('raw')} AS toks FROM bodies), dlong AS (SELECT unit, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM dtok), {grams().replace('win', 'dwin').replace('grams AS', 'dgrams AS').replace('FROM long', 'FROM dlong')},
+found AS (SELECT unit, term, count(*) AS n FROM dgrams WHERE term IN (SELECT term FROM jargon) GROUP BY unit, term)
+SELECT path, CASE WHEN strpos(lower(body), term) > 0 THEN 1 + len(substr(lower(body), 1, strpos(lower(body), term) - 1)) - len(replace(substr(lower(body), 1, strpos(lower(body), term) - 1), {NL}, '')) ELSE 1 END::INTEGER AS line, 'W-M10' AS rule, 'jargon term x' || n AS label, term AS match, NULL::VARCHAR AS fix FROM found JOIN bodies ON path = unit"""
 T_M12 = "SELECT path, line, 'T-M12' AS rule, 'two actions in one item' AS label, trim(substr(body, 1, 70)) AS match, NULL::VARCHAR AS fix FROM items WHERE ordered AND regexp_matches(body, '(?i),\\s*then\\s|\\band then\\b|\\band also\\b|;\\s')"
 P_M5 = "SELECT path, 1 AS line, 'P-M5' AS rule, 'missing field' AS label, field AS match, NULL::VARCHAR AS fix FROM bodies, (VALUES ('content'), ('surface'), ('destination_type'), ('channel_id'), ('audience'), ('intent')) f(field) WHERE field NOT IN ('surface', 'audience') AND (field <> 'content' OR NOT regexp_matches(body, '\\S'))"
 P_M1 = scan("bodies", r"(?i)\bevo-(?:modeler|b-gate|hydra-lib)\b", "P-M1", "short name").replace("NULL::VARCHAR AS fix", "CASE lower(hit) WHEN 'evo-modeler' THEN 'modeler' WHEN 'evo-b-gate' THEN 'b-gate' ELSE 'hydralib' END AS fix")

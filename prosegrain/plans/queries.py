@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks, spans, text as T
 from ..operators import bands as B
+from ..operators.catalog import first_scope
 from ..operators import lexicon as L
 from ..operators import resample as RS
 from ..operators import rules as R
@@ -104,6 +105,11 @@ def corpus_stats(spark, sf_dir):
     return TM.corpus_stats(corpus(spark, sf_dir))
 
 
+@query("upper_median_len", f"WITH {O.LEXICON} SELECT side, median_tokens FROM stats")
+def upper_median_len(spark, sf_dir):
+    return TM.corpus_stats(corpus(spark, sf_dir)).select("side", "median_tokens")
+
+
 @query("auto_dispersion", f"WITH {O.LEXICON} SELECT low::DOUBLE AS min_contrast_dispersion, high::DOUBLE AS max_approved_dispersion FROM bars")
 def auto_dispersion(spark, sf_dir):
     return L.build_stats(corpus(spark, sf_dir)).select("min_contrast_dispersion", "max_approved_dispersion")
@@ -334,9 +340,20 @@ def unwrap_markdown(spark, sf_dir):
     return bodies(spark, sf_dir).select("path", blocks.unwrap(T.normalise_lines(F.col("text"))).alias("text"))
 
 
-@query("json_records", "SELECT event_id, json_extract_string(props, '$.k') AS text FROM events WHERE json_type(props, '$.k') = 'VARCHAR'")
+@query("json_records", "SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL")
 def json_records(spark, sf_dir):
-    return json_texts(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("value")), "k").select("event_id", "text")
+    """The texts of conversations, found again in JSON documents that hold them two levels down."""
+    value = F.to_json(F.struct("role", F.array(F.struct(F.struct("text").alias("body"))).alias("parts"))).alias("value")
+    return json_texts(table(spark, sf_dir, "conversations").select("conv_id", "turn", value), "text", depth=4)
+
+
+_SCOPES = "scopes AS (SELECT source AS name, CASE doc_id % 3 WHEN 0 THEN 'shipped' WHEN 1 THEN 'personal' ELSE 'project' END AS scope, count(*) AS docs FROM documents GROUP BY ALL)"
+
+
+@query("scope_priority", f"WITH {_SCOPES} SELECT name, scope, docs FROM scopes QUALIFY row_number() OVER (PARTITION BY name ORDER BY list_position(['project', 'personal', 'shipped'], scope)) = 1")
+def scope_priority(spark, sf_dir):
+    scope = F.element_at(F.array(F.lit("shipped"), F.lit("personal"), F.lit("project")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return first_scope(docs(spark, sf_dir).groupBy(F.col("source").alias("name"), scope.alias("scope")).agg(F.count("*").alias("docs")))
 
 
 # --- rules ------------------------------------------------------------------
@@ -355,9 +372,7 @@ _rule("P-M1", f"WITH {O.BODY} {O.P_M1}")
 _rule("P-M5", f"WITH {O.BODY} {O.P_M5}")
 
 
-@query("rule_t_m11")
-def rule_t_m11(spark, sf_dir):
-    return R.check(bodies(spark, sf_dir), ["T-M11"])
+_rule("T-M11", f"WITH {O.BODY} {O.T_M11}")
 
 
 def _decorated_hits(spark, sf_dir):
@@ -365,7 +380,7 @@ def _decorated_hits(spark, sf_dir):
     return b, S.term_hits(b.select(F.col("path").alias("unit"), T.tokenize(F.col("text")).alias("tokens")), lexicon(spark, sf_dir))
 
 
-@query("rule_w_m10")
+@query("rule_w_m10", f"WITH {O.LEXICON}, {O.BODY}, {O.W_M10}")
 def rule_w_m10(spark, sf_dir):
     return R.jargon_findings(*_decorated_hits(spark, sf_dir))
 
