@@ -14,10 +14,13 @@ one is kept by both sets (the prefix principle). So no pair is lost, and the
 words with next to no element, which unrelated sets share, are not keys.
 
 Pairs. Equal sets are one node from the start. Among the nodes of a key, first
-only the least is held against the others; what is verified forms classes.
-Then, for keys whose nodes are still in different classes, all nodes of
-different classes are held against each other by their bit sketches, inside
-the task; only pairs that pass are put out and verified. A pair inside a class
+only the one with most neighbours is held against the others: in a group of
+copies that is the copy nearest to all. What is verified forms classes.
+Then nodes of a key that are still in different classes are held against each
+other by their bit sketches, inside the task. Up to three times each class puts
+out only its nearest pair to another class, as in Boruvka's algorithm, which joins
+nearly all of a large group; at last every pair of different classes that
+passes and has not been tried is put out and verified. A pair inside a class
 changes nothing and is never made.
 
 Defined cases: a null or blank text has the empty set, which is linked with
@@ -36,54 +39,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, drop, need, release
+from .common import SPACES, cut, drop, need, release, tidy
 from .components import components
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
-#: Distinct words a worker keeps the hashes of.
-CACHE_WORDS = 400_000
-LOT_CHARS = 1 << 20
+LOT_BYTES = 1 << 20
+#: Sketch bits for each element that may differ: so many that dissimilar sets seldom pass.
+BITS_EACH = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> U(30))) * MIX[0]
-    x = (x ^ (x >> U(27))) * MIX[1]
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U(30))) * MIX[0]
+        x = (x ^ (x >> U(27))) * MIX[1]
     return x ^ (x >> U(31))
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of texts; ASCII letters are folded and ASCII white space parts words."""
-
-    def __init__(self, width: int):
-        import xxhash
-
-        self.width, self.hash, self.cache = width, xxhash.xxh64_intdigest, {}
-        with np.errstate(over="ignore"):
-            self.powers = [U(1)]
-            for _ in range(width - 1):
-                self.powers.append(self.powers[-1] * ODD)
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, U)
-        new = set(words).difference(self.cache)
-        if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache, new = {}, set(words)
-            h = self.hash
-            self.cache.update((w, h(w)) for w in new)
-        w = np.fromiter(map(self.cache.__getitem__, words), U, len(words))
-        n = max(1, len(w) - self.width + 1)
-        with np.errstate(over="ignore"):
-            x = np.zeros(n, U)
-            for k in range(min(self.width, len(w))):
-                x += w[k : k + n] * self.powers[k]
-            x += U(min(self.width, len(w)))
-            return np.unique(mix(x))
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[ord(c) for c in SPACES]] = True
+INVERSE = U(pow(int(ODD), -1, 1 << 64))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1), modulo 2**64."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        steps = np.full(max(n, 2 * LOT_BYTES), base, U)
+        steps[0] = 1
+        held = np.cumprod(steps)
+        if n <= 4 * LOT_BYTES:
+            _POWERS[int(base)] = held
+    return held[:n]
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; ASCII letters are folded and ASCII white space parts words.
+
+    A word's hash is a polynomial in its bytes, as the difference of two prefix
+    sums brought back to place 0; a shingle's is a polynomial in its words.
+    """
+    data = np.frombuffer((b" ".join(texts) + b" ").lower(), np.uint8)
+    space = IS_SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))  # where words begin and end, in turn
+    starts, stops = edge[::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        run = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[data] * powers(ODD, len(data)))])
+        word = mix((run[stops] - run[starts]) * powers(INVERSE, len(data))[starts])
+        shingle = np.zeros(len(word), U)
+        for k in range(width):
+            shingle[: len(word) - k] += word[k:] * powers(ODD, width)[k]
+        shingle = mix(shingle + U(width))
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    out = []
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        if b - a >= width:
+            out.append(np.unique(shingle[a : b - width + 1]))
+        elif b > a:
+            with np.errstate(over="ignore"):
+                out.append(mix(np.array([(word[a:b] * powers(ODD, width)[: b - a]).sum(dtype=U) + U(b - a)], U)))
+        else:
+            out.append(np.zeros(0, U))
+    return out
+
+
+def byte_lots(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts as bytes, null as none, in lots of about a megabyte."""
+    lot, n = [], 0
+    for t in texts.cast(pa.binary()):
+        lot.append(t.as_py() or b"")
+        n += len(lot[-1])
+        if n >= LOT_BYTES:
+            yield lot
+            lot, n = [], 0
+    if lot:
+        yield lot
 
 
 class Bands:
@@ -124,8 +158,8 @@ class Bands:
         return self.differ(top + self.largest_partner(top))
 
     def bits(self, n: int) -> int:
-        """Bits of the sketch of a set of size n: a power of two, four for each element that may differ at least."""
-        return 1 << max(6, math.ceil(math.log2(max(1, 4 * self.differ(2 * n)))))
+        """Bits of the sketch of a set of size n: a power of two."""
+        return 1 << max(6, math.ceil(math.log2(max(1, BITS_EACH * self.differ(2 * n)))))
 
 
 def keys(u: np.ndarray, band: int, bands: Bands) -> np.ndarray:
@@ -158,34 +192,45 @@ def folded(data: bytes, size: int) -> np.ndarray:
     return x
 
 
-def sets(docs: DataFrame, width: int, bands: Bands, seed: int, with_keys: bool) -> DataFrame:
-    """docs (id, key, text) -> (id, key, n, node, check, sketch, keys): node and check are hashes of the whole set."""
+def name(u: np.ndarray, seed: int) -> int:
+    """A set's name: a 64-bit hash of its sorted elements."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(u.tobytes(), seed) - (1 << 63)
+
+
+def sets(docs: DataFrame, width: int, bands: Bands, seed: int) -> DataFrame:
+    """docs (id, key, text) -> (id, key, n, node, check, sketch): node and check are names of the whole set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            at = 0
+            for lot in byte_lots(batch.column(2)):
+                n, node, check, bits = [], [], [], []
+                for u in shingle_sets(lot, width):
+                    n.append(len(u)), node.append(name(u, seed)), check.append(name(u, seed + 1)), bits.append(sketch(u, bands.bits(len(u))))
+                ids = [batch.column(k).slice(at, len(lot)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, *[pa.array(x, pa.int64()) for x in (n, node, check)], pa.array(bits, pa.binary())], ["id", "key", "n", "node", "check", "sketch"])
+                at += len(lot)
+
+    return docs.mapInArrow(tidy(run), f"id {kind}, key binary, n long, node long, check long, sketch binary")
+
 
-        shingles = Shingler(width)
+def keyed(texts: DataFrame, width: int, bands: Bands, seed: int) -> DataFrame:
+    """(text) -> (key, node), the keys of every text in every band of its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, a, chars = [], 0, 0
-            texts = batch.column(2).cast(pa.binary())
-            for k in range(len(texts)):
-                data = texts[k].as_py() or b""
-                u = shingles(data)
-                raw = u.tobytes()
-                found = [keys(u, b, bands) for b in bands.of(len(u))] if with_keys else []
-                rows.append((len(u), xxhash.xxh64_intdigest(raw, seed) - (1 << 63), xxhash.xxh64_intdigest(raw, seed + 1) - (1 << 63), sketch(u, bands.bits(len(u))), np.concatenate(found) if found else np.zeros(0, np.int64)))
-                chars += len(data)
-                if chars >= LOT_CHARS or k == len(texts) - 1:
-                    n, node, check, bits, all_ = zip(*rows)
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in all_])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, len(rows)), batch.column(1).slice(a, len(rows)), *[pa.array(x, pa.int64()) for x in (n, node, check)], pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_)))],
-                        ["id", "key", "n", "node", "check", "sketch", "keys"],
-                    )
-                    rows, a, chars = [], k + 1, 0
-
-    return docs.mapInArrow(run, f"id {kind}, key binary, n long, node long, check long, sketch binary, keys array<long>")
+            for lot in byte_lots(batch.column(0)):
+                found, node = [], []
+                for u in shingle_sets(lot, width):
+                    for b in bands.of(len(u)):
+                        found.append(keys(u, b, bands)), node.append(np.full(len(found[-1]), name(u, seed)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], ["key", "node"])
+
+    return texts.mapInArrow(tidy(run), "key long, node long")
 
 
 def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
@@ -209,18 +254,22 @@ def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, node) -> (key, node, lead): only keys of two nodes or more; lead is the key's least node."""
+    """Sorted (key, node) -> (group, node, size): the sets of nodes, two or more, that share a key.
+
+    A set is named by a hash of its nodes, so keys with the same nodes give the same rows.
+    """
     for key, batch in in_runs(batches):
         node = batch.column(1).to_numpy()
         own = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
         key, node = key[own], node[own]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        starts = np.flatnonzero(first)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
         many = np.repeat(sizes > 1, sizes)
         if many.any():
-            lead = np.repeat(node[starts], sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, lead)], ["key", "node", "lead"])
+            with np.errstate(over="ignore"):
+                group = mix(np.add.reduceat(mix(node.view(U)), starts) + sizes.astype(U)).view(np.int64)
+            rows = pa.table([np.repeat(group, sizes)[many], node[many], np.repeat(sizes, sizes)[many]], ["group", "node", "size"])
+            yield from rows.group_by(["group", "node", "size"]).aggregate([]).combine_chunks().to_batches()
 
 
 def sketch_filter(bands: Bands):
@@ -238,30 +287,48 @@ def sketch_filter(bands: Bands):
     return run
 
 
-def across_classes(bands: Bands):
-    """Sorted (key, node, class, n, sketch) -> (u, v) of one key and different classes whose sketches allow similarity."""
+def across_classes(bands: Bands, nearest: bool):
+    """Sorted (group, node, class, n, sketch) -> (group, u, v): nodes of different classes whose sketches allow similarity.
+
+    With ``nearest``, each class of a group only puts out its pair of least distance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, batch in in_runs(batches):
             node, of, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
             bits = batch.column(4)
-            found: set[tuple[int, int]] = set()
+            found: list[tuple[int, int, int]] = []
+            seen: set[tuple[int, int]] = set()  # pairs of this lot, which many groups share
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             for a, b in zip(starts[:-1], starts[1:]):
+                own: set[tuple[int, int]] = set()
                 least = min(len(bits[k].as_buffer()) for k in range(a, b))
                 rows = np.stack([folded(bits[k].as_py(), least) for k in range(a, b)])
-                for i in range(b - a - 1):
-                    m = n[a + i + 1 : b]
-                    apart = of[a + i + 1 : b] != of[a + i]
-                    low, high = np.minimum(m, n[a + i]), np.maximum(m, n[a + i])
-                    apart &= high <= low * 100 // bands.percent
-                    if not apart.any():
+                best: dict[int, tuple[float, int, int]] = {}
+                for i in range(a, b - 1):
+                    m = n[i + 1 : b]
+                    near = (of[i + 1 : b] != of[i]) & (np.maximum(m, n[i]) <= np.minimum(m, n[i]) * 100 // bands.percent)
+                    if not near.any():
                         continue
-                    near = apart & (hamming(rows[i + 1 :], rows[i]) <= (m + n[a + i]) * (100 - bands.percent) // (100 + bands.percent))
-                    found.update((min(x, y), max(x, y)) for x, y in ((int(node[a + i]), int(node[a + i + 1 + j])) for j in np.flatnonzero(near)))
+                    away = hamming(rows[i + 1 - a :], rows[i - a])
+                    near &= away <= (m + n[i]) * (100 - bands.percent) // (100 + bands.percent)
+                    for j in (np.flatnonzero(near) + i + 1).tolist():
+                        pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
+                        if not nearest:
+                            own.add(pair)
+                            continue
+                        far = (away[j - i - 1] / (n[i] + n[j]), *pair)
+                        for c in (of[i], of[j]):
+                            if c not in best or far < best[c]:
+                                best[c] = far
+                own.update(x[1:] for x in best.values())
+                if not nearest:
+                    fresh = own.difference(seen)
+                    seen |= fresh
+                    own = fresh
+                found += [(int(key[a]), u, v) for u, v in own]
             if found:
-                u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["group", "u", "v"])
 
     return run
 
@@ -285,12 +352,11 @@ def set_table(width: int):
     """(node, text) -> (node, set)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for a in range(0, len(texts), 256):
-                part = texts.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array([shingles(x.as_py() or b"").tobytes() for x in part], pa.binary())], ["node", "set"])
+            at = 0
+            for lot in byte_lots(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lot)), pa.array([u.tobytes() for u in shingle_sets(lot, width)], pa.binary())], ["node", "set"])
+                at += len(lot)
 
     return run
 
@@ -300,45 +366,57 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = Bands(percent)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    table = cut(sets(rows, width, bands, seed, True), "sets")
+    table = cut(sets(rows, width, bands, seed), "sets")
     known = table.where("n > 0")
     nodes = cut(known.groupBy("node").agg(F.min("key").alias("text_key"), F.min("id").alias("least"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), F.min("check").alias("c1"), F.max("check").alias("c2")), "nodes")
     if nodes.where("c1 <> c2").limit(1).count():  # two sets of one name: take other names
         return jaccard_classes(docs, id_col, text_col, width, percent, seed + 2)
 
-    # Keys of at least two nodes. One shuffle by key; repeats of a node in a key go in the task.
-    exploded = known.select(F.explode("keys").alias("key"), "node")
-    runs = cut(exploded.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared_keys, "key long, node long, lead long"), "runs")
-    release(table.sparkSession)
-    info = nodes.select("node", "n", "sketch")
-
-    def with_info(pairs: DataFrame) -> DataFrame:
-        a, b = info.toDF("nu", "n1", "s1"), info.toDF("nv", "n2", "s2")
-        return pairs.join(a, F.col("u") == F.col("nu")).join(b, F.col("v") == F.col("nv")).select("u", "v", "n1", "s1", "n2", "s2")
+    # Groups of nodes that share a key. One shuffle by key; repeats of a node in a key go in the task.
+    dealt = keyed(rows.select("text"), width, bands, seed).repartition("key").sortWithinPartitions("key", "node")
+    runs = cut(dealt.mapInArrow(tidy(shared_keys), "group long, node long, size long").distinct(), "runs")
+    release(docs.sparkSession)
+    info = nodes.select(F.col("node").alias("of"), "n", "sketch")
+    # The texts of the nodes that share a key; a text comes once, whatever its copies.
+    wanted = runs.select(F.col("node").alias("of")).distinct().join(nodes, F.col("of") == F.col("node")).select("node", "text_key")
+    once = rows.groupBy("key").agg(F.first("text").alias("text"))
+    texts = cut(wanted.join(once, F.col("text_key") == F.col("key")).select("node", "text"), "texts")
+    release(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that are similar; ``pairs`` is a written table. Texts of their nodes are fetched by their keys."""
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        wanted = ends.join(nodes.select("node", "text_key"), "node").select("node", "text_key")
-        texts = rows.groupBy("key").agg(F.first("text").alias("text"))  # a text once, whatever its copies
-        held = cut(wanted.join(texts, F.col("text_key") == F.col("key")).select("node", "text").mapInArrow(set_table(width), "node long, set binary"), "set-bytes")
+        """Pairs of a written table that are similar, by their whole sets."""
+        ends = pairs.select(F.col("u").alias("of")).union(pairs.select("v")).distinct()
+        held = cut(texts.join(ends, F.col("node") == F.col("of"), "left_semi").mapInArrow(tidy(set_table(width)), "node long, set binary"), "set-bytes")
         a, b = held.toDF("nu", "x"), held.toDF("nv", "y")
-        out = cut(pairs.join(a, F.col("u") == F.col("nu")).join(b, F.col("v") == F.col("nv")).select("u", "v", "x", "y").mapInArrow(verify(percent), "u long, v long"), "links")
+        out = cut(pairs.join(a, F.col("u") == F.col("nu")).join(b, F.col("v") == F.col("nv")).select("u", "v", "x", "y").mapInArrow(tidy(verify(percent)), "u long, v long"), "links")
         drop(held)
         return out
 
-    stars = runs.where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
-    stars = cut(with_info(stars).mapInArrow(sketch_filter(bands), "u long, v long"), "stars")
-    links = verified(stars)
+    weight = runs.groupBy(F.col("node").alias("of")).agg(F.sum("size").alias("weight"))
+    weighed = runs.select("group", "node").join(weight, F.col("node") == F.col("of"))
+    lead = weighed.groupBy(F.col("group").alias("g")).agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+    stars = runs.join(lead, F.col("group") == F.col("g")).where("node <> lead").select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct()
+    a, b = info.toDF("nu", "n1", "s1"), info.toDF("nv", "n2", "s2")
+    stars = stars.join(a, F.col("u") == F.col("nu")).join(b, F.col("v") == F.col("nv")).select("u", "v", "n1", "s1", "n2", "s2")
+    tried = cut(stars.mapInArrow(tidy(sketch_filter(bands)), "u long, v long"), "stars")
+    links = verified(tried)
     first = cut(components(links), "classes")
-    classed = runs.select("key", "node").join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("class"))
-    mixed = classed.groupBy(F.col("key").alias("k")).agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("k")
-    left = classed.join(mixed, F.col("key") == F.col("k"), "left_semi").join(info.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("key", "node", "class", "n", "sketch")
-    pairs = left.repartition("key").sortWithinPartitions("key", "node").mapInArrow(across_classes(bands), "u long, v long").distinct()
-    tried = stars.toDF("su", "sv")
-    pairs = cut(pairs.join(tried, (F.col("u") == F.col("su")) & (F.col("v") == F.col("sv")), "left_anti"), "pairs")
-    if pairs.limit(1).count():
-        first = cut(components(links.union(verified(pairs))), "classes")
+    # A group of two has had its only pair tried. A group that puts out no pair once never will: classes only grow.
+    active = runs.where("size > 2").select("group", "node")
+    more = True
+    for nearest in (True, True, True, False):
+        if nearest and not more:
+            continue
+        by_class = active.join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("group", "node", F.coalesce("component", "node").alias("class"))
+        mixed = by_class.groupBy(F.col("group").alias("g")).agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("g")
+        left = by_class.join(mixed, F.col("group") == F.col("g"), "left_semi").join(info, F.col("node") == F.col("of")).select("group", "node", "class", "n", "sketch")
+        found = cut(left.repartition("group").sortWithinPartitions("group", "node").mapInArrow(tidy(across_classes(bands, nearest)), "group long, u long, v long"), "found")
+        pairs = found.select("u", "v").distinct().join(tried.toDF("su", "sv"), (F.col("u") == F.col("su")) & (F.col("v") == F.col("sv")), "left_anti")
+        pairs = cut(pairs, "pairs")
+        if more := bool(pairs.limit(1).count()):
+            links, tried = links.union(verified(pairs)), tried.union(pairs)
+            first = cut(components(links), "classes")
+        active = cut(active.join(found.select(F.col("group").alias("g")).distinct(), F.col("group") == F.col("g"), "left_semi"), "active")
 
     # Classes of nodes, then of documents: the least id of a class.
     named = nodes.select("node", "least").join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("class"))
