@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 #: Words kept with their ids. A full cache becomes the old one, whose words are taken over when they come again; so a
 #: worker's memory is bounded by twice this number.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Texts are handled in lots of about this many bytes.
 LOT_BYTES = 1 << 22
 #: Bytes as the pieces see them: ASCII letters folded; tabs and line ends as blanks.
