@@ -41,9 +41,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24,}"),
 )
+#: A private key runs from its BEGIN line to its END line, over headers and body; where END is missing, to the last
+#: line that is all base64, or, indented or on one line, to the last 40 characters of base64 and one short piece more.
+#: A BEGIN line alone is found too. Loops are over single characters or bounded: Java keeps a frame for others.
+_NAME = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_TO_END = r"[^-]*(?:-[^-]+){0,200}-{5,6}END " + _NAME
+_HEADERS = r"(?:\r?\n[A-Za-z][A-Za-z-]*:\x20[^\n]*){0,16}"
+_LINES = r"[\x20\t\r]*\n[A-Za-z0-9+/=\r\n]*[A-Za-z0-9+/=](?m:$)"
+_WORDS = r"[A-Za-z0-9+/=\s\\]*[A-Za-z0-9+/=]{40}(?:\s+(?:[A-Za-z0-9+/]+={1,2}|[A-Za-z0-9+/=]+(?m:$)))?"
+PRIVATE_KEY = r"-----BEGIN " + _NAME + "(?:" + _TO_END + "|" + _HEADERS + "(?:" + _LINES + "|" + _WORDS + "))?"
 #: Fixed formats that issuers publish for their keys.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
