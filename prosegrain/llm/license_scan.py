@@ -3,7 +3,8 @@
 A text is cut into sentences, each is normalised and looked up among known
 licence sentences. The text becomes a sequence of sentence identifiers; a
 licence is found where the sequence holds the identifiers of one of its
-ordered rules, with at most ``GAP`` foreign sentences between two of them.
+ordered rules, with at most ``GAP`` foreign sentences between two of them
+(none between those of ``NEXT``).
 
 The lookup and the matching happen inside the row: no shuffle, no join, and
 copies or a hot source cost nothing extra. DataFrame functions only.
@@ -20,6 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import let, need
 
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+
+
+def _marked(sentence: str, *after: str, before: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """``sentence`` as it is and with the number of a clause before or after it."""
+    return (sentence, *[f"{sentence} {x}" for x in after], *[f"{x} {sentence}" for x in before])
+
+
 # Sentences of public licence texts and notices, normalised (lower case, runs of other
 # than letters and digits as one blank). Identifier -> spellings.
 SENTENCES: dict[str, tuple[str, ...]] = {
@@ -38,13 +48,16 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "M": ("licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     "N": ("licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
     "O": ("licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    "P": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "Q": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "P": _marked(_BSD, "1", "a"),  # wrapped, the first clause's number ends the sentence before it
+    "Q": _marked("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", before=("3", "c")),
     "R": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
     "S": ("spdx license identifier bsd 3 clause",),
     "T": ("spdx license identifier bsd 2 clause",),
     "U": ("this source code form is subject to the terms of the mozilla public license v 2 0", "spdx license identifier mpl 2 0"),
     "V": ("all rights reserved",),
+    "W": _marked(_SOURCE, before=("1", "a")),
+    "X": _marked("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", before=("2", "b")),
+    "Y": tuple(f"{_BSD} {s}" for s in _marked(_SOURCE, before=("1", "a"))),  # wrapped, with a bullet or a number in brackets
 }
 #: Ordered rules in order of preference: a later rule of the same licence only counts where an earlier one does not hold.
 RULES: tuple[tuple[str, str], ...] = (
@@ -52,10 +65,13 @@ RULES: tuple[tuple[str, str], ...] = (
     ("MIT", "IGH"), ("MIT", "EIGH"), ("MIT", "E"), ("MIT", "F"),
     ("GPL-3.0", "L"), ("GPL-3.0", "J"), ("GPL-3.0", "K"),
     ("CC-BY-NC-4.0", "M"), ("CC-BY-4.0", "N"), ("CC-BY-SA-4.0", "O"),
-    ("BSD-3-Clause", "PQR"), ("BSD-3-Clause", "S"), ("BSD-2-Clause", "PR"), ("BSD-2-Clause", "T"),
+    ("BSD-3-Clause", "PWXQR"), ("BSD-3-Clause", "YXQR"), ("BSD-3-Clause", "PQR"), ("BSD-3-Clause", "S"),
+    ("BSD-2-Clause", "PWXR"), ("BSD-2-Clause", "YXR"), ("BSD-2-Clause", "PR"), ("BSD-2-Clause", "T"),
     ("MPL-2.0", "U"), ("all-rights-reserved", "V"),
 )
 GAP = 2
+#: Pairs that must follow each other: a sentence between the second clause and the disclaimer is a third clause.
+NEXT = ("XR",)
 #: Ends of sentences: a full stop, question or exclamation mark or semicolon before white space, and line ends.
 ENDS = r"[.!?;]+(?:\s|\z)|\n"
 #: The same without line ends, for sentences that run over several lines.
@@ -89,7 +105,7 @@ def sequence(text: Column) -> Column:
 
 
 def rule_regex(ids: str) -> str:
-    return (FOREIGN + "{0,%d}" % GAP).join(ids)
+    return ids[0] + "".join(("" if a + b in NEXT else FOREIGN + "{0,%d}" % GAP) + b for a, b in zip(ids, ids[1:]))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
