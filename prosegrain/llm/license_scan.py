@@ -83,11 +83,10 @@ def normal(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
-def sequence(text: Column) -> Column:
-    """A character a sentence, in order: its identifier, or ``-`` for a sentence that no licence has.
+def sequences(text: Column) -> tuple[Column, Column]:
+    """The text by lines, and by sentences that run over line ends: a character a sentence, its identifier or ``-`` for one that no licence has.
 
-    A rule sentence of more than one line is matched with its line ends taken
-    as blanks if the text has no known sentence by lines.
+    The second is null for a text without words of a licence.
     """
     spelled = [(s, k) for k, all_ in SENTENCES.items() for s in all_]
     names, ids = F.array(*[F.lit(s) for s, _ in spelled]), F.array(*[F.lit(k) for _, k in spelled])
@@ -99,9 +98,8 @@ def sequence(text: Column) -> Column:
     # A sentence more than twice as long as the longest known one cannot be one; it is not normalised.
     coded = lambda ends: F.array_join(F.transform(F.filter(F.split(text, ends, -1), lambda s: F.length(F.btrim(s)) > 0),
                                                   lambda s: F.when(F.length(s) <= 2 * longest, code(s)).otherwise(FOREIGN)), "")
-    by_line = coded(ENDS)
-    wrapped = coded(WRAPPED_ENDS)
-    return let(by_line, lambda x: F.when(x.rlike("[A-Z]") | ~F.lower(text).rlike("licen[cs]e|warrant|redistribut|permission"), x).otherwise(wrapped))
+    wrapped = F.when(F.lower(text).rlike("licen[cs]e|warrant|redistribut|permission"), coded(WRAPPED_ENDS))
+    return coded(ENDS).alias("by_line"), wrapped.alias("wrapped")
 
 
 def rule_regex(ids: str) -> str:
@@ -109,13 +107,23 @@ def rule_regex(ids: str) -> str:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_sentences, sentence_ids (known identifiers in order), licenses (sorted, comma-joined), rules."""
-    seq = need(docs, id_col, text_col).select(F.col(id_col), sequence(F.coalesce(F.col(text_col), F.lit(""))).alias("seq"))
-    met = F.array_compact(F.array(*[F.when(F.col("seq").rlike(rule_regex(ids)), F.lit(f"{name}:{ids}")) for name, ids in RULES]))
-    known = F.col("seq").rlike("[A-Z]")
+    """One row a document: id, n_sentences, sentence_ids (known identifiers in order), licenses (sorted, comma-joined), rules.
+
+    Rules are met by lines or over line ends; identifiers are those by lines,
+    then those found over line ends only. Sentences are counted by lines,
+    unless only the other way finds a known one.
+    """
+    rows = need(docs, id_col, text_col).select(F.col(id_col), *sequences(F.coalesce(F.col(text_col), F.lit(""))))
+    by_line, wrapped = F.col("by_line"), F.coalesce("wrapped", F.lit(""))
+    counted = F.when(by_line.rlike("[A-Z]"), by_line).otherwise(F.coalesce("wrapped", by_line))
+    ids = F.concat(F.translate(by_line, FOREIGN, ""), F.call_function("translate", wrapped, F.concat(by_line, F.lit(FOREIGN)), F.lit("")))
+    # One string for the rules: "/" is neither a sentence nor foreign, so none matches across it.
+    seq = rows.select(id_col, F.length(counted).cast("long").alias("n_sentences"), ids.alias("sentence_ids"), F.concat_ws("/", by_line, wrapped).alias("both"))
+    met = F.array_compact(F.array(*[F.when(F.col("both").rlike(rule_regex(ids)), F.lit(f"{name}:{ids}")) for name, ids in RULES]))
+    known = F.col("both").rlike("[A-Z]")
     met = F.when(known, met).otherwise(F.array().cast("array<string>"))
     names = F.array_sort(F.array_distinct(F.transform(F.col("met"), lambda x: F.substring_index(x, ":", 1))))
     return seq.withColumn("met", met).select(
-        id_col, F.length("seq").cast("long").alias("n_sentences"), F.translate("seq", FOREIGN, "").alias("sentence_ids"),
+        id_col, "n_sentences", "sentence_ids",
         F.array_join(names, ",").alias("licenses"), F.array_join("met", ",").alias("rules"),
     )
