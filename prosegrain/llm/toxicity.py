@@ -35,6 +35,8 @@ STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s)[^.!?\n]*)*[.!?]*")
 WORD_CACHE = 150_000
 PREFIXES = (4, 5, 6)
+#: A sentence whose own probability reaches this is offending; there is no cap on their number.
+OFFENDING = 0.5
 
 
 class Model(NamedTuple):
@@ -122,8 +124,8 @@ class Scorer:
         for w in new:
             self.cache[w] = tuple(weights[f] for f in features(w) if f in weights) or None
 
-    def __call__(self, text: str, most: int = 5) -> tuple[float, list[tuple[int, int, float]]]:
-        """(document's score, its highest sentences as (start, stop, score) in code points, in order of place)."""
+    def __call__(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """(document's score, all its offending sentences as (start, stop, score) in code points, in order of place)."""
         words = set(text.split())
         new = words.difference(self.cache)
         if new:
@@ -137,8 +139,8 @@ class Scorer:
                 if told:
                     p = 1 / (1 + np.exp(-min(30.0, max(-30.0, sum(told) + self.model.bias))))
                     none *= 1 - p
-                    found.append((a, b, float(p)))
-        found = sorted(sorted(found, key=lambda s: (-s[2], s[0]))[:most])
+                    if p >= OFFENDING:
+                        found.append((a, b, float(p)))
         return float(1 - none), found
 
     def _of(self, w: str) -> tuple[float, ...] | None:
@@ -163,7 +165,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column | None =
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("score", "offending")) -> DataFrame:
-    """``docs`` with two more columns: the score, and (start, stop, score) of the sentences that carry it."""
+    """``docs`` with two more columns: the score, and (start, stop, score) of every sentence that scores ``OFFENDING`` or more."""
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features
