@@ -7,9 +7,10 @@ and differs from its neighbour's; a phrase begins at each local maximum. So an
 equal stretch of two texts is parsed alike, but for a few phrases at its ends,
 wherever it stands. A phrase's name is a hash of its content.
 
-The fingerprint holds the smallest names of phrases of phrases, and those of
-the first phrases too where a text has few others. Likeness estimates the share
-of phrases two texts have in common.
+The fingerprint holds the smallest names of the first phrases and of phrases of
+phrases; of the latter at least one in ``SHARE``, so their number grows with the
+text and an equal stretch leaves its share of names in both fingerprints at any
+length. Likeness estimates the share of phrases two texts have in common.
 
 Defined cases: a null text is an empty one and its fingerprint is ``00``; two
 empty texts are alike (1.0), an empty and another one are not (0.0); equal ids
@@ -32,8 +33,9 @@ from .common import cut, need, tidy
 
 U = np.uint64
 LOT_CHARS = 1 << 20
-#: Names kept of the first and the second level.
-KEEP = (48, 64)
+#: Names kept of the first and the second level; of the second, one in SHARE if that is more.
+KEEP = (48, 96)
+SHARE = 8
 #: Texts with fewer second-level names than this are compared by their first level.
 FEW = 8
 DEEPEST = 2
@@ -140,15 +142,16 @@ def parse(texts: list[bytes], levels: int = DEEPEST) -> list[tuple[np.ndarray, n
 def fingerprints(texts: list[bytes]) -> list[bytes]:
     """A byte with the number of first-level names that follow, those, then second-level names; 32 bits each, ascending."""
     halves = []
-    for (names, sizes), keep in zip(parse(texts), KEEP):
+    for level, ((names, sizes), keep) in enumerate(zip(parse(texts), KEEP)):
         low = mix(names) >> U(32)
         key = np.unique((np.repeat(np.arange(len(texts), dtype=np.uint64), sizes) << U(32)) | low)
         of = (key >> U(32)).astype(np.int64)
         data = (key & U(0xFFFFFFFF)).astype(">u4").tobytes()
         ends = np.searchsorted(of, np.arange(len(texts)), side="right")
         starts = np.concatenate([[0], ends[:-1]])
-        halves.append([data[4 * a : 4 * min(b, a + keep)] for a, b in zip(starts.tolist(), ends.tolist())])
-    return [b"\0" + b if len(b) >= 4 * FEW else bytes([len(a) // 4]) + a + b for a, b in zip(*halves)]
+        kept = np.minimum(ends, starts + (np.maximum(keep, -((starts - ends) // SHARE)) if level else keep))
+        halves.append([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), kept.tolist())])
+    return [bytes([len(a) // 4]) + a + b for a, b in zip(*halves)]
 
 
 def _levels(mark: bytes) -> tuple[list[int], list[int]]:
@@ -163,7 +166,7 @@ def likeness(a: bytes, b: bytes) -> float:
     a, b = _levels(a), _levels(b)
     level = 1 if max(len(a[1]), len(b[1])) >= FEW else 0
     x, y = a[level], b[level]
-    smallest = sorted({*x, *y})[: KEEP[level]]
+    smallest = sorted({*x, *y})[: max(KEEP[level], min(len(x), len(y)))]
     both = {*x} & {*y}
     return sum(n in both for n in smallest) / len(smallest) if smallest else 0.0
 
