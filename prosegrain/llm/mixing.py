@@ -84,17 +84,18 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     some = queued.where("size > 0")
     instances = some.select("size", F.explode(F.array(*[finish(e) for e in range(max_epochs)])).alias("time"))
-    # No instance after time 1 + one document matters: by then every source has had its target.
-    sliced = instances.where("time <= 2").withColumn("slice", F.floor(F.col("time") * time_buckets))
-    by_slice = sliced.groupBy("slice").agg(F.sum("size").alias("words"))  # at most 2 * time_buckets + 1 rows
+    # Slices beyond time 2 widen with the time, so a long tail adds time_buckets of them each time it doubles.
+    late = 2 * time_buckets + F.floor(F.log2(F.col("time") / 2) * time_buckets)
+    sliced = instances.withColumn("slice", F.when(F.col("time") <= 2, F.floor(F.col("time") * time_buckets)).otherwise(late))
+    by_slice = sliced.groupBy("slice").agg(F.sum("size").alias("words"), F.min("time").alias("low"))
     run = W.orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     budget = sizes.agg((F.coalesce(F.sum("size"), F.lit(0)) * budget_share).alias("budget"))
     over = by_slice.withColumn("upto", F.sum("words").over(run)).crossJoin(F.broadcast(budget)).where("upto > budget")
-    last = over.agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"), "budget"), "slice").alias("x")).select("x.*").where("slice is not null")
+    last = over.agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"), "budget", "low"), "slice").alias("x")).select("x.*").where("slice is not null")
     inside = sliced.join(F.broadcast(last), "slice").groupBy("time").agg(F.sum("size").alias("words"), F.first("before").alias("before"), F.first("budget").alias("budget"))
     inside = inside.withColumn("upto", F.col("before") + F.sum("words").over(W.orderBy("time").rowsBetween(W.unboundedPreceding, W.currentRow)))
     # One row: the last virtual time served within the budget; infinite if the budget is never spent.
-    cutoff = last.select(F.lit(1).alias("one"), (F.col("slice") / time_buckets).alias("low")).join(
+    cutoff = last.select("low").join(
         inside.where("upto <= budget").agg(F.max("time").alias("high")), how="left").agg(
         F.coalesce(F.max("high"), F.max("low"), F.lit(float("inf"))).alias("cutoff"), F.max("high").isNull().alias("open"))
     inside_cut = lambda e: F.when(F.col("open"), finish(e) < F.col("cutoff")).otherwise(finish(e) <= F.col("cutoff"))
