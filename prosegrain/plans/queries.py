@@ -260,7 +260,7 @@ def extend_approved(spark, sf_dir):
     return L.extend(lexicon(spark, sf_dir), *_german(spark, sf_dir)).approved
 
 
-REPS = 200
+REPS = 2000
 
 
 @query("delta_bootstrap", f"""WITH {O.SCORED}, u AS (SELECT CASE WHEN lang = 'en' THEN 'a' ELSE 'b' END AS side, s.* FROM scores s JOIN documents d ON d.doc_id = s.unit),
