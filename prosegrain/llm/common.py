@@ -16,8 +16,11 @@ FALLBACK_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder all executors share: ``spark.checkpoint.dir``, or in local mode, where that is unset, our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or FALLBACK_DIR
 
 
 def own_dir(spark: SparkSession) -> str:
@@ -47,8 +50,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    by_place = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # names may clash
+    by_place.write.parquet(path)
+    out = spark.read.schema(by_place.schema).parquet(path).toDF(*df.columns)
     out.cut_path = path
     return out
 
@@ -79,9 +83,30 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def _numbered(df: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    names = df.columns
+    if missing := [c for c in columns if c not in names]:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(names)}")
+    return df.toDF(*[f"c{k}" for k in range(len(names))]), [F.col(f"c{names.index(c)}") for c in columns]
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
-    """Only ``columns`` of ``df``, by exact name; other columns cannot clash with ours."""
-    return df.select(*[df[c] for c in columns])
+    """Only ``columns`` of ``df``, by exact name, the first of equal ones; other columns cannot clash, not even in case."""
+    by_place, wanted = _numbered(df, columns)
+    return by_place.select(*[c.alias(n) for c, n in zip(wanted, columns)])
+
+
+def with_row(df: DataFrame, **columns: str) -> DataFrame:
+    """Every column of ``df``, by place, as struct ``row``; beside it the named ones under the names given (new=old)."""
+    by_place, wanted = _numbered(df, tuple(columns.values()))
+    return by_place.select(F.struct("*").alias("row"), *[c.alias(n) for c, n in zip(wanted, columns)])
+
+
+def unpacked(rows: DataFrame, like: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``like`` out of ``row`` as made by :func:`with_row`, some of them replaced."""
+    places = {like.columns.index(c): value for c, value in (new or {}).items()}
+    out = rows.select(*[places.get(k, F.col("row")[f"c{k}"]).alias(f"c{k}") for k in range(len(like.columns))])
+    return out.toDF(*like.columns)
 
 
 def release(spark: SparkSession) -> None:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, drop, need, release, tidy
+from .common import SPACES, cut, drop, need, release, tidy, unpacked, with_row
 from .components import components
 
 U = np.uint64
@@ -432,8 +432,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = jaccard_classes(docs, id_col, text_col, **options).where("n_shingles > 0")
     best = classes.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key")).alias("b"))
     best = best.select(F.col("b.id").alias("of_id"), F.col("b.text_key").alias("of_key"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.unhex(F.md5(text)).alias("k"), (F.btrim(text, F.lit(SPACES)) == "").alias("blank"))
+    text = F.coalesce(F.col("t"), F.lit(""))
+    rows = with_row(docs, i=id_col, t=text_col).select("row", "i", F.unhex(F.md5(text)).alias("k"), (F.btrim(text, F.lit(SPACES)) == "").alias("blank"))
     same = F.col("i").eqNullSafe(F.col("of_id")) & (F.col("k") == F.col("of_key"))
-    kept = rows.where("not blank").join(best, same, "left_semi").dropDuplicates(["i", "k"])
-    return kept.select("row.*").unionByName(rows.where("blank").select("row.*"))
+    # Rows of one id and one text may differ in other columns: that of the least JSON form stays, so that reruns agree.
+    kept = rows.where("not blank").join(best, same, "left_semi").groupBy("i", "k").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return unpacked(kept.select("row").union(rows.where("blank").select("row")), docs)

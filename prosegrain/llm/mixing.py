@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, need
+from .common import cut, n_words, need, unpacked, with_row
 
 
 def source_targets(sizes: DataFrame, budget_share: float = 1.0, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -105,9 +105,9 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
-    """``docs`` as mixed: rows that are not taken go, a row taken n times is there n times."""
+    """``docs`` as mixed: rows that are not taken go, a row taken n times is there n times. Other columns stay as they are, clashing names too."""
     taken = fair_mix(docs, id_col, text_col, source_col, seed, **options).where("epochs > 0")
     taken = taken.select(F.col(id_col).alias("of_id"), F.col("source").alias("of_source"), F.col("mixed").alias("of_mixed"), F.col("epochs").alias("times")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), mixed(seed, F.col(id_col), F.col(text_col)).alias("m"))
+    rows = with_row(docs, i=id_col, s=source_col, t=text_col).withColumn("m", mixed(seed, F.col("i"), F.col("t"))).drop("t")
     same = F.col("i").eqNullSafe(F.col("of_id")) & F.col("s").eqNullSafe(F.col("of_source")) & (F.col("m") == F.col("of_mixed"))
-    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), "times")).alias("time")).select("row.*")
+    return unpacked(rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), "times")).alias("time")), docs)
