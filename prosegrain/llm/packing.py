@@ -1,23 +1,27 @@
 """Best-fit packing of documents into sequences of bounded length.
 
 Bulk-synchronous best-fit. Documents (of fewer tokens than a sequence) and gaps
-(the room left in open sequences) are range-sorted together by size. A sweep
-over each range fits every document, largest first, into the smallest gap of
-its range that takes it. What a range cannot match meets the rest through the
-ranges' counts: gaps of a range take the largest documents left in the ranges
-below, matched by rank, so no two want the same place. Gaps are updated and the
-round is repeated. Once at most ``serial`` documents and gaps are left, one
-task sweeps them to the end and opens sequences for what fits nowhere.
+(the room left in open sequences) are range-sorted together by size, at least
+``ranges`` ranges at every size of input. A sweep over each range fits every
+document, largest first, into the smallest gap of its range that takes it. What
+a range cannot match meets the rest through the ranges' counts: untouched gaps
+of a range take the largest documents left in the ranges below, matched by
+rank, so no two want the same place. Gaps are updated and the round is repeated
+until no document is left; a round that places nothing opens as many sequences
+as the rest needs at least.
 
 The first round opens as many sequences as the tokens need at least. Longer
 documents are cut into full sequences and a last piece.
 
-Every round is written to the shared folder, so a lost executor repeats at most
-a round. The driver sees a few numbers for each range.
+A round reads the state that the round before wrote to the shared folder, so a
+lost executor repeats at most a round. The driver
+sees a few numbers for each range, of which there is one for ``per_range``
+documents and gaps.
 
 Defined cases: a null text is an empty one, which is one end id; repeated rows
-are documents of their own; an empty table gives an empty result; other columns
-are ignored.
+are documents of their own; equal sizes are taken in the order of the pieces'
+numbers; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, need, tidy
-from .tokens import default_path, encoder, lots
+from .common import cut, drop, need, tidy
+from .tokens import WordEncoder, default_path, encoder, lots
 
-#: Documents and gaps that one sweep takes, and that one task finishes.
-SERIAL = 100_000
+#: Most documents and gaps that one sweep takes, and the least number of ranges of a round.
+PER_RANGE, RANGES = 50_000, 4
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -43,7 +47,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, keep_old=False)
+        try:
+            yield from encoded(enc, batches)
+        finally:
+            enc.forget()  # the rounds that follow need the memory
+
+    def encoded(enc: WordEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for lot in lots(batch.column(1)):
@@ -85,10 +95,9 @@ class Gaps:
         return room, gap
 
 
-def best_fit(items: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int | None, new: int = 0):
+def best_fit(items: list[tuple[int, int]], gaps: list[tuple[int, int]]):
     """Best fit of (size, item), sorted, largest first, into (size, gap).
 
-    With a capacity, whatever fits nowhere opens gap number ``new`` and on.
     Gives (placed: item -> gap, rest of items largest first, gap -> room left, gaps not touched in order of size).
     """
     open_ = Gaps()
@@ -98,8 +107,6 @@ def best_fit(items: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity
     least = items[0][0] if items else 0
     for size, item in reversed(items):
         got = open_.fit(size)
-        if got is None and capacity is not None:
-            got, new = (capacity, new), new + 1
         if got is None:
             rest.append((size, item))
             continue
@@ -114,33 +121,29 @@ def best_fit(items: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity
 SWEPT = "part int, is_gap boolean, id long, size long, bin long, rank long"
 
 
-def sweep(capacity: int | None, new: int):
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One sorted range: rows (is_gap, id, size) in, rows of SWEPT out.
 
     A document has ``bin`` if it was placed, else ``rank`` (0: the largest). A
     gap has its room left; if nothing was put into it, ``rank`` (0: the smallest).
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        items, gaps = [], []
-        for b in batches:
-            for is_gap, i, size in zip(*[c.to_pylist() for c in b.columns]):
-                (gaps if is_gap else items).append((size, i))
-        size_of = {i: s for s, i in items}
-        placed, rest, room, untouched = best_fit(items, gaps, capacity, new)
-        rows = [(False, i, size_of[i], g, None) for i, g in placed.items()]
-        rows += [(False, i, s, None, k) for k, (s, i) in enumerate(rest)]
-        rows += [(True, g, s, None, None) for g, s in room.items()] + [(True, g, s, None, k) for k, (s, g) in enumerate(untouched)]
-        for k in range(0, len(rows), 20_000):
-            cols = list(zip(*rows[k : k + 20_000]))
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(cols[0]), pa.int32()), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                                             ["part", "is_gap", "id", "size", "bin", "rank"])
-
-    return run
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    items, gaps = [], []
+    for b in batches:
+        for is_gap, i, size in zip(*[c.to_pylist() for c in b.columns]):
+            (gaps if is_gap else items).append((size, i))
+    size_of = {i: s for s, i in items}
+    placed, rest, room, untouched = best_fit(items, gaps)
+    rows = [(False, i, size_of[i], g, None) for i, g in placed.items()]
+    rows += [(False, i, s, None, k) for k, (s, i) in enumerate(rest)]
+    rows += [(True, g, s, None, None) for g, s in room.items()] + [(True, g, s, None, k) for k, (s, g) in enumerate(untouched)]
+    for k in range(0, len(rows), 20_000):
+        cols = list(zip(*rows[k : k + 20_000]))
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(cols[0]), pa.int32()), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
+                                         ["part", "is_gap", "id", "size", "bin", "rank"])
 
 
 def successors(parts: list) -> list[tuple[int, int, int, int, int, int]]:
@@ -168,7 +171,25 @@ def successors(parts: list) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = 4096, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", serial: int = SERIAL) -> DataFrame:
+def crossed(swept: DataFrame, found: list[tuple]) -> DataFrame:
+    """(is_gap, id, size, bin) after a round: ``swept`` with the ranges' matches carried out.
+
+    Documents with a bin are placed, by the sweep or now. The matches, some a range, are joined by
+    range, so the planner weighs their size as it does any table's.
+    """
+    pairs = swept.sparkSession.createDataFrame(found, "of int, first long, n long, to int, at long, each long")
+    loose = swept.where("not is_gap and bin is null")
+    hit = (F.col("part") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+    wanted = loose.join(pairs, hit, "left").select("id", "size", "to", (F.col("at") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("want"))
+    room = swept.where("is_gap and rank is not null").select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("id").alias("gap"))
+    met = wanted.join(room, (F.col("to") == F.col("gap_part")) & (F.col("want") == F.col("gap_rank")), "left").select("id", "size", F.col("gap").alias("bin"))
+    taken = met.where("bin is not null").groupBy(F.col("bin").alias("in")).agg(F.sum("size").alias("taken"))
+    gaps = swept.where("is_gap").join(taken, F.col("id") == F.col("in"), "left").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size"))
+    done = swept.where("not is_gap and bin is not null").select("is_gap", "id", "size", "bin")
+    return done.unionByName(met.select(F.lit(False).alias("is_gap"), "id", "size", "bin")).unionByName(gaps.select(F.lit(True).alias("is_gap"), "id", "size", F.lit(None).cast("long").alias("bin")))
+
+
+def pack(docs: DataFrame, capacity: int = 4096, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", per_range: int = PER_RANGE, ranges: int = RANGES) -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     table = pieces(docs, tokenizer_path or default_path(), capacity, end_id, id_col, text_col)
@@ -176,46 +197,35 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer_path: str | None = Non
     whole = table.where(F.col("length") >= capacity).select("item", (F.col("item") * 2 + 1).alias("sequence_id"))
     items = table.where(F.col("length") < capacity).select(F.col("item").alias("id"), F.col("length").alias("size"))
     n_items, words = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    n_gaps = opened = -(-words // capacity)
-    gaps = spark.range(opened).select("id", F.lit(capacity).cast("long").alias("size"))
-    logs = []
+    opened, n_gaps, rounds = 0, 0, []
+
+    def rows(df: DataFrame, is_gap: bool) -> DataFrame:
+        return df.select(F.lit(is_gap).alias("is_gap"), "id", "size")
+
+    state, fits = rows(items, False), False  # documents and gaps before a round
     while n_items:
-        last = n_items + n_gaps <= serial
-        both = items.select(F.lit(False).alias("is_gap"), "id", "size").unionByName(gaps.select(F.lit(True).alias("is_gap"), "id", "size"))
-        if last:
-            both = both.coalesce(1)
-        else:
-            both = both.repartitionByRange(max(2, -(-(n_items + n_gaps) // serial)), "size", "is_gap", "id")
-        swept = cut(both.sortWithinPartitions("size", "is_gap", "id").mapInArrow(tidy(sweep(capacity if last else None, opened)), SWEPT), "swept")
-        logs.append(swept.where("bin is not null").select("id", "bin"))
-        if last:
-            break
-        left = F.col("rank").isNotNull()
-        size_if = lambda gap: F.when(left & (F.col("is_gap") == gap), F.col("size"))
-        parts = swept.groupBy("part").agg(F.count(size_if(False)), F.max(size_if(False)), F.count(size_if(True)), F.min(size_if(True)), F.count("bin")).orderBy("part").collect()
-        found = successors([tuple(p)[:5] for p in parts])
-        if found or any(p[5] for p in parts):
-            pairs = spark.createDataFrame(found, "of int, first long, n long, to int, at long, each long")  # a few rows a range
-            rest = swept.where(left)
-            loose = rest.where("not is_gap").join(F.broadcast(pairs), (F.col("part") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")), "left")
-            wanted = loose.select(F.col("id").alias("item"), F.col("size").alias("item_size"), "to", (F.col("at") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("want"))
-            room = rest.where("is_gap").select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("id").alias("gap"))
-            crossed = cut(wanted.join(room, (F.col("to") == F.col("gap_part")) & (F.col("want") == F.col("gap_rank")), "left").select(F.col("item").alias("id"), F.col("item_size").alias("size"), F.col("gap").alias("bin")), "crossed")
-            logs.append(crossed.where("bin is not null").select("id", "bin"))
-            taken = crossed.where("bin is not null").groupBy(F.col("bin").alias("in")).agg(F.sum("size").alias("taken"))
-            gaps = swept.where("is_gap").join(taken, F.col("id") == F.col("in"), "left").select("id", (F.col("size") - F.coalesce(F.col("taken"), F.lit(0))).alias("size"))
-            items = crossed.where("bin is null").select("id", "size")
-            n_items, least = items.agg(F.count("*"), F.min("size")).first()
-            gaps = gaps.where(F.col("size") >= (least or capacity))
-            n_gaps = gaps.count()
-        else:  # nothing fits anywhere: open what the rest needs at least
-            words = items.agg(F.sum("size")).first()[0]
+        if not fits:  # nothing fits anywhere: open what the rest needs at least
             more = -(-words // capacity)
-            gaps = spark.range(opened, opened + more).select("id", F.lit(capacity).cast("long").alias("size"))
-            opened, n_gaps = opened + more, more
+            state = state.unionByName(rows(spark.range(opened, opened + more).select("id", F.lit(capacity).cast("long").alias("size")), True))
+            opened, n_gaps = opened + more, n_gaps + more
+        dealt = state.repartitionByRange(max(ranges, -(-(n_items + n_gaps) // per_range)), "size", "is_gap", "id")
+        swept = cut(dealt.sortWithinPartitions("size", "is_gap", "id").mapInArrow(tidy(sweep), SWEPT), "swept")
+        left, gap = F.col("bin").isNull() & ~F.col("is_gap"), F.col("is_gap") & F.col("rank").isNotNull()
+        sizes = [F.count_if(left), F.max(F.when(left, F.col("size"))), F.count_if(gap), F.min(F.when(gap, F.col("size"))), F.count("bin"), F.sum(F.when(left, F.col("size"))), F.min(F.when(left, F.col("size")))]
+        parts = [tuple(p) for p in swept.groupBy("part").agg(*sizes).orderBy("part").collect()]
+        found = successors([p[:5] for p in parts])
+        matched = sum(f[2] for f in found)
+        fits, n_items = bool(matched or sum(p[5] for p in parts)), sum(p[1] for p in parts) - matched
+        words = sum(p[6] or 0 for p in parts)  # of what the sweep left: all there is where nothing fits
+        least = min((p[7] for p in parts if p[7]), default=capacity)
+        if fits:
+            rounds.append(cut(crossed(swept, found), "packed"))
+            state = rounds[-1].where("bin is null").where(F.col("size") >= least).select("is_gap", "id", "size")  # smaller gaps take nothing more
+        drop(swept)
     placed = whole
-    for log in logs:
-        placed = placed.unionByName(log.select(F.col("id").alias("item"), (F.col("bin") * 2).alias("sequence_id")))
+    if rounds:
+        log = spark.read.schema("c0 boolean, c1 long, c2 long, c3 long").parquet(*[r.cut_path for r in rounds]).toDF("is_gap", "id", "size", "bin")
+        placed = whole.unionByName(log.where("not is_gap and bin is not null").select(F.col("id").alias("item"), (F.col("bin") * 2).alias("sequence_id")))
     out = table.join(placed.withColumnRenamed("item", "of"), F.col("item") == F.col("of"))
     before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "item").rowsBetween(W.unboundedPreceding, -1)
     return out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

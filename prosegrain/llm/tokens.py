@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept with their ids. A full cache becomes the old one, whose words are taken over when they come again; so a
-#: worker's memory is bounded by twice this number.
+#: Words kept with their ids. A full cache becomes the old one, whose words are taken over when they come again, or is
+#: emptied where no old one is kept; so a worker's memory is bounded by twice this number, or by this number.
 CACHE_WORDS = 600_000
 #: Texts are handled in lots of about this many bytes.
-LOT_BYTES = 1 << 22
+LOT_BYTES = 1 << 20
 #: Bytes as the pieces see them: ASCII letters folded; tabs and line ends as blanks.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
@@ -60,21 +60,26 @@ class WordEncoder:
     tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep_old: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         #: Ids are kept in as few bytes as the vocabulary needs.
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.keep_old = keep_old
+        self.forget()
         (self.between,) = self._ids(BETWEEN)
         self.ends = {c: self._bytes(self._ids(c)) for c in ".,"}
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
         probes = ["the", "unheard", "zqxj", "été", "ÿß", "straße"]
         self.direct = all(self._letters(w) == self._bytes(self._ids(w)) for w in probes)
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -140,7 +145,9 @@ class WordEncoder:
         words = pieces.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
         if len(self.cache) + len(names) > CACHE_WORDS:
-            self.old, self.cache = self.cache, {"": b""}
+            full = self.cache
+            self.forget()
+            self.old = full if self.keep_old else {}
         held = list(map(self.cache.get, names))
         self._learn(names, held)
         sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.dtype.itemsize
@@ -160,11 +167,12 @@ class WordEncoder:
         return [np.concatenate([ids[a:b], more]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, keep_old: bool = True) -> WordEncoder:
     """One encoder a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    key = (path, keep_old)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, keep_old)
+    return _ENCODERS[key]

@@ -95,15 +95,29 @@ def check_packing(rows, texts, capacity):
     return len(by_seq)
 
 
-@pytest.mark.parametrize("serial", [10**6, 40])
-def test_packing(spark, serial):
+@pytest.mark.parametrize("per_range,ranges", [(50_000, 4), (20, 2)])
+def test_packing(spark, per_range, ranges):
     rng = np.random.default_rng(3)
     texts = TEXTS + [" ".join(["the"] * int(n)) for n in rng.integers(1, 60, 120)]
     capacity = 64
-    rows = packing.pack(frame(spark, texts).repartition(3), capacity, serial=serial).collect()
+    rows = packing.pack(frame(spark, texts).repartition(3), capacity, per_range=per_range, ranges=ranges).collect()
     bins = check_packing(rows, texts, capacity)
     least = math.ceil(sum(len(i) + 1 for i in ids_of(texts)) / capacity)
     assert bins <= 1.05 * least + 1
+    sizes = sorted((len(i) + 1 for i in ids_of(texts)), reverse=True)
+    assert bins <= plain_best_fit([n for s in sizes for n in [capacity] * (s // capacity) + [s % capacity] if n], capacity) + 2
+
+
+def plain_best_fit(sizes, capacity):
+    """Sequences that best fit opens, largest first, one document at a time over all gaps."""
+    room = []
+    for s in sorted(sizes, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= s]
+        if fits:
+            room[min(fits, key=room.__getitem__)] -= s
+        else:
+            room.append(capacity - s)
+    return len(room)
 
 
 def test_packing_cases(spark):
@@ -116,7 +130,7 @@ def test_packing_cases(spark):
 @given(st.lists(st.integers(1, 50), max_size=60), st.lists(st.integers(1, 50), max_size=30))
 def test_best_fit_takes_the_smallest_gap(items, gaps):
     items, gaps = sorted((s, k) for k, s in enumerate(items)), sorted((s, k) for k, s in enumerate(gaps))
-    placed, rest, room, untouched = packing.best_fit(items, gaps, None)
+    placed, rest, room, untouched = packing.best_fit(items, gaps)
     used = {}
     for s, k in items:
         if k in placed:
@@ -126,7 +140,6 @@ def test_best_fit_takes_the_smallest_gap(items, gaps):
     assert len(placed) + len(rest) == len(items) and {g for _, g in untouched} == set(size) - set(room)
     if rest and untouched:
         assert max(s for s, _ in untouched) < max(s for s, _ in rest)
-    assert not packing.best_fit(items, gaps, 50)[1]
 
 
 def test_successors_fit():
