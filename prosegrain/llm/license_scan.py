@@ -1,21 +1,26 @@
 """Licence scan by sentence rules.
 
 A text is cut into sentences, each is normalised and looked up among known
-licence sentences. The text becomes a sequence of sentence identifiers; a
-licence is found where the sequence holds the identifiers of one of its
-ordered rules, with at most ``GAP`` foreign sentences between two of them
-(none between those of ``NEXT``).
-
-The lookup and the matching happen inside the row: no shuffle, no join, and
-copies or a hot source cost nothing extra. DataFrame functions only.
-
-Defined cases: a null or blank text has no sentence and no licence; repeated
-rows each get their result; an empty table gives an empty result; other columns
-than id and text are ignored.
+licence sentences. The text becomes a sequence of sentence identifiers, ``-``
+for a sentence that no licence has; a licence is found where the sequence holds
+the identifiers of one of its ordered rules. A rule states how many foreign
+sentences may lie between two of its own.
+
+Every text is read twice: by lines, where a line end ends a sentence, and over
+line ends, where only a blank line does; the rules see both sequences. The
+lookup is in a hashed set, the matching is inside the row: no shuffle, no join,
+and copies or a hot source cost nothing extra. DataFrame functions only.
+
+Defined cases: a null or blank text has no sentence and no licence; sentences
+of any length are normalised and looked up; repeated rows each get their result;
+an empty table gives an empty result; other columns than id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,10 @@ from .common import let, need
 
 _BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
 _SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_AS_IS = "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+_CC = "creative commons attribution{} {} {} license"
 
 
 def _marked(sentence: str, *after: str, before: tuple[str, ...] = ()) -> tuple[str, ...]:
@@ -33,50 +42,139 @@ def _marked(sentence: str, *after: str, before: tuple[str, ...] = ()) -> tuple[s
 # Sentences of public licence texts and notices, normalised (lower case, runs of other
 # than letters and digits as one blank). Identifier -> spellings.
 SENTENCES: dict[str, tuple[str, ...]] = {
-    "A": ("licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"),
-    "B": ("you may not use this file except in compliance with the license",),
-    "C": ("you may obtain a copy of the license at http www apache org licenses license 2 0",),
-    "D": ("spdx license identifier apache 2 0",),
-    "E": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "mit license", "the mit license"),
-    "F": ("spdx license identifier mit",),
-    "G": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
-    "H": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
-    "I": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
-    "J": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "licensed under the gnu gpl version 3"),
-    "K": ("spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0 or later", "spdx license identifier gpl 3 0"),
-    "L": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
-    "M": ("licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    "N": ("licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    "O": ("licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    "P": _marked(_BSD, "1", "a"),  # wrapped, the first clause's number ends the sentence before it
-    "Q": _marked("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", before=("3", "c")),
-    "R": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
-    "S": ("spdx license identifier bsd 3 clause",),
-    "T": ("spdx license identifier bsd 2 clause",),
-    "U": ("this source code form is subject to the terms of the mozilla public license v 2 0", "spdx license identifier mpl 2 0"),
-    "V": ("all rights reserved",),
-    "W": _marked(_SOURCE, before=("1", "a")),
-    "X": _marked("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", before=("2", "b")),
-    "Y": tuple(f"{_BSD} {s}" for s in _marked(_SOURCE, before=("1", "a"))),  # wrapped, with a bullet or a number in brackets
+    "APACHEGRANT": ("licensed under the apache license version 2 0 the license",),
+    "APACHEFILE": ("you may not use this file except in compliance with the license",),
+    "APACHECOPY": ("you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0",
+                   "you may obtain a copy of the license at"),
+    "APACHETERMS": ("terms and conditions for use reproduction and distribution",),
+    "APACHETITLE": ("apache license", "apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses"),
+    "APACHEDATE": ("version 2 0 january 2004",),
+    "MITGRANT": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
+    "MITNOTICE": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
+    "MITASIS": (f"the software is provided as is {_AS_IS}",),
+    "BSDGRANT": _marked(_BSD, "1", "a"),  # wrapped, the first clause's number ends the sentence before it
+    "BSDSOURCE": _marked(_SOURCE, before=("1", "a")),
+    "BSDBOTH": tuple(f"{_BSD} {s}" for s in _marked(_SOURCE, before=("1", "a"))),  # wrapped, with a bullet or a number in brackets
+    "BSDBINARY": _marked(_BINARY, before=("2", "b")),
+    "BSDNAMES": _marked("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", before=("3", "c")),
+    "BSDASIS": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+    "ISCGRANT": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "ZEROGRANT": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "ISCASIS": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "ZLIBASIS": ("this software is provided as is without any express or implied warranty",),
+    "ZLIBGRANT": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "UNLICENSE": ("this is free and unencumbered software released into the public domain",),
+    "MPLFORM": ("this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license version 2 0"),
+    "MPLHEAD": ("this source code form is subject to the terms of the mozilla public license v",),  # the abbreviation's full stop ends it
+    "TWOZERO": ("2 0",),
+    "MPLTITLE": ("mozilla public license version 2 0",),
+    "GPLTITLE": ("gnu general public license",),
+    "LGPLTITLE": ("gnu lesser general public license",),
+    "AGPLTITLE": ("gnu affero general public license",),
+    "V2DATE": ("version 2 june 1991",),
+    "V21DATE": ("version 2 1 february 1999",),
+    "V3DATE": ("version 3 29 june 2007",),
+    "AGPLDATE": ("version 3 19 november 2007",),
+    "GPLTITLE2": ("gnu general public license version 2 june 1991",),  # over the line end
+    "GPLTITLE3": ("gnu general public license version 3 29 june 2007",),
+    "LGPLTITLE21": ("gnu lesser general public license version 2 1 february 1999",),
+    "LGPLTITLE3": ("gnu lesser general public license version 3 29 june 2007",),
+    "AGPLTITLE3": ("gnu affero general public license version 3 19 november 2007",),
+    "GNUFREE": tuple(f"this {x} is free software" for x in ("program", "library", "file", "software")),
+    "GPLTERMS": (_GNU.format("general public license"),),
+    "LGPLTERMS": (_GNU.format("lesser general public license"), _GNU.format("library general public license")),
+    "AGPLTERMS": (_GNU.format("affero general public license"),),
+    "EITHER2": ("either version 2 of the license or at your option any later version",),
+    "EITHER21": ("either version 2 1 of the license or at your option any later version",),
+    "EITHER3": ("either version 3 of the license or at your option any later version",),
+    "GPLNOTICE3": tuple(f"this {x} is free software {_GNU.format('general public license')} either version 3 of the license or at your option any later version" for x in ("program", "library", "file", "software")),
+    "LGPLNOTICE3": tuple(f"this {x} is free software {_GNU.format('lesser general public license')} either version 3 of the license or at your option any later version" for x in ("program", "library", "file", "software")),
+    "AGPLNOTICE3": tuple(f"this {x} is free software {_GNU.format('affero general public license')} either version 3 of the license or at your option any later version" for x in ("program", "library", "file", "software")),
+    "BOOSTTITLE": ("boost software license version 1 0 august 17th 2003",),
+    "BOOSTNOTICE": ("distributed under the boost software license version 1 0",),
+    "CCZERO": ("cc0 1 0 universal", "creative commons legal code cc0 1 0 universal"),
+    "RIGHTS": ("all rights reserved",),
+}
+# Names in sentences such as "licensed under the NAME", by licence; normalised.
+NAMES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license"),
+    "MIT": ("mit license",),
+    "BSD-2-Clause": ("bsd 2 clause license", "simplified bsd license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "new bsd license"),
+    "ISC": ("isc license",),
+    "GPL-2.0": ("gnu general public license version 2", "gnu gpl version 2"),
+    "GPL-3.0": ("gnu general public license version 3", "gnu gpl version 3"),
+    "LGPL-2.1": ("gnu lesser general public license version 2 1", "gnu lgpl version 2 1"),
+    "LGPL-3.0": ("gnu lesser general public license version 3", "gnu lgpl version 3"),
+    "AGPL-3.0": ("gnu affero general public license version 3", "gnu agpl version 3"),
+    "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0"),
+    "Unlicense": ("unlicense",),
+    "BSL-1.0": ("boost software license version 1 0",),
+    "EPL-2.0": ("eclipse public license 2 0", "eclipse public license v 2 0"),
+    "CC0-1.0": ("cc0 1 0",),
 }
-#: Ordered rules in order of preference: a later rule of the same licence only counts where an earlier one does not hold.
-RULES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "ABC"), ("Apache-2.0", "A"), ("Apache-2.0", "D"),
-    ("MIT", "IGH"), ("MIT", "EIGH"), ("MIT", "E"), ("MIT", "F"),
-    ("GPL-3.0", "L"), ("GPL-3.0", "J"), ("GPL-3.0", "K"),
-    ("CC-BY-NC-4.0", "M"), ("CC-BY-4.0", "N"), ("CC-BY-SA-4.0", "O"),
-    ("BSD-3-Clause", "PWXQR"), ("BSD-3-Clause", "YXQR"), ("BSD-3-Clause", "PQR"), ("BSD-3-Clause", "S"),
-    ("BSD-2-Clause", "PWXR"), ("BSD-2-Clause", "YXR"), ("BSD-2-Clause", "PR"), ("BSD-2-Clause", "T"),
-    ("MPL-2.0", "U"), ("all-rights-reserved", "V"),
+NAMING = ("licensed under the {}", "released under the {}", "distributed under the {}", "this work is licensed under the {}", "this project is licensed under the {}", "licensed under {}", "this work is licensed under {}")
+TITLES = ("mit license", "the mit license", "isc license", "bsd 2 clause license", "bsd 3 clause license")
+CC_KINDS = {"BY": "", "BY-SA": " sharealike", "BY-NC": " noncommercial", "BY-ND": " noderivatives", "BY-NC-SA": " noncommercial sharealike", "BY-NC-ND": " noncommercial noderivatives"}
+CC_VERSIONS = {"4.0": "international", "3.0": "unported"}
+TAG = "spdx license identifier {}"
+
+
+def _plain(name: str) -> str:
+    return "".join(c if c.isalnum() else " " for c in name.lower())
+
+
+def _named() -> tuple[dict[str, tuple[str, ...]], dict[str, str]]:
+    """Sentences that name a licence, built from the names: (identifier -> spellings, identifier -> licence)."""
+    names = {k: v for k, v in NAMES.items()}
+    for kind, words in CC_KINDS.items():
+        for version, scope in CC_VERSIONS.items():
+            names[f"CC-{kind}-{version}"] = (_plain(f"cc {kind} {version}"), _CC.format(words, version.replace(".", " "), scope), "a " + _CC.format(words, version.replace(".", " "), scope))
+    spelled, licence = {}, {}
+    for k, (name, ways) in enumerate(names.items()):
+        tags = [TAG.format(_plain(name))] + [TAG.format(_plain(name + x)) for x in ("-only", "-or-later") if "GPL" in name]
+        own = [way.format(w) for w in ways for way in NAMING] + [t for t in TITLES if any(t in (w, "the " + w) for w in ways)] + tags
+        spelled[f"NAMED{k}"], licence[f"NAMED{k}"] = tuple(dict.fromkeys(own)), name
+    return spelled, licence
+
+
+NAMED, NAMED_LICENCE = _named()
+SENTENCES |= NAMED
+
+
+class Rule(NamedTuple):
+    licence: str
+    #: Identifiers in order.
+    ids: tuple[str, ...]
+    #: Most foreign sentences before each identifier but the first; one number for all, or one for each.
+    gap: int | tuple[int, ...] = 2
+
+
+_LONG = 12  # the clauses of the licence itself
+RULES: tuple[Rule, ...] = (
+    Rule("Apache-2.0", ("APACHEGRANT", "APACHEFILE", "APACHECOPY")), Rule("Apache-2.0", ("APACHEGRANT",)), Rule("Apache-2.0", ("APACHETITLE", "APACHEDATE", "APACHETERMS")), Rule("Apache-2.0", ("APACHETITLE", "APACHETERMS")),
+    Rule("MIT", ("MITGRANT", "MITNOTICE", "MITASIS")), Rule("MIT", ("MITGRANT",)),
+    Rule("BSD-3-Clause", ("BSDGRANT", "BSDSOURCE", "BSDBINARY", "BSDNAMES", "BSDASIS"), _LONG), Rule("BSD-3-Clause", ("BSDBOTH", "BSDBINARY", "BSDNAMES", "BSDASIS"), _LONG), Rule("BSD-3-Clause", ("BSDGRANT", "BSDNAMES", "BSDASIS"), _LONG),
+    # A sentence between the second clause and the disclaimer would be a third clause.
+    Rule("BSD-2-Clause", ("BSDGRANT", "BSDSOURCE", "BSDBINARY", "BSDASIS"), (_LONG, _LONG, 0)), Rule("BSD-2-Clause", ("BSDBOTH", "BSDBINARY", "BSDASIS"), (_LONG, 0)),
+    Rule("ISC", ("ISCGRANT", "ISCASIS")), Rule("ISC", ("ISCGRANT",)), Rule("0BSD", ("ZEROGRANT", "ISCASIS")), Rule("Zlib", ("ZLIBASIS", "ZLIBGRANT"), 4), Rule("Unlicense", ("UNLICENSE",)),
+    Rule("MPL-2.0", ("MPLFORM",)), Rule("MPL-2.0", ("MPLHEAD", "TWOZERO"), 0), Rule("MPL-2.0", ("MPLTITLE",)),
+    Rule("GPL-2.0", ("GPLTITLE", "V2DATE"), 0), Rule("GPL-2.0", ("GPLTITLE2",)), Rule("GPL-2.0", ("GNUFREE", "GPLTERMS", "EITHER2"), 1),
+    Rule("GPL-3.0", ("GPLTITLE", "V3DATE"), 0), Rule("GPL-3.0", ("GPLTITLE3",)), Rule("GPL-3.0", ("GNUFREE", "GPLTERMS", "EITHER3"), 1), Rule("GPL-3.0", ("GPLNOTICE3",)),
+    Rule("LGPL-2.1", ("LGPLTITLE", "V21DATE"), 0), Rule("LGPL-2.1", ("LGPLTITLE21",)), Rule("LGPL-2.1", ("GNUFREE", "LGPLTERMS", "EITHER21"), 1),
+    Rule("LGPL-3.0", ("LGPLTITLE", "V3DATE"), 0), Rule("LGPL-3.0", ("LGPLTITLE3",)), Rule("LGPL-3.0", ("GNUFREE", "LGPLTERMS", "EITHER3"), 1), Rule("LGPL-3.0", ("LGPLNOTICE3",)),
+    Rule("AGPL-3.0", ("AGPLTITLE", "AGPLDATE"), 0), Rule("AGPL-3.0", ("AGPLTITLE3",)), Rule("AGPL-3.0", ("GNUFREE", "AGPLTERMS", "EITHER3"), 1), Rule("AGPL-3.0", ("AGPLNOTICE3",)),
+    Rule("BSL-1.0", ("BOOSTTITLE",)), Rule("BSL-1.0", ("BOOSTNOTICE",)), Rule("CC0-1.0", ("CCZERO",)),
+    *[Rule(name, (k,)) for k, name in NAMED_LICENCE.items()],
+    Rule("all-rights-reserved", ("RIGHTS",)),
 )
-GAP = 2
-#: Pairs that must follow each other: a sentence between the second clause and the disclaimer is a third clause.
-NEXT = ("XR",)
 #: Ends of sentences: a full stop, question or exclamation mark or semicolon before white space, and line ends.
 ENDS = r"[.!?;]+(?:\s|\z)|\n"
 #: The same without line ends, for sentences that run over several lines.
 WRAPPED_ENDS = r"[.!?;]+(?:\s|\z)|\n\s*\n"
 FOREIGN = "-"
+#: Every rule has a sentence with one of these; other texts hold none and need not be read over line ends.
+GATE = r"licen[cs]e|software|distribut|released|rights|gnu|\bcc"
 
 
 def normal(sentence: Column) -> Column:
@@ -84,46 +182,34 @@ def normal(sentence: Column) -> Column:
 
 
 def sequences(text: Column) -> tuple[Column, Column]:
-    """The text by lines, and by sentences that run over line ends: a character a sentence, its identifier or ``-`` for one that no licence has.
+    """The text by lines, and by sentences that run over line ends: an identifier or ``-`` a sentence, parted by blanks.
 
     The second is null for a text without words of a licence.
     """
     spelled = [(s, k) for k, all_ in SENTENCES.items() for s in all_]
     names, ids = F.array(*[F.lit(s) for s, _ in spelled]), F.array(*[F.lit(k) for _, k in spelled])
-    longest = max(len(s) for s, _ in spelled)
 
-    def code(s: Column) -> Column:
-        return let(normal(s), lambda n: F.coalesce(F.get(ids, F.array_position(names, n).cast("int") - 1), F.lit(FOREIGN)))
+    def code(s: Column) -> Column:  # the few known sentences alone are searched for their identifier
+        return let(normal(s), lambda n: F.when(n.isin([s for s, _ in spelled]), F.get(ids, F.array_position(names, n).cast("int") - 1)).otherwise(FOREIGN))
 
-    # A sentence more than twice as long as the longest known one cannot be one; it is not normalised.
-    coded = lambda ends: F.array_join(F.transform(F.filter(F.split(text, ends, -1), lambda s: F.length(F.btrim(s)) > 0),
-                                                  lambda s: F.when(F.length(s) <= 2 * longest, code(s)).otherwise(FOREIGN)), "")
-    wrapped = F.when(F.lower(text).rlike("licen[cs]e|warrant|redistribut|permission"), coded(WRAPPED_ENDS))
-    return coded(ENDS).alias("by_line"), wrapped.alias("wrapped")
+    coded = lambda ends: F.array_join(F.transform(F.filter(F.split(text, ends, -1), lambda s: F.btrim(s) != ""), code), " ")
+    return coded(ENDS).alias("by_line"), F.when(F.lower(text).rlike(GATE), coded(WRAPPED_ENDS)).alias("wrapped")
 
 
-def rule_regex(ids: str) -> str:
-    return ids[0] + "".join(("" if a + b in NEXT else FOREIGN + "{0,%d}" % GAP) + b for a, b in zip(ids, ids[1:]))
+def rule_regex(rule: Rule) -> str:
+    gaps = rule.gap if isinstance(rule.gap, tuple) else (rule.gap,) * (len(rule.ids) - 1)
+    return r"\b" + rule.ids[0] + "".join(f"(?: {FOREIGN}){{0,{n}}} {k}" for n, k in zip(gaps, rule.ids[1:])) + r"\b"
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_sentences, sentence_ids (known identifiers in order), licenses (sorted, comma-joined), rules.
-
-    Rules are met by lines or over line ends; identifiers are those by lines,
-    then those found over line ends only. Sentences are counted by lines,
-    unless only the other way finds a known one.
-    """
+    """One row a document: id, n_sentences (by lines), sentence_ids (known identifiers by lines, then over line ends after ``/``), licenses (sorted, comma-joined), rules."""
     rows = need(docs, id_col, text_col).select(F.col(id_col), *sequences(F.coalesce(F.col(text_col), F.lit(""))))
-    by_line, wrapped = F.col("by_line"), F.coalesce("wrapped", F.lit(""))
-    counted = F.when(by_line.rlike("[A-Z]"), by_line).otherwise(F.coalesce("wrapped", by_line))
-    ids = F.concat(F.translate(by_line, FOREIGN, ""), F.call_function("translate", wrapped, F.concat(by_line, F.lit(FOREIGN)), F.lit("")))
+    n = F.when(F.col("by_line") == "", 0).otherwise(F.size(F.split("by_line", " "))).cast("long")
     # One string for the rules: "/" is neither a sentence nor foreign, so none matches across it.
-    seq = rows.select(id_col, F.length(counted).cast("long").alias("n_sentences"), ids.alias("sentence_ids"), F.concat_ws("/", by_line, wrapped).alias("both"))
-    met = F.array_compact(F.array(*[F.when(F.col("both").rlike(rule_regex(ids)), F.lit(f"{name}:{ids}")) for name, ids in RULES]))
+    seq = rows.select(id_col, n.alias("n_sentences"), F.concat_ws(" / ", "by_line", "wrapped").alias("both"))
     known = F.col("both").rlike("[A-Z]")
-    met = F.when(known, met).otherwise(F.array().cast("array<string>"))
+    ids = F.array_join(F.filter(F.split("both", " "), lambda x: x != FOREIGN), " ")
+    met = F.array_compact(F.array(*[F.when(F.col("both").rlike(rule_regex(r)), F.lit(f"{r.licence}:{'+'.join(r.ids)}")) for r in RULES]))
+    seq = seq.select(id_col, "n_sentences", F.when(known, ids).otherwise("").alias("sentence_ids"), F.when(known, met).otherwise(F.array().cast("array<string>")).alias("met"))
     names = F.array_sort(F.array_distinct(F.transform(F.col("met"), lambda x: F.substring_index(x, ":", 1))))
-    return seq.withColumn("met", met).select(
-        id_col, "n_sentences", "sentence_ids",
-        F.array_join(names, ",").alias("licenses"), F.array_join("met", ",").alias("rules"),
-    )
+    return seq.select(id_col, "n_sentences", "sentence_ids", F.array_join(names, ",").alias("licenses"), F.array_join("met", ",").alias("rules"))

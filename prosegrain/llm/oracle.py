@@ -63,17 +63,19 @@ SELECT l.doc_id, len(sh)::BIGINT AS n_shingles, c AS component_id FROM lists l J
 
 
 def licences() -> str:
-    spelled = [(s, k) for k, all_ in LS.SENTENCES.items() for s in all_]
-    names = "[" + ", ".join(quoted(s) for s, _ in spelled) + "]"
-    ids = "[" + ", ".join(quoted(k) for _, k in spelled) + "]"
-    longest = 2 * max(len(s) for s, _ in spelled)
-    code = f"CASE WHEN len(s) <= {longest} THEN coalesce({ids}[list_position({names}, trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))], '-') ELSE '-' END"
-    seq = lambda ends: f"array_to_string(list_transform(list_filter(regexp_split_to_array(t, {quoted(ends)}), lambda s: len(trim(s)) > 0), lambda s: {code}), '')"
-    rules = ", ".join(f"CASE WHEN regexp_matches(seq, {quoted(LS.rule_regex(i))}) THEN {quoted(f'{n}:{i}')} END" for n, i in LS.RULES)
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), lines AS (SELECT doc_id, t, {seq(LS.ENDS)} AS by_line FROM d),
-q AS (SELECT doc_id, CASE WHEN regexp_matches(by_line, '[A-Z]') OR NOT regexp_matches(lower(t), 'licen[cs]e|warrant|redistribut|permission') THEN by_line ELSE {seq(LS.WRAPPED_ENDS)} END AS seq FROM lines),
-r AS (SELECT doc_id, seq, list_filter([{rules}], lambda x: x IS NOT NULL) AS met FROM q)
-SELECT doc_id, len(seq)::BIGINT AS n_sentences, replace(seq, '-', '') AS sentence_ids, array_to_string(list_sort(list_distinct(list_transform(met, lambda x: string_split(x, ':')[1]))), ',') AS licenses, array_to_string(met, ',') AS rules FROM r"""
+    """Sentences as rows, joined with the table of spellings, and put together again."""
+    spelled = ", ".join(f"({quoted(s)}, {quoted(k)})" for k, all_ in LS.SENTENCES.items() for s in all_)
+    rules = ", ".join(f"({n}, {quoted(r.licence)}, {quoted(LS.rule_regex(r))}, {quoted(r.licence + ':' + '+'.join(r.ids))})" for n, r in enumerate(LS.RULES))
+    cut_at = lambda way, ends, where: f"SELECT rid, {way} AS way, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT rid, regexp_split_to_array(t, {quoted(ends)}) AS p FROM d WHERE {where})"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), spelled AS (SELECT * FROM (VALUES {spelled}) v(spelling, ident)), rules AS (SELECT * FROM (VALUES {rules}) v(place, licence, pattern, shown)),
+s AS ({cut_at(1, LS.ENDS, 'true')} UNION ALL {cut_at(2, LS.WRAPPED_ENDS, f"regexp_matches(lower(t), {quoted(LS.GATE)})")}),
+known AS (SELECT rid, way, i, coalesce(ident, '-') AS ident FROM (SELECT *, trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS spelling FROM s WHERE trim(s) <> '') LEFT JOIN spelled USING (spelling)),
+seqs AS (SELECT rid, way, string_agg(ident, ' ' ORDER BY i) AS seq, count(*) AS n, string_agg(ident, ' ' ORDER BY i) FILTER (ident <> '-') AS ids FROM known GROUP BY rid, way),
+met AS (SELECT DISTINCT rid, place, licence, shown FROM seqs, rules WHERE ids IS NOT NULL AND regexp_matches(seq, pattern)),
+found AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses, string_agg(shown, ',' ORDER BY place) AS rules FROM met GROUP BY rid),
+gated AS (SELECT rid, regexp_matches(lower(t), {quoted(LS.GATE)}) AS twice FROM d),
+out AS (SELECT d.rid, doc_id, a.n, a.ids AS x, b.ids AS y, twice FROM d JOIN gated USING (rid) LEFT JOIN seqs a ON a.rid = d.rid AND a.way = 1 LEFT JOIN seqs b ON b.rid = d.rid AND b.way = 2)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, CASE WHEN x IS NULL AND y IS NULL THEN '' WHEN twice THEN concat_ws(' ', x, '/', y) ELSE x END AS sentence_ids, coalesce(licenses, '') AS licenses, coalesce(rules, '') AS rules FROM out LEFT JOIN found USING (rid)"""
 
 
 MIXING = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len({WORDS.format('text')})::BIGINT AS size, ('0x' || substr(md5('11:' || coalesce(doc_id || ':', '') || md5(coalesce(text, ''))), 1, 15))::BIGINT AS mixed FROM documents),
