@@ -1,44 +1,51 @@
 """Document fingerprints by locally consistent parsing.
 
 A text's bytes are parsed into phrases, the phrases' names again, level by
-level. Runs of one name become one name first. Deterministic coin tossing then
-gives each place a label under six that depends on a few names to the left only
-and differs from its neighbour's; a phrase begins at each local maximum. So an
-equal stretch of two texts is parsed alike, but for a few phrases at its ends,
-wherever it stands. A phrase's name is a hash of its content.
-
-The fingerprint holds the smallest names of the first phrases and of phrases of
-phrases; of the latter at least one in ``SHARE``, so their number grows with the
-text and an equal stretch leaves its share of names in both fingerprints at any
-length. Likeness estimates the share of phrases two texts have in common.
+level until one phrase is left. Runs of one name become one name first.
+Deterministic coin tossing then gives each place a label under six that depends
+on a few names to the left only and differs from its neighbour's; a phrase
+begins at each local maximum. So an equal stretch of two texts is parsed alike,
+but for a few phrases at its ends, wherever it stands. A phrase's name is a hash
+of its content.
+
+The fingerprint is a weighted sample of the names of all levels: a name's key is
+its hash divided by the number of bytes its phrase spans, and the ``KEEP``
+smallest keys stay, or one in ``SHARE`` if that is more, so that an equal
+stretch leaves its share of names in both fingerprints at any length. Every
+level covers the text once, so every level has a like part of the sample.
+Likeness estimates the share of phrases of all levels that two texts have in
+common, each weighed by the bytes it spans; phrases so long that every sample
+has them weigh alike. All texts are treated alike, whatever their size.
 
 Defined cases: a null text is an empty one and its fingerprint is ``00``; two
 empty texts are alike (1.0), an empty and another one are not (0.0); equal ids
 are ordered by text; null ids come first; repeated rows are documents of their
 own; a table of one document has it for its own successor; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need, tidy
+from .common import cut, let, need, tidy
 
 U = np.uint64
 LOT_CHARS = 1 << 20
-#: Names kept of the first and the second level; of the second, one in SHARE if that is more.
-KEEP = (48, 96)
-SHARE = 8
-#: Texts with fewer second-level names than this are compared by their first level.
-FEW = 8
-DEEPEST = 2
+#: Bytes of texts in a range of ids, and in a task, which has several ranges.
+RANGE_BYTES, TASK_BYTES = 1 << 21, 1 << 24
+#: Names kept of a text, all levels together; one in SHARE if that is more.
+KEEP, SHARE = 96, 8
+#: Bytes of a key that are kept, and texts whose numbers fit beside it in a word.
+KEY_BYTES = 6
+MOST_TEXTS = 1 << (64 - 8 * KEY_BYTES)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,8 +109,8 @@ def _folded(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return x[at], runs, before[ends] - before[ends - sizes]
 
 
-def _phrases(x: np.ndarray, runs: np.ndarray, sizes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(names of the phrases, phrases of each text)."""
+def _phrases(x: np.ndarray, runs: np.ndarray, sizes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names of the phrases, where each begins, phrases of each text)."""
     heads = (np.cumsum(sizes) - sizes)[sizes > 0]
     if x.dtype == np.uint8:
         first, rounds = x, 3
@@ -122,53 +129,63 @@ def _phrases(x: np.ndarray, runs: np.ndarray, sizes: np.ndarray, level: int) ->
         names = mix(np.add.reduceat(value, begin) + lengths.astype(U) + U(level << 40))
     ends = np.cumsum(sizes)
     before = np.searchsorted(begin, np.stack([ends - sizes, ends]))
-    return names, before[1] - before[0]
+    return names, begin, before[1] - before[0]
+
 
+def parse(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level up to the top: (names of all texts' phrases in order, bytes each spans, phrases of each text).
 
-def parse(texts: list[bytes], levels: int = DEEPEST) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level, from the first: (names of all texts' phrases in order, phrases of each text)."""
+    A text that is down to one phrase has no part in higher levels.
+    """
     x, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], dtype=np.int64)
+    spans = np.ones(len(x), np.int64)
     out = []
-    for level in range(1, levels + 1):
-        if not len(x):
-            out.append((np.zeros(0, U), np.zeros(len(texts), np.int64)))
-            continue
-        names, runs, sizes = _folded(x, sizes)
-        x, sizes = _phrases(names, runs, sizes, level)
-        out.append((x, sizes))
+    while len(x):
+        names, runs, folded = _folded(x, sizes)
+        spans = np.add.reduceat(spans, np.cumsum(runs) - runs)
+        level = len(out) + 1
+        x, begin, sizes = _phrases(names, runs, folded, level)
+        spans = np.add.reduceat(spans, begin)
+        out.append((x, spans, sizes))
+        more = sizes > 1
+        if not more.all():
+            go_on = np.repeat(more, sizes)
+            x, spans, sizes = x[go_on], spans[go_on], np.where(more, sizes, 0)
     return out
 
 
 def fingerprints(texts: list[bytes]) -> list[bytes]:
-    """A byte with the number of first-level names that follow, those, then second-level names; 32 bits each, ascending."""
-    halves = []
-    for level, ((names, sizes), keep) in enumerate(zip(parse(texts), KEEP)):
-        low = mix(names) >> U(32)
-        key = np.unique((np.repeat(np.arange(len(texts), dtype=np.uint64), sizes) << U(32)) | low)
-        of = (key >> U(32)).astype(np.int64)
-        data = (key & U(0xFFFFFFFF)).astype(">u4").tobytes()
-        ends = np.searchsorted(of, np.arange(len(texts)), side="right")
-        starts = np.concatenate([[0], ends[:-1]])
-        kept = np.minimum(ends, starts + (np.maximum(keep, -((starts - ends) // SHARE)) if level else keep))
-        halves.append([data[4 * a : 4 * b] for a, b in zip(starts.tolist(), kept.tolist())])
-    return [bytes([len(a) // 4]) + a + b for a, b in zip(*halves)]
-
-
-def _levels(mark: bytes) -> tuple[list[int], list[int]]:
-    names = np.frombuffer(mark, ">u4", offset=1).tolist()
-    return names[: mark[0]], names[mark[0] :]
+    """A byte that tells the form, then the kept keys, KEY_BYTES each, ascending; the byte is 0 for all of a text's names, 1 for a sample."""
+    if len(texts) > MOST_TEXTS:
+        return [mark for k in range(0, len(texts), MOST_TEXTS) for mark in fingerprints(texts[k : k + MOST_TEXTS])]
+    number = np.arange(len(texts), dtype=np.uint64)
+    place = U(8 * KEY_BYTES)
+    keys = [(np.repeat(number, sizes) << place) | ((mix(names) // spans.astype(U)) >> (U(64) - place)) for names, spans, sizes in parse(texts)]
+    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, U)
+    own = np.ones(len(key), bool)
+    own[1:] = key[1:] != key[:-1]
+    key = key[own]
+    bounds = np.searchsorted(key >> place, np.arange(len(texts) + 1, dtype=np.uint64))
+    starts, ends = bounds[:-1], bounds[1:]
+    kept = np.minimum(ends, starts + np.maximum(KEEP, -((starts - ends) // SHARE)))
+    data = key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :].tobytes()
+    return [bytes([c < b]) + data[KEY_BYTES * a : KEY_BYTES * c] for a, b, c in zip(starts.tolist(), ends.tolist(), kept.tolist())]
+
+
+def _keys(mark: bytes) -> list[bytes]:
+    return [mark[k : k + KEY_BYTES] for k in range(1, len(mark), KEY_BYTES)]
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Estimated Jaccard similarity of two texts' phrases, 0 to 1."""
+    """Estimated share of common phrases of all levels, weighed by their bytes, 0 to 1."""
     if a == b:
         return 1.0
-    a, b = _levels(a), _levels(b)
-    level = 1 if max(len(a[1]), len(b[1])) >= FEW else 0
-    x, y = a[level], b[level]
-    smallest = sorted({*x, *y})[: max(KEEP[level], min(len(x), len(y)))]
-    both = {*x} & {*y}
-    return sum(n in both for n in smallest) / len(smallest) if smallest else 0.0
+    x, y = _keys(a), _keys(b)
+    both, union = {*x} & {*y}, sorted({*x, *y})
+    # Beyond the last key of a sample nothing is known of that text.
+    known = min([keys[-1] for mark, keys in ((a, x), (b, y)) if mark[0]], default=None)
+    seen = union if known is None else [k for k in union if k <= known]
+    return sum(k in both for k in seen) / len(seen) if seen else 0.0
 
 
 def edited(text: str, following: str) -> str:
@@ -191,64 +208,73 @@ _KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.fl
 _NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bounds(rows: DataFrame, parts: int) -> DataFrame:
+    """One row: the (id, tie) at which each of at most ``parts`` ranges begins, in lists of about the root of their number.
+
+    Ranges of equal numbers of rows, from the ids alone; equal (id, tie) are
+    never parted. Written, as the ranges come from a sample.
+    """
+    keys = rows.select(F.struct("id", "tie").alias("key"))
+    firsts = keys.repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key"))
+    every = max(1, math.isqrt(parts))
+    lists = firsts.agg(F.sort_array(F.collect_list("key")).alias("all"))  # bounded by the number of ranges
+    starts = F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(every))
+    return cut(lists.select(F.transform(starts, lambda k: F.slice("all", k, every)).alias("bounds"), F.lit(every).alias("every"), F.size("all").alias("ranges")), "bounds")
+
+
+def _place(key: Column, bounds: Column) -> Column:
+    """(the number of the list of ``bounds`` that ``key`` falls in, its place in the list): the last bound that is not above it."""
+    last = lambda found: F.greatest(F.size(found) - 1, F.lit(0))
+    row = last(F.filter(bounds, lambda b: F.get(b, F.lit(0)) <= key))
+    return let(row, lambda r: F.struct(r.alias("row"), last(F.filter(F.get(bounds, r), lambda b: b <= key)).alias("at")))
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row a document, compared with its edited text and with the next document by id.
 
-    Documents are range-sorted by id, and each task walks through its range. A
-    range's last document needs the next range's first: each task puts out
-    those two texts, and the pairs, one a range, are compared afterwards.
+    Documents are dealt to ranges of ids, each of about ``range_bytes``, and a
+    task walks through each of its ranges in order. The first document of a
+    range goes to the range before as well, where it follows the last one; so
+    texts are shuffled once and nothing is written in between.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    order = (F.asc_nulls_first("id"), F.asc("tie"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("id", "text")
-
-    def result(ids: pa.Array, found: list[tuple]) -> list[pa.Array]:
-        return [ids, *[pa.array([f[k] for f in found], t) for k, t in enumerate(_KINDS)]]
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    bounds = _bounds(rows, max(-(-size // range_bytes), least))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("place", _place(F.struct("id", "tie"), F.col("bounds")))  # one row, a key a range
+    number = F.col("place.row") * F.col("every") + F.col("place.at")
+    own = ranged.select(number.alias("range"), F.lit(False).alias("follows"), "id", "tie", "text")
+    # A range's first document is the one at its bound; equal rows are one. The first of all follows the last.
+    at_bound = F.get(F.get(F.col("bounds"), F.col("place.row")), F.col("place.at"))
+    heads = ranged.where(F.struct("id", "tie").eqNullSafe(at_bound)).select(F.pmod(number - 1, F.col("ranges")).alias("range"), "id", "tie", "text")
+    follow = heads.groupBy("range").agg(F.lit(True).alias("follows"), F.first("id").alias("id"), F.first("tie").alias("tie"), F.min("text").alias("text"))
+    dealt = own.union(follow).repartition(max(-(-size // task_bytes), least), "range")
+    dealt = dealt.sortWithinPartitions("range", "follows", "id", "tie", "text").select("range", "follows", "id", "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, first, ids, texts, held = TaskContext.get().partitionId(), None, None, [], 0
-        names = ["id", *_NAMES, "part", "first_text", "last_text"]
+        ids, texts, held, at_range = None, [], 0, None
 
         def lot() -> pa.RecordBatch:
+            """All held documents but the last, which is only followed by what comes."""
             marks = fingerprints([t.encode() for t in texts])
             found = compare(texts[:-1], texts[1:], marks[:-1], marks[1:])
-            none = len(found)
-            return pa.RecordBatch.from_arrays([*result(ids.slice(0, none), found), pa.nulls(none, pa.int32()), pa.nulls(none, pa.string()), pa.nulls(none, pa.string())], names)
+            return pa.RecordBatch.from_arrays([ids.slice(0, len(found)), *[pa.array([f[k] for f in found], t) for k, t in enumerate(_KINDS)]], ["id", *_NAMES])
 
         for batch in batches:
             at = 0
-            for k, t in enumerate(batch.column(1)):
-                t = t.as_py()
-                first = t if first is None else first
-                texts.append(t)
-                held += len(t)
-                if held >= LOT_CHARS or k == len(batch) - 1:
-                    new = batch.column(0).slice(at, k + 1 - at)
+            for k, (r, last, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3))):
+                if r != at_range:  # the range before ended with the document that follows it
+                    ids, texts, held, at, at_range = None, [], 0, k, r
+                texts.append(t.as_py())
+                held += len(texts[-1])
+                if held >= LOT_CHARS or last or k == len(batch) - 1:
+                    new = batch.column(2).slice(at, k + 1 - at)
                     ids, at = (new if ids is None else pa.concat_arrays([ids, new])), k + 1
                     if len(texts) > 1:
                         yield lot()
                     ids, texts, held = ids.slice(len(ids) - 1), texts[-1:], len(texts[-1])
-        if texts:
-            yield pa.RecordBatch.from_arrays([ids, *[pa.nulls(1, t) for t in _KINDS], pa.array([part], pa.int32()), pa.array([first], pa.string()), pa.array(texts, pa.string())], names)
-
-    schema = f"id {kind}, {RESULT}, part int, first_text string, last_text string"
-    done = cut(rows.mapInArrow(tidy(walk), schema), "fingerprints")
-    ends = done.where("part is not null")
-    parts = sorted(r[0] for r in ends.select("part").collect())  # a number a range
-    follow = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "a int, b int")
-    firsts = ends.select(F.col("part").alias("b"), F.col("first_text").alias("following"))
-    seams = ends.select("id", "last_text", F.col("part").alias("a")).join(F.broadcast(follow), "a").join(firsts, "b").select("id", "last_text", "following")
-
-    def sew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 64):
-                b = batch.slice(k, 64)
-                yield pa.RecordBatch.from_arrays(result(b.column(0), compare(b.column(1).to_pylist(), b.column(2).to_pylist())), ["id", *_NAMES])
 
-    out = done.where("part is null").select("id", *_NAMES).union(seams.mapInArrow(tidy(sew), f"id {kind}, {RESULT}"))
+    out = dealt.mapInArrow(tidy(walk), f"id {kind}, {RESULT}")
     return out.select(F.col("id").alias(id_col), *[F.lower(F.hex(c)).alias(c) if k == pa.binary() else F.col(c) for c, k in zip(_NAMES, _KINDS)])
