@@ -1,24 +1,26 @@
 """Toxicity by multiple-instance learning: labels of documents, scores of sentences.
 
-A document is a bag of sentences. A sentence's score is a logistic function of
-its words; a document's is the noisy-or of its sentences' scores. Only document
-labels are known; the noisy-or's gradient finds the sentences that explain
-them, so that a scored document comes with its offending sentences.
+A document is a bag of all its sentences. A sentence's score is a logistic
+function of its words; a document's is the noisy-or of its sentences' scores.
+Only document labels are known; the noisy-or's gradient finds the sentences that
+explain them, so that a scored document comes with its offending sentences.
 
 The model is fitted on a bounded sample of labelled documents (``most`` of each
-class, by hash of the id); everything else runs over all documents and whole
-texts. Features are words and their first letters, chosen from the sample by
+class, by hash of the id), whose whole texts go to the driver; everything else
+runs over all documents and whole texts. Features are words and their first letters, chosen from the sample by
 how much more often they occur under label 1.
 
 Defined cases: a null or empty text has no sentence and gets the leak
-probability; labels that are null are left out, repeated labels of an id count
-as 1 if any is 1; repeated documents are scored each; without a label of either
-class every score is the leak; an empty table gives an empty result; other
-columns are never read.
+probability; a sentence without a feature has the probability PLAIN; labels that are null are left out, repeated labels of an id count
+as 1 if any is 1; of several texts of a labelled id the one of least digest is
+learned from; repeated documents are scored each; without a label of either
+class no sentence has a feature; an empty table gives an empty result; other
+columns are never read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +39,9 @@ WORD_CACHE = 150_000
 PREFIXES = (4, 5, 6)
 #: A sentence whose own probability reaches this is offending; there is no cap on their number.
 OFFENDING = 0.5
+#: Probability of a sentence that has no feature: nothing is known of it. It is no parameter of the fit, so that long
+#: texts, which have thousands of them, are not made toxic by their length.
+PLAIN = 5e-6
 
 
 class Model(NamedTuple):
@@ -79,11 +84,12 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.3
     y = np.array(labels, dtype=np.int64)
     leak = 0.02
     if not len(y) or y.min() == y.max():
-        return Model({}, -4.0, leak)
+        return Model({}, -math.inf, leak)
     names = choose(texts, y)
     number = {f: k for k, f in enumerate(names)}
     known: dict[str, list[int]] = {}
     feature, bag, doc_of = [], [], []
+    plain = np.zeros(len(y))  # sentences of each document without a feature
     for d, t in enumerate(texts):
         for a, b in sentences(t):
             found = []
@@ -95,6 +101,8 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.3
                 feature += found
                 bag += [len(doc_of)] * len(found)
                 doc_of.append(d)
+            else:
+                plain[d] += 1
     feature, bag, doc_of = (np.array(x, dtype=np.int64) for x in (feature, bag, doc_of))
     n_bags, n = len(doc_of), len(y)
     weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
@@ -103,7 +111,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.3
     for step in range(1, steps + 1):
         z = np.bincount(bag, w[feature], n_bags) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n) + np.log1p(-leak)
+        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n) + plain * np.log1p(-PLAIN) + np.log1p(-leak)
         is_toxic = -np.expm1(none)
         push = np.where(y == 1, -np.exp(none) / np.maximum(is_toxic, 1e-9), 1.0) * weight
         dz = push[doc_of] * p / n
@@ -115,6 +123,10 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.3
     return Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, float(bias), leak)
 
 
+def logistic(z: float) -> float:
+    return 1 / (1 + math.exp(-min(30.0, max(-700.0, z))))
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
@@ -132,16 +144,20 @@ class Scorer:
             if len(self.cache) + len(new) > WORD_CACHE:
                 self.cache, new = {}, words
             self.learn(new)
-        none, found = 1 - self.model.leak, []
-        if any(map(self.cache.get, words)):
-            for a, b in sentences(text):
-                told = [x for w in text[a:b].split() for x in (self._of(w) or ())]
-                if told:
-                    p = 1 / (1 + np.exp(-min(30.0, max(-30.0, sum(told) + self.model.bias))))
-                    none *= 1 - p
-                    if p >= OFFENDING:
-                        found.append((a, b, float(p)))
-        return float(1 - none), found
+        spans, none, found = sentences(text), 1 - self.model.leak, []
+        told_of = any(map(self.cache.get, words))
+        plain = 0
+        for a, b in spans if told_of else ():
+            told = [x for w in text[a:b].split() for x in (self._of(w) or ())]
+            if told:
+                p = logistic(sum(told) + self.model.bias)
+                none *= 1 - p
+                if p >= OFFENDING:
+                    found.append((a, b, p))
+            else:
+                plain += 1
+        none *= (1 - PLAIN) ** (plain if told_of else len(spans))
+        return 1 - none, found
 
     def _of(self, w: str) -> tuple[float, ...] | None:
         if w not in self.cache:  # a sentence may end inside what stands between blanks
@@ -159,7 +175,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column | None =
     chosen = by_id.where("y = 0").orderBy(*order).limit(most).union(by_id.where("y = 1").orderBy(*order).limit(most))
     # At most 2 * most ids: bounded by a parameter, so it is broadcast.
     texts = need(docs, id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("of"))
-    rows = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), "y", F.col("of")).dropDuplicates(["of"]).select("t", "y", "of").collect()
+    texts = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), "y", F.col("of"))
+    rows = texts.groupBy("of").agg(F.min(F.struct(F.md5("t").alias("digest"), F.col("t"))).alias("x"), F.first("y").alias("y")).select("x.t", "y", "of").collect()
     rows.sort(key=lambda r: r["of"])
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
@@ -170,7 +187,8 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", names
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(span))])
+    by_place = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may clash
+    schema = T.StructType([*by_place.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
 
@@ -180,10 +198,10 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", names
             found = [score(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in found], pa.float64()), pa.array([[{"start": a, "stop": b, "score": p} for a, b, p in s] for _, s in found], kind)],
-                [*batch.schema.names, *names],
+                [*batch.schema.names, "score", "spans"],
             )
 
-    return docs.mapInArrow(tidy(run), schema)
+    return by_place.mapInArrow(tidy(run), schema).toDF(*docs.columns, *names)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -201,4 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that score ``threshold`` or more."""
     model = fit(*training_sample(docs, labels, ~held_out(id_col), id_col, text_col, **options))
-    return score_documents(docs, model, text_col, ("_toxic_score", "_toxic_spans")).where(F.col("_toxic_score") < threshold).drop("_toxic_score", "_toxic_spans")
+    scored = score_documents(docs, model, text_col)
+    by_place = scored.toDF(*[f"c{k}" for k in range(len(scored.columns))])
+    n = len(docs.columns)
+    return by_place.where(F.col(f"c{n}") < threshold).select(*[f"c{k}" for k in range(n)]).toDF(*docs.columns)
