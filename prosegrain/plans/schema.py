@@ -1,9 +1,9 @@
-"""Checks of configuration documents against a subset of JSON Schema. Errors name the path of the field."""
+"""Checks of configuration documents against a subset of JSON Schema: a function a keyword. Errors name the path of the field."""
 
 from __future__ import annotations
 
-import json
 import re
+from collections.abc import Iterator
 from typing import Any
 
 KINDS = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,)}
@@ -14,59 +14,53 @@ def is_kind(value: Any, kind: str) -> bool:
     return isinstance(value, KINDS[kind]) and (kind == "boolean" or not isinstance(value, bool))
 
 
+#: Keywords that look at a value alone: (kind they apply to or None, what must hold, what to say).
+PLAIN = {
+    "const": (None, lambda v, w: v == w, "must be {!r}"),
+    "enum": (None, lambda v, w: v in w, "must be one of {}"),
+    "minItems": ("array", lambda v, w: len(v) >= w, "has fewer entries than {}"),
+    "minLength": ("string", lambda v, w: len(v) >= w, "is shorter than {}"),
+    "pattern": ("string", lambda v, w: re.match(w, v) is not None, "has another form than {}"),
+}
+
+
 class Checker:
     def __init__(self, schema: dict):
         self.schema = schema
 
     def errors(self, value: Any, path: str = "document") -> list[str]:
-        return list(self._node(value, self.schema, path))
+        return list(self._all(value, self.schema, path))
 
-    def _resolve(self, node: dict) -> dict:
-        while "$ref" in node:
-            found: Any = self.schema
-            for step in node["$ref"].removeprefix("#/").split("/"):
-                found = found[step]
-            node = found
-        return node
+    def _target(self, node: dict) -> dict:
+        """``node``, or the part of the schema its reference names."""
+        if "$ref" not in node:
+            return node
+        found: Any = self.schema
+        for step in filter(None, node["$ref"].lstrip("#").split("/")):
+            found = found[step]
+        return self._target(found)
 
-    def _node(self, value: Any, node: dict, path: str):
-        node = self._resolve(node)
-        if "oneOf" in node:  # the branch with the fewest errors speaks for all
-            yield from min((list(self._node(value, b, path)) for b in node["oneOf"]), key=len)
-            return
-        for test, ok, wanted in (
-            ("const", lambda w: value == w, lambda w: json.dumps(w)),
-            ("enum", lambda w: value in w, lambda w: "one of " + ", ".join(map(str, w))),
-            ("type", lambda w: is_kind(value, w), str),
-        ):
-            if test in node and not ok(node[test]):
-                got = type(value).__name__ if test == "type" else json.dumps(value)
-                yield f"{path}: expected {wanted(node[test])}, got {got}"
-                return
-        if isinstance(value, str):
-            yield from self._string(value, node, path)
-        elif isinstance(value, list):
-            if len(value) < node.get("minItems", 0):
-                yield f"{path}: needs at least {node['minItems']} item(s)"
-            for k, item in enumerate(value if "items" in node else ()):
-                yield from self._node(item, node["items"], f"{path}[{k}]")
-        elif isinstance(value, dict):
-            yield from self._object(value, node, path)
+    def _all(self, value: Any, node: dict, path: str) -> Iterator[str]:
+        node = self._target(node)
+        if "type" in node and not is_kind(value, node["type"]):
+            yield f"{path}: must be of type {node['type']}"
+            return  # nothing else can be said of it
+        for keyword, (kind, holds, say) in PLAIN.items():
+            if keyword in node and (kind is None or is_kind(value, kind)) and not holds(value, node[keyword]):
+                yield f"{path}: " + say.format(node[keyword])
+        if "oneOf" in node:  # the alternative that comes nearest is reported
+            yield from min((list(self._all(value, choice, path)) for choice in node["oneOf"]), key=len)
+        for item, below, at in self._parts(value, node, path):
+            yield from [f"{at}: no such field here"] if below is False else self._all(item, below, at)
+        if isinstance(value, dict):
+            yield from (f"{path}.{name}: is required" for name in node.get("required", ()) if name not in value)
 
     @staticmethod
-    def _string(value: str, node: dict, path: str):
-        if "pattern" in node and not re.match(node["pattern"], value):
-            yield f"{path}: {json.dumps(value)} does not match {node['pattern']}"
-        if len(value) < node.get("minLength", 0):
-            yield f"{path}: must not be empty"
-
-    def _object(self, value: dict, node: dict, path: str):
-        yield from (f"{path}: missing required field '{k}'" for k in node.get("required", ()) if k not in value)
-        named, more = node.get("properties", {}), node.get("additionalProperties", True)
-        for key, item in value.items():
-            if key in named:
-                yield from self._node(item, named[key], f"{path}.{key}")
-            elif more is False:
-                yield f"{path}: unknown field '{key}'"
-            elif isinstance(more, dict):
-                yield from self._node(item, more, f"{path}.{key}")
+    def _parts(value: Any, node: dict, path: str) -> Iterator[tuple[Any, Any, str]]:
+        """(part of the value, its schema or False, its path)"""
+        if isinstance(value, list) and "items" in node:
+            yield from ((item, node["items"], f"{path}[{k}]") for k, item in enumerate(value))
+        if isinstance(value, dict):
+            other = node.get("additionalProperties", True)
+            schemas = ((k, v, node.get("properties", {}).get(k, other)) for k, v in value.items())
+            yield from ((v, s, f"{path}.{k}") for k, v, s in schemas if s is not True)

@@ -36,7 +36,11 @@ def test_voices():
     assert settings.edited_voice(doc, "checks", ["T-M1"])["checks"] == ["T-M1"]
     base = {"rubric": [{"name": "a", "x": 1}, {"name": "b"}]}
     assert settings.merged_voice(base, {"rubric": [{"name": "a", "y": 2}]})["rubric"] == [{"name": "a", "x": 1, "y": 2}, {"name": "b"}]
-    assert settings.rubric_errors([{"name": "a", "scoring": {"type": "scale", "min": 1, "max": 5, "anchors": {"9": "?"}}, "requirement": {"min": 7}}] * 2)
+    scale = lambda name, low, high, need, *anchors: {"name": name, "scoring": {"type": "scale", "min": low, "max": high, "anchors": dict.fromkeys(anchors, "?")}, "requirement": need}
+    yes_no = lambda name, need: {"name": name, "scoring": {"type": "pass-fail"}, "requirement": need}
+    assert settings.rubric_errors([scale("a", 1, 5, {"min": 4}, "1", "5"), yes_no("b", {"pass": True})]) == []
+    wrong = [scale("a", 1, 5, {"min": 7}, "9"), scale("b", 5, 5, {}), yes_no("a", {}), scale("c", 0, 3, {"min": 0}, "x")]
+    assert [e.split(": ")[0] for e in settings.rubric_errors(wrong)] == ["rubric[2].name", "rubric[0].requirement.min", "rubric[0].scoring.anchors", "rubric[1].requirement", "rubric[1].scoring", "rubric[2].requirement", "rubric[3].scoring.anchors"]
     text = settings.rubric_text({"name": "n", "bands": "chat", "checks": [], "rubric": [{"name": "r", "description": "d", "criteria": ["c"], "scoring": {"type": "pass-fail"}, "requirement": {"pass": True}}]})
     assert "1. r · pass/fail · must pass" in text and "universal-chat" in text
 
@@ -45,7 +49,9 @@ def test_schema():
     c = Checker({"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer"}, "b": {"oneOf": [{"const": 1}, {"$ref": "#/d"}]}, "c": {"type": "array", "minItems": 1, "items": {"enum": ["x"]}}}, "d": {"type": "string", "minLength": 2, "pattern": "^q"}})
     assert c.errors({"a": 1, "b": "qq", "c": ["x"]}) == []
     assert len(c.errors({"a": True, "z": 1, "c": [], "b": "x"})) == 4
-    assert c.errors({}) == ["document: missing required field 'a'"]
+    assert c.errors({}) == ["document.a: is required"]
+    assert c.errors([]) == ["document: must be of type object"]
+    assert c.errors({"a": 1, "c": ["x", "y"]})[0].startswith("document.c[1]: must be one of")
 
 
 def test_front_matter():
