@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .terms import corpus_stats, log_likelihood, log_ratio, scaled_share, term_counts
 
 
@@ -41,11 +42,12 @@ def build_stats(corpus: DataFrame, settings: Settings = Settings()) -> DataFrame
 def build(corpus: DataFrame, settings: Settings = Settings(), stoplist: tuple[str, ...] = (), zipf: DataFrame | None = None, n_max: int = 3) -> Lexicon:
     """Lexicon of a corpus with sides ``approved`` and ``contrast`` (see :mod:`terms`).
 
-    Both sides are counted in one pass; the statistics are one row, which is
-    why it is broadcast. ``zipf`` (term, zipf) leaves out ordinary words.
+    Both sides are counted in one pass and the counts are written, as jargon
+    and approved vocabulary both come from them; the statistics are one row,
+    which is why it is broadcast. ``zipf`` (term, zipf) leaves out ordinary words.
     """
-    counts = term_counts(corpus, n_max)
-    stats = F.broadcast(build_stats(corpus, settings))  # one row
+    counts = written(term_counts(corpus, n_max), "term-counts")
+    stats = F.broadcast(written(build_stats(corpus, settings), "term-stats"))  # one row
     rows = counts.crossJoin(stats)
     approved = rows.where((F.col("tf_approved") >= settings.min_approved_count) & (F.col("df_approved") >= 2)).select(
         "term", F.col("tf_approved").alias("approved_count"), F.bround(F.col("df_approved") / F.greatest("approved_docs", F.lit(1)), 4).alias("approved_doc_share"), F.lit(None).cast("string").alias("source")

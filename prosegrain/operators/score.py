@@ -1,28 +1,39 @@
 """Scores of units (documents or sentences) against a lexicon, and comparison of two corpora.
 
-Units are ``unit`` and ``tokens``. Terms of a unit are counted in the row
-(distinct terms with their counts), exploded once, and joined with the lexicon
+Units are ``unit`` and ``tokens``, a row a unit. Terms of a unit are counted in
+the row (distinct terms with their counts), exploded once, and joined with the lexicon
 by term; the lexicon side is left to the planner, which broadcasts it while it
 is small and otherwise shuffles both.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import grams, has_digit, is_stopword
+from ..functions.text import grams, has_digit, is_stopword, let
 from .lexicon import Lexicon
 
 CLASSES = ("jargon", "unapproved_unigram", "unapproved_bigram")
 
 
+def counted(terms: Column) -> Column:
+    """Array of (term, n) of an array of terms: equal ones are neighbours once sorted, so nothing is shuffled to count them."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("n"))))
+
+    return let(F.sort_array(terms), runs)
+
+
 def term_hits(units: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(unit, term, n, is_jargon, is_approved, class, log_ratio, approved_count): a row a distinct term of a unit."""
-    rows = units.select("unit", F.explode(grams(F.col("tokens"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("n"))
+    """(unit, term, n, is_jargon, is_approved, class, log_ratio, approved_count): a row a distinct term of a unit, which is one row."""
+    rows = units.select("unit", F.inline(counted(grams(F.col("tokens")))))
     j = lexicon.jargon.select(F.col("term").alias("j_term"), "log_ratio", F.col("approved_count").alias("j_approved"))
     a = lexicon.approved.select(F.col("term").alias("a_term"))
     rows = rows.join(j, F.col("term") == F.col("j_term"), "left").join(a, F.col("term") == F.col("a_term"), "left")
@@ -89,23 +100,48 @@ def seeded_plan(a_units: int, b_units: int, reps: int = 2000, seed: int = 7) ->
     return out
 
 
+#: Replicates that one digest serves, with 16 bits for each.
+EACH = 8
+
+
+def poisson_bars() -> list[int]:
+    """A number of 16 bits draws as many as it reaches bars: the distribution function of a Poisson number of mean 1."""
+    upto, p, out = 0.0, math.exp(-1), []
+    for k in range(1, 9):
+        upto, p = upto + p, p / k
+        out.append(math.floor(65536 * upto))
+    return out
+
+
+def poisson_times(name: Column) -> Column:
+    """How often a unit is drawn in ``EACH`` replicates, by the digest of ``name``."""
+    digest = F.md5(F.encode(name, "UTF-8"))
+    number = lambda h, k: F.conv(F.substr(h, k * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    reached = lambda u: sum(((u >= b).cast("int") for b in poisson_bars()), F.lit(0))
+    return let(digest, lambda h: F.transform(F.sequence(F.lit(0), F.lit(EACH - 1)), lambda k: let(number(h, k), reached)))
+
+
 def delta(units: DataFrame, reps: int = 2000, plan: DataFrame | None = None) -> DataFrame:
     """One row a class: densities of sides a and b, their difference, its 95 % range, whether it is credible.
 
-    ``units``: (side, idx from 0 within the side, content_words, <class>_hits).
-    Without a plan, replicate r draws for its slot s the unit that a hash of
-    (r, s, side) names: every engine and every run draws alike, nothing is
-    collected, and sums by replicate are made before they are shuffled.
+    ``units``: (side, unit, content_words, <class>_hits). Each replicate draws
+    every unit a Poisson number of times, by a digest of replicate, unit and
+    side: every engine and run draws alike, no unit is looked up or shuffled,
+    and the sums of a replicate are made in the task that has the units. The
+    number of units drawn is only on average that of the side, which the
+    densities, ratios of sums, do not feel.
+
+    A plan (rep, side, idx, times) over units numbered ``idx`` draws exactly as
+    it says instead, see :func:`seeded_plan` and ``resample.numbered``.
     """
-    sizes = units.groupBy("side").agg(F.count("*").alias("n"))
-    if plan is None:
-        slots = units.select("side", F.col("idx").alias("slot")).join(F.broadcast(sizes), "side")  # a row a side
-        drawn = slots.select("side", "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-        name = F.substring(F.md5(F.encode(F.concat_ws(":", F.col("rep").cast("string"), F.col("slot").cast("string"), "side"), "UTF-8")), 1, 8)
-        drawn = drawn.select("rep", "side", F.pmod(F.conv(name, 16, 10).cast("long"), F.col("n")).alias("idx"))
-        plan = drawn.groupBy("rep", "side", "idx").agg(F.count("*").alias("times"))
     sums = lambda df, w: df.agg(*[F.sum(F.col(c) * w).alias(c) for c in ("content_words", *[f"{k}_hits" for k in CLASSES])])
-    reps_sums = sums(plan.join(units, ["side", "idx"]).groupBy("rep", "side"), F.col("times"))
+    if plan is None:
+        blocks = units.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // EACH) - 1))))
+        name = F.concat_ws(":", F.col("block").cast("string"), F.col("unit").cast("string"), "side")
+        drawn = blocks.select("*", F.posexplode(poisson_times(name)).alias("k", "times")).withColumn("rep", F.col("block") * EACH + F.col("k"))
+        reps_sums = sums(drawn.where((F.col("times") > 0) & (F.col("rep") < reps)).groupBy("rep", "side"), F.col("times"))
+    else:
+        reps_sums = sums(plan.join(units, ["side", "idx"]).groupBy("rep", "side"), F.col("times"))
     whole = sums(units.groupBy(F.lit(-1).alias("rep"), "side"), F.lit(1))
     rate = lambda k: F.expr(f"1000 * {k}_hits / greatest(content_words, 1)")
     rows = reps_sums.unionByName(whole).select("rep", "side", F.explode(F.create_map(*[x for k in CLASSES for x in (F.lit(k), rate(k))])).alias("class", "rate"))

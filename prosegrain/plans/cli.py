@@ -14,7 +14,6 @@ from ..functions.text import tokenize
 from ..operators import lexicon as L
 from ..operators import rules as R
 from ..operators import score as S
-from ..operators.resample import numbered
 from ..operators.terms import tokenized
 from ..sources import readers, writers
 from . import settings
@@ -63,9 +62,9 @@ def delta(a: argparse.Namespace) -> int:
     lexicon = _lexicon(spark, a.lexicon)
     units = None
     for side, path in (("a", a.first), ("b", a.second)):
-        s = S.score(_units(spark, path), lexicon).withColumn("side", F.lit(side)).withColumn("order", F.xxhash64("unit"))
+        s = S.score(_units(spark, path), lexicon).withColumn("side", F.lit(side))
         units = s if units is None else units.unionByName(s)
-    S.delta(numbered(units, ["side"], ["order", "unit"]), a.boot).orderBy("class").show(truncate=False)
+    S.delta(units, a.boot).orderBy("class").show(truncate=False)
     return 0
 
 

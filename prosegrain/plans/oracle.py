@@ -34,8 +34,8 @@ one AS (SELECT max(docs) FILTER (side = 'approved') AS a_docs, max(tokens) FILTE
 bars AS (SELECT *, round_even(greatest(greatest(0.015::DOUBLE, least(0.10::DOUBLE, 0.10::DOUBLE * c_med / 250)), 8::DOUBLE / c_docs), 4) AS low,
  round_even(greatest(greatest(0.01::DOUBLE, least(0.05::DOUBLE, 0.05::DOUBLE * a_med / 250)), 3::DOUBLE / a_docs), 4) AS high FROM one),
 by_doc AS (SELECT unit, side, term, count(*) AS n FROM grams GROUP BY ALL),
-counts AS (SELECT term, coalesce(sum(n) FILTER (side = 'approved'), 0)::BIGINT AS a_tf, count(*) FILTER (side = 'approved') AS a_df, coalesce(sum(n) FILTER (side = 'contrast'), 0)::BIGINT AS c_tf, count(*) FILTER (side = 'contrast') AS c_df FROM by_doc GROUP BY term),
-approved AS (SELECT term, a_tf AS approved_count, round_even(a_df::DOUBLE / a_docs, 4)::DOUBLE AS approved_doc_share FROM counts, bars WHERE a_tf >= 3 AND a_df >= 2),
+counts AS MATERIALIZED (SELECT term, coalesce(sum(n) FILTER (side = 'approved'), 0)::BIGINT AS a_tf, count(*) FILTER (side = 'approved') AS a_df, coalesce(sum(n) FILTER (side = 'contrast'), 0)::BIGINT AS c_tf, count(*) FILTER (side = 'contrast') AS c_df FROM by_doc GROUP BY term),
+approved AS MATERIALIZED (SELECT term, a_tf AS approved_count, round_even(a_df::DOUBLE / a_docs, 4)::DOUBLE AS approved_doc_share FROM counts, bars WHERE a_tf >= 3 AND a_df >= 2),
 keyed AS (SELECT *, 2 * (CASE WHEN c_tf > 0 THEN c_tf * ln(c_tf / (c_n * (c_tf + a_tf)::DOUBLE / (c_n + a_n))) ELSE 0 END + CASE WHEN a_tf > 0 THEN a_tf * ln(a_tf / (a_n * (c_tf + a_tf)::DOUBLE / (c_n + a_n))) ELSE 0 END) AS ll,
  log2(((CASE WHEN c_tf > 0 THEN c_tf ELSE 0.5 END)::DOUBLE / c_n) / ((CASE WHEN a_tf > 0 THEN a_tf ELSE 0.5 END)::DOUBLE / a_n)) AS lr, c_df::DOUBLE / c_docs AS share_c, a_df::DOUBLE / a_docs AS share_a FROM counts, bars),
 jargon AS (SELECT term, c_tf AS contrast_count, a_tf AS approved_count, round_even(ll, 2)::DOUBLE AS log_likelihood, round_even(lr, 2)::DOUBLE AS log_ratio, round_even(share_c, 4)::DOUBLE AS contrast_doc_share, round_even(share_a, 4)::DOUBLE AS approved_doc_share, 0.0::DOUBLE AS zipf_en
@@ -124,6 +124,9 @@ SELECT path, CASE WHEN strpos(lower(body), term) > 0 THEN 1 + len(substr(lower(b
 T_M12 = "SELECT path, line, 'T-M12' AS rule, 'two actions in one item' AS label, trim(substr(body, 1, 70)) AS match, NULL::VARCHAR AS fix FROM items WHERE ordered AND regexp_matches(body, '(?i),\\s*then\\s|\\band then\\b|\\band also\\b|;\\s')"
 P_M5 = "SELECT path, 1 AS line, 'P-M5' AS rule, 'missing field' AS label, field AS match, NULL::VARCHAR AS fix FROM bodies, (VALUES ('content'), ('surface'), ('destination_type'), ('channel_id'), ('audience'), ('intent')) f(field) WHERE field NOT IN ('surface', 'audience') AND (field <> 'content' OR NOT regexp_matches(body, '\\S'))"
 P_M1 = scan("bodies", r"(?i)\bevo-(?:modeler|b-gate|hydra-lib)\b", "P-M1", "short name").replace("NULL::VARCHAR AS fix", "CASE lower(hit) WHEN 'evo-modeler' THEN 'modeler' WHEN 'evo-b-gate' THEN 'b-gate' ELSE 'hydralib' END AS fix")
-CHECKED = ("W-M1", "W-M2", "W-M3", "W-M4", "W-M6", "W-M7", "W-M8", "W-M9")
-ALL_FINDINGS = f"{BODY}, found AS ({union(*[FINDINGS[r] for r in CHECKED])})"
+FIELDS = {"surface": "chat", "audience": "team"}
+FINDINGS |= {"T-M3": T_M3, "T-M11": T_M11, "T-M12": T_M12, "P-M1": P_M1, "P-M5": P_M5}
+#: Every rule that reads the text alone.
+CHECKED = tuple(sorted(FINDINGS, key=R.rule_order))
+ALL_FINDINGS = f"{BODY}, {PARAGRAPHS}, {ITEMS.removeprefix(LINES + ', ')}, {SENTENCES_B}, found AS ({union(*[FINDINGS[r] for r in CHECKED])})"
 ALL_WORDS = f"words AS (SELECT sum(len({tokens('raw')}))::BIGINT AS words FROM bodies)"

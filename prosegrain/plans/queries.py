@@ -11,10 +11,10 @@ from ..functions import blocks, spans, text as T
 from ..operators import bands as B
 from ..operators.catalog import first_scope
 from ..operators import lexicon as L
-from ..operators import resample as RS
 from ..operators import rules as R
 from ..operators import score as S
 from ..operators import terms as TM
+from ..operators.store import written
 from ..sources.readers import json_texts
 from . import oracle as O
 from .samples import decorated
@@ -135,7 +135,7 @@ def approved_vocabulary(spark, sf_dir):
 
 @query("stoplist_overlay", f"""WITH {O.LEXICON}, names AS (SELECT * FROM (VALUES {", ".join(f"('{s}')" for s in STOPLIST)}) n(name))
 SELECT term, approved_count, approved_doc_share, NULL::VARCHAR AS source FROM approved
-UNION ALL SELECT name, coalesce(a_tf, 0), coalesce(round_even(a_df::DOUBLE / a_docs, 4)::DOUBLE, 0), 'stoplist' FROM names CROSS JOIN bars LEFT JOIN counts ON term = name WHERE name NOT IN (SELECT term FROM approved)""")
+UNION ALL SELECT name, coalesce(a_tf, 0), coalesce(round_even(a_df::DOUBLE / a_docs, 4)::DOUBLE, 0), 'stoplist' FROM names CROSS JOIN bars LEFT JOIN counts ON term = name WHERE NOT EXISTS (FROM approved WHERE approved.term = name)""")
 def stoplist_overlay(spark, sf_dir):
     return L.build(corpus(spark, sf_dir), stoplist=STOPLIST).approved
 
@@ -263,10 +263,11 @@ def extend_approved(spark, sf_dir):
 REPS = 2000
 
 
-@query("delta_bootstrap", f"""WITH {O.SCORED}, u AS (SELECT CASE WHEN lang = 'en' THEN 'a' ELSE 'b' END AS side, s.* FROM scores s JOIN documents d ON d.doc_id = s.unit),
-units AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY unit) - 1 AS idx FROM u), sizes AS (SELECT side, count(*) AS n FROM units GROUP BY side),
-drawn AS (SELECT rep, u.side, ('0x' || substr(md5(rep || ':' || idx || ':' || u.side), 1, 8))::UBIGINT % n AS pick FROM units u JOIN sizes USING (side), range({REPS}) r(rep)),
-rsums AS (SELECT rep, d.side, sum(content_words) AS c, sum(jargon_hits) AS j, sum(unapproved_unigram_hits) AS uu, sum(unapproved_bigram_hits) AS ub FROM drawn d JOIN units t ON t.side = d.side AND t.idx = d.pick GROUP BY ALL
+@query("delta_bootstrap", f"""WITH {O.SCORED}, units AS (SELECT CASE WHEN lang = 'en' THEN 'a' ELSE 'b' END AS side, s.* FROM scores s JOIN documents d ON d.doc_id = s.unit),
+digests AS (SELECT block, units.*, md5(block || ':' || unit || ':' || side) AS h FROM units, range({-(-REPS // S.EACH)}) b(block)),
+numbers AS (SELECT block * {S.EACH} + k AS rep, digests.*, ('0x' || substr(h, k * 4 + 1, 4))::INTEGER AS u FROM digests, range({S.EACH}) e(k)),
+drawn AS (SELECT *, {" + ".join(f"(u >= {b})::INTEGER" for b in S.poisson_bars())} AS times FROM numbers WHERE rep < {REPS}),
+rsums AS (SELECT rep, side, sum(content_words * times) AS c, sum(jargon_hits * times) AS j, sum(unapproved_unigram_hits * times) AS uu, sum(unapproved_bigram_hits * times) AS ub FROM drawn WHERE times > 0 GROUP BY ALL
  UNION ALL SELECT -1, side, sum(content_words), sum(jargon_hits), sum(unapproved_unigram_hits), sum(unapproved_bigram_hits) FROM units GROUP BY side),
 rates AS (SELECT rep, side, unnest([{', '.join(f"'{c}'" for c in S.CLASSES)}]) AS class, unnest([1000 * j / greatest(c, 1), 1000 * uu / greatest(c, 1), 1000 * ub / greatest(c, 1)]::DOUBLE[]) AS rate FROM rsums),
 reps AS (SELECT rep, class, max(rate) FILTER (side = 'a') AS a, max(rate) FILTER (side = 'b') AS b FROM rates GROUP BY ALL),
@@ -276,7 +277,7 @@ SELECT class, round_even(a, 2)::DOUBLE AS a_density, round_even(b, 2)::DOUBLE AS
 def delta_bootstrap(spark, sf_dir):
     sides = docs(spark, sf_dir).select("doc_id", F.when(F.col("lang") == "en", "a").otherwise("b").alias("side"))
     scored = S.score(units(spark, sf_dir), lexicon(spark, sf_dir)).join(sides, F.col("unit") == F.col("doc_id"))
-    return S.delta(RS.numbered(scored, ["side"], ["unit"]), REPS)
+    return S.delta(scored, REPS)
 
 
 # --- pieces of text ---------------------------------------------------------
@@ -344,7 +345,7 @@ def unwrap_markdown(spark, sf_dir):
 def json_records(spark, sf_dir):
     """The texts of conversations, found again in JSON documents that hold them two levels down."""
     value = F.to_json(F.struct("role", F.array(F.struct(F.struct("text").alias("body"))).alias("parts"))).alias("value")
-    return json_texts(table(spark, sf_dir, "conversations").select("conv_id", "turn", value), "text", depth=4)
+    return json_texts(table(spark, sf_dir, "conversations").select("conv_id", "turn", value), "text")
 
 
 _SCOPES = "scopes AS (SELECT source AS name, CASE doc_id % 3 WHEN 0 THEN 'shipped' WHEN 1 THEN 'personal' ELSE 'project' END AS scope, count(*) AS docs FROM documents GROUP BY ALL)"
@@ -360,12 +361,13 @@ def scope_priority(spark, sf_dir):
 
 
 def _rule(rule: str, with_sql: str) -> None:
-    fields = {"surface": "chat", "audience": "team"} if rule == "P-M5" else None
+    fields = O.FIELDS if rule == "P-M5" else None
     query(f"rule_{rule.lower().replace('-', '_')}", with_sql)(lambda spark, sf_dir: R.check(bodies(spark, sf_dir), [rule], fields))
 
 
 for _r, _sql in O.FINDINGS.items():
-    _rule(_r, f"WITH {O.BODY} {_sql}")
+    if _r not in ("T-M3", "T-M11", "T-M12", "P-M1", "P-M5"):
+        _rule(_r, f"WITH {O.BODY} {_sql}")
 _rule("T-M3", f"WITH {O.BODY}, {O.PARAGRAPHS}, {O.SENTENCES_B} {O.T_M3}")
 _rule("T-M12", f"WITH {O.BODY}, {O.ITEMS} {O.T_M12}")
 _rule("P-M1", f"WITH {O.BODY} {O.P_M1}")
@@ -386,15 +388,15 @@ def rule_w_m10(spark, sf_dir):
 
 
 def checked(spark, sf_dir) -> DataFrame:
-    return R.check(bodies(spark, sf_dir), list(O.CHECKED))
+    return R.check(bodies(spark, sf_dir), list(O.CHECKED), O.FIELDS)
 
 
 @query("all_findings_sorted", f"WITH {O.ALL_FINDINGS} SELECT * FROM found")
 def all_findings_sorted(spark, sf_dir):
-    return R.sort_findings(checked(spark, sf_dir))
+    return R.sort_findings(written(checked(spark, sf_dir), "findings"))  # the sort reads its input twice
 
 
-@query("finding_lines", f"""WITH {O.ALL_FINDINGS} SELECT path || ':' || line || ': [' || rule || '] ' || label || ': "' || match || '"' AS value FROM found""")
+@query("finding_lines", f"""WITH {O.ALL_FINDINGS} SELECT path || ':' || line || ': [' || rule || '] ' || label || ': "' || match || '"' || CASE WHEN coalesce(fix, '') <> '' THEN ' for "' || fix || '"' ELSE '' END AS value FROM found""")
 def finding_lines(spark, sf_dir):
     return R.finding_line(checked(spark, sf_dir))
 
@@ -435,7 +437,7 @@ def corpora(spark, sf_dir) -> DataFrame:
 def rates(spark, sf_dir) -> DataFrame:
     b = bodies(spark, sf_dir)
     words = b.groupBy(F.col("source").alias("label")).agg(F.sum(T.plain_words(F.col("text"))).alias("words"))
-    found = R.check(b.withColumn("path", F.struct("path", "source")), list(O.CHECKED)).select(F.col("path.source").alias("label"), "rule")
+    found = R.check(b.withColumn("path", F.struct("path", "source")), list(O.CHECKED), O.FIELDS).select(F.col("path.source").alias("label"), "rule")
     return B.calibration_rates(corpora(spark, sf_dir), words, found, list(O.CHECKED))
 
 
@@ -450,7 +452,7 @@ _GROUPS = ", ".join(
 )
 
 
-@query("calibration_bands", f"WITH {_RATES} SELECT surface, rule, {_GROUPS}, 'ai-high' AS direction FROM rates JOIN corpora USING (label) WHERE NOT (label = 'src1' AND rule = 'W-M4') GROUP BY ALL")
+@query("calibration_bands", f"WITH {_RATES} SELECT surface, rule, {_GROUPS}, CASE WHEN rule LIKE 'T-M%' THEN 'human-high' ELSE 'ai-high' END AS direction FROM rates JOIN corpora USING (label) WHERE NOT (label = 'src1' AND rule = 'W-M4') GROUP BY ALL")
 def calibration_bands(spark, sf_dir):
     left_out = spark.createDataFrame([("src1", "W-M4")], "label string, rule string")
     return B.calibrate(corpora(spark, sf_dir), rates(spark, sf_dir), left_out)

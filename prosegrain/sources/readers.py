@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.spans import FENCE, INLINE
 from ..functions.text import normalise_lines, split_text
+from ..operators.store import written
 
 TEXT_FILES = ("*.txt",)
 CHECK_FILES = ("*.md", "*.txt")
@@ -41,25 +42,29 @@ def pieces(docs: DataFrame, split: str = "none") -> DataFrame:
     return rows.select(F.concat_ws("#", "path", F.col("k").cast("string")).alias("path"), "text")
 
 
-def json_texts(records: DataFrame, field: str = "text", depth: int = 8) -> DataFrame:
-    """Every string under ``field`` in the JSON documents of column ``value``, at any depth down to ``depth``.
+def json_texts(records: DataFrame, field: str = "text") -> DataFrame:
+    """Every string under ``field`` in the JSON documents of column ``value``, at any depth.
 
     An object whose field is a string gives it and is not searched further;
-    other objects and lists are. Documents that are not JSON give nothing. The
-    levels are unrolled into a union, so the search stays in the engine.
+    other objects and lists are. Documents that are not JSON give nothing. Each
+    level is written before the next is searched, until a level is empty, so
+    the search reads every value once and ends at the deepest document's depth.
     """
     others = [c for c in records.columns if c != "value"]
     now = records.select(*others, F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
     found = None
-    for _ in range(depth + 1):
-        text = F.when(F.schema_of_variant("v").startswith("OBJECT") & (F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{field}", "variant")), F.lit("VOID")) == "STRING"), F.try_variant_get("v", f"$.{field}", "string"))
-        marked = now.withColumn("text", text)
-        here = marked.where("text IS NOT NULL").select(*others, "text")
+    while True:
+        held = F.try_variant_get("v", f"$.{field}", "variant")
+        text = F.when(F.schema_of_variant("v").startswith("OBJECT") & (F.coalesce(F.schema_of_variant(held), F.lit("VOID")) == "STRING"), F.try_variant_get("v", f"$.{field}", "string"))
+        open_ = F.when(text.isNull() & F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"), F.col("v"))
+        level = written(now.select(*others, text.alias("text"), open_.alias("v")).where("text IS NOT NULL OR v IS NOT NULL"), "json-level")
+        here = level.where("text IS NOT NULL").select(*others, "text")
         found = here if found is None else found.unionByName(here)
-        rest = marked.where("text IS NULL AND (schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%')").drop("text")
-        rest.createOrReplaceTempView("_prosegrain_json")
-        now = records.sparkSession.sql(f"SELECT {''.join(f't.`{c}`, ' for c in others)} e.value AS v FROM _prosegrain_json t, LATERAL variant_explode(t.v) e")
-    return found
+        rest = level.where("v IS NOT NULL").drop("text")
+        if not rest.limit(1).count():
+            return found
+        each = records.sparkSession.tvf.variant_explode(F.col("v").outer())
+        now = rest.lateralJoin(each.select(F.col("value").alias("part"))).select(*others, F.col("part").alias("v"))
 
 
 LEXICON_SCHEMA = T.StructType([
