@@ -11,12 +11,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..operators import bands as B
 from ..operators import lexicon as L
 from ..operators import rules as R
 from ..operators import score as S
+from ..operators.store import written
 from ..operators.terms import tokenized
 from ..sources import readers, writers
-from . import settings
+from . import band_tables, settings
 
 
 def session() -> SparkSession:
@@ -68,12 +70,23 @@ def delta(a: argparse.Namespace) -> int:
     return 0
 
 
+#: Where band tables are looked for by name, the first folder first.
+BAND_SCOPES = {"project": Path(".prosegrain/bands"), "personal": Path.home() / ".prosegrain/bands"}
+
+
+def _verdict_lines(rows: list, words: int, name: str) -> list[str]:
+    if words < B.MIN_WORDS:
+        return [f"bands {name}: too few words ({words}, {B.MIN_WORDS} are needed), so nothing is compared"]
+    return [f"bands {name}, {words} words"] + [f"  {r.rule}  {r.rate_per_1k:g}/1k  {r.status}" + ("" if r.status == "PASS" else f"  {r.position}") for r in rows]
+
+
 def check(a: argparse.Namespace) -> int:
     spark = session()
     fields = settings.pairs(a.field)
     voice = json.loads(Path(a.voice).read_text()) if a.voice else None
     try:
         plan = settings.resolve({"rules": a.rules, "bands": a.bands, "fields": fields}, voice)
+        table = band_tables.named(a.bands, BAND_SCOPES) if a.bands else None
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
@@ -82,17 +95,41 @@ def check(a: argparse.Namespace) -> int:
         print(f"error: no such file or directory: {', '.join(missing)}", file=sys.stderr)
         return 2
     docs = readers.one_text(spark, sys.stdin.read()) if not a.paths or a.paths == ["-"] else readers.check_files(spark, a.paths)
-    found = R.sort_findings(R.check(docs, [r for r in plan.rules if r != "W-M10"], fields))
+    run = [r for r in plan.rules if r != "W-M10"]
+    found = written(R.check(docs, run, fields), "findings")  # counted, compared and sorted, computed once
     if a.output:
         (writers.write_findings_json if a.json else writers.write_findings_text)(found, a.output)
-    rows = found.toJSON() if a.json else R.finding_line(found).rdd.map(lambda r: r[0])
-    some = False
-    for line in rows.toLocalIterator():
-        some = True
-        print(line)
+    counts = {r.rule: r.findings for r in B.finding_counts(found).collect()}  # a row a rule
+    bands: dict = {"bands": None, "available": False}
+    if table:
+        words = docs.agg(F.coalesce(F.sum(F.size(tokenize(F.col("text")))), F.lit(0)).alias("words"))
+        n = words.first()["words"]
+        rows = B.verdicts(B.finding_counts(found), words, band_tables.frame(spark, table[0]), [r for r in ("W-M1",) if r in run]).orderBy("rule").collect()
+        bands = {"bands": table[0]["name"], "scope": table[1], "words": n, "available": True, "rules": {r.rule: {k: r[k] for k in ("rate_per_1k", "status", "position", "direction")} for r in rows}}
+        print("\n".join(_verdict_lines(rows, n, table[0]["name"])), file=sys.stderr)
+    if not a.output:  # on the screen: one report, or a line a finding
+        if a.json:
+            each = [json.loads(x) for x in R.sort_findings(found).toJSON().toLocalIterator()]
+            print(json.dumps({"rules": run, "rules_skipped": plan.skipped, "counts": dict(sorted(counts.items())), "bands": bands, "findings": each}, ensure_ascii=False))
+        else:
+            for line in R.finding_line(R.sort_findings(found)).toLocalIterator():
+                print(line[0])
     if plan.skipped:
         print(f"skipped: {', '.join(plan.skipped)}", file=sys.stderr)
-    return int(some)
+    return int(any(counts.values()))
+
+
+def bands(a: argparse.Namespace) -> int:
+    """``bands list`` and ``bands show NAME``."""
+    try:
+        if a.what == "list":
+            print("\n".join(f"{name}  {scope}" for name, scope in settings.catalog(BAND_SCOPES).items()))
+        else:
+            print("\n".join(band_tables.lines(*band_tables.named(a.name or "", BAND_SCOPES))))
+    except ValueError as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
+    return 0
 
 
 def parser() -> argparse.ArgumentParser:
@@ -114,6 +151,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("first"), p.add_argument("second"), p.add_argument("-l", "--lexicon", required=True), p.add_argument("--boot", type=int, default=2000)
     p = command("check", check)
     p.add_argument("paths", nargs="*"), p.add_argument("--rules"), p.add_argument("--bands", "--surface"), p.add_argument("--voice"), p.add_argument("--field", action="append", default=[]), p.add_argument("--json", action="store_true"), p.add_argument("-o", "--output")
+    p = command("bands", bands)
+    p.add_argument("what", choices=["list", "show"]), p.add_argument("name", nargs="?")
     return top
 
 
