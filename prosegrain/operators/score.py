@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import grams, has_digit, is_stopword, let
 from .lexicon import Lexicon
+from .store import written
 
 CLASSES = ("jargon", "unapproved_unigram", "unapproved_bigram")
 
@@ -134,6 +135,7 @@ def delta(units: DataFrame, reps: int = 2000, plan: DataFrame | None = None) ->
     A plan (rep, side, idx, times) over units numbered ``idx`` draws exactly as
     it says instead, see :func:`seeded_plan` and ``resample.numbered``.
     """
+    units = written(units, "compared-units")  # read for the replicates and as a whole; scores are not made twice
     sums = lambda df, w: df.agg(*[F.sum(F.col(c) * w).alias(c) for c in ("content_words", *[f"{k}_hits" for k in CLASSES])])
     if plan is None:
         blocks = units.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // EACH) - 1))))
