@@ -2,21 +2,21 @@
 
 Bulk-synchronous best-fit. Documents (of fewer tokens than a sequence) and gaps
 (the room left in open sequences) are range-sorted together by size, at least
-``ranges`` ranges at every size of input. A sweep over each range fits every
-document, largest first, into the smallest gap of its range that takes it. What
-a range cannot match meets the rest through the ranges' counts: untouched gaps
-of a range take the largest documents left in the ranges below, matched by
-rank, so no two want the same place. Gaps are updated and the round is repeated
-until no document is left; a round that places nothing opens as many sequences
-as the rest needs at least.
+``ranges`` ranges at every size of input; counts by size, of which there are no
+more than ``2 * capacity``, give the ranges' bounds. A sweep over each range
+fits every document, largest first, into the smallest gap of its range that
+takes it. What a range cannot match meets the rest through the ranges' counts:
+untouched gaps of a range take the largest documents left in the ranges below,
+matched by rank, so no two want the same place. Gaps are updated and the round
+is repeated until no document is left. Where no gap takes the smallest document
+left, as at the start, as many sequences are opened as the rest needs at least.
 
-The first round opens as many sequences as the tokens need at least. Longer
-documents are cut into full sequences and a last piece.
+Longer documents are cut into full sequences and a last piece.
 
 A round reads the state that the round before wrote to the shared folder, so a
-lost executor repeats at most a round. The driver
-sees a few numbers for each range, of which there is one for ``per_range``
-documents and gaps.
+lost executor repeats at most a round. The driver sees the counts by size and
+a few numbers for each range, of which there is one for ``per_range`` documents
+and gaps.
 
 Defined cases: a null text is an empty one, which is one end id; repeated rows
 are documents of their own; equal sizes are taken in the order of the pieces'
@@ -27,11 +27,13 @@ whatever their names.
 from __future__ import annotations
 
 import bisect
+import itertools
+import operator
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -122,28 +124,24 @@ SWEPT = "part int, is_gap boolean, id long, size long, bin long, rank long"
 
 
 def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted range: rows (is_gap, id, size) in, rows of SWEPT out.
+    """Sorted ranges: rows (part, is_gap, id, size) in, rows of SWEPT out.
 
     A document has ``bin`` if it was placed, else ``rank`` (0: the largest). A
     gap has its room left; if nothing was put into it, ``rank`` (0: the smallest).
     """
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    items, gaps = [], []
-    for b in batches:
-        for is_gap, i, size in zip(*[c.to_pylist() for c in b.columns]):
+    all_rows = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
+    for part, of_part in itertools.groupby(all_rows, operator.itemgetter(0)):
+        items, gaps = [], []
+        for _, is_gap, i, size in of_part:
             (gaps if is_gap else items).append((size, i))
-    size_of = {i: s for s, i in items}
-    placed, rest, room, untouched = best_fit(items, gaps)
-    rows = [(False, i, size_of[i], g, None) for i, g in placed.items()]
-    rows += [(False, i, s, None, k) for k, (s, i) in enumerate(rest)]
-    rows += [(True, g, s, None, None) for g, s in room.items()] + [(True, g, s, None, k) for k, (s, g) in enumerate(untouched)]
-    for k in range(0, len(rows), 20_000):
-        cols = list(zip(*rows[k : k + 20_000]))
-        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(cols[0]), pa.int32()), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                                         ["part", "is_gap", "id", "size", "bin", "rank"])
+        size_of = {i: s for s, i in items}
+        placed, rest, room, untouched = best_fit(items, gaps)
+        rows = [(part, False, i, size_of[i], g, None) for i, g in placed.items()]
+        rows += [(part, False, i, s, None, k) for k, (s, i) in enumerate(rest)]
+        rows += [(part, True, g, s, None, None) for g, s in room.items()] + [(part, True, g, s, None, k) for k, (s, g) in enumerate(untouched)]
+        for k in range(0, len(rows), 20_000):
+            kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), kinds)], ["part", "is_gap", "id", "size", "bin", "rank"])
 
 
 def successors(parts: list) -> list[tuple[int, int, int, int, int, int]]:
@@ -151,21 +149,26 @@ def successors(parts: list) -> list[tuple[int, int, int, int, int, int]]:
 
     ``parts``: (part, items left, largest item, gaps left, smallest gap) by
     range. Every gap of a range takes any document of a lower range. The
-    nearest lower range comes first.
+    nearest lower range comes first; what room the last gap certainly has then
+    goes to the next one.
     """
     out, stack = [], []
     for part, n_items, largest, n_gaps, smallest in parts:
-        at = 0
-        while n_gaps and stack:
-            of, first, left, top = stack[-1]
-            each = max(1, smallest // top)
-            n = min(left, n_gaps * each)
-            out.append((of, first, n, part, at, each))
-            used = -(-n // each)
-            at, n_gaps = at + used, n_gaps - used
-            stack[-1] = (of, first + n, left - n, top)
-            if left == n:
-                stack.pop()
+        at, spare = 0, 0
+        while stack and (at < n_gaps or spare >= stack[-1][3]):
+            of, first, left, top = stack.pop()
+            if spare >= top:  # into the gap used last
+                to, each = at - 1, spare // top
+                n = min(left, each)
+                spare -= n * top
+            else:
+                to, each = at, smallest // top
+                n = min(left, (n_gaps - at) * each)
+                at += -(-n // each)
+                spare = smallest - (n - (at - to - 1) * each) * top
+            out.append((of, first, n, part, to, each))
+            if n < left:
+                stack.append((of, first + n, left - n, top))
         if n_items:
             stack.append((part, 0, n_items, largest))
     return out
@@ -174,19 +177,52 @@ def successors(parts: list) -> list[tuple[int, int, int, int, int, int]]:
 def crossed(swept: DataFrame, found: list[tuple]) -> DataFrame:
     """(is_gap, id, size, bin) after a round: ``swept`` with the ranges' matches carried out.
 
-    Documents with a bin are placed, by the sweep or now. The matches, some a range, are joined by
-    range, so the planner weighs their size as it does any table's.
+    Documents with a bin are placed, by the sweep or now. A document and the gap it goes to meet by
+    the gap's range and rank, in one shuffle; a gap takes ``capacity`` documents at most.
     """
-    pairs = swept.sparkSession.createDataFrame(found, "of int, first long, n long, to int, at long, each long")
-    loose = swept.where("not is_gap and bin is null")
+    loose, met = F.col("bin").isNull() & ~F.col("is_gap"), F.col("is_gap") & F.col("rank").isNotNull()
     hit = (F.col("part") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
-    wanted = loose.join(pairs, hit, "left").select("id", "size", "to", (F.col("at") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("want"))
-    room = swept.where("is_gap and rank is not null").select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("id").alias("gap"))
-    met = wanted.join(room, (F.col("to") == F.col("gap_part")) & (F.col("want") == F.col("gap_rank")), "left").select("id", "size", F.col("gap").alias("bin"))
-    taken = met.where("bin is not null").groupBy(F.col("bin").alias("in")).agg(F.sum("size").alias("taken"))
-    gaps = swept.where("is_gap").join(taken, F.col("id") == F.col("in"), "left").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size"))
-    done = swept.where("not is_gap and bin is not null").select("is_gap", "id", "size", "bin")
-    return done.unionByName(met.select(F.lit(False).alias("is_gap"), "id", "size", "bin")).unionByName(gaps.select(F.lit(True).alias("is_gap"), "id", "size", F.lit(None).cast("long").alias("bin")))
+    want = F.col("at") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))
+    names = ["of", "first", "n", "to", "at", "each"]
+    pairs = local(swept, dict(zip(names, zip(*found) if found else [[]] * 6)))
+    wanted = swept.where(loose).join(pairs, hit, "left").select("is_gap", "id", "size", "to", want.alias("want"))
+    room = swept.where(met).select("is_gap", "id", "size", F.col("part").cast("long").alias("to"), F.col("rank").alias("want"))
+    groups = wanted.where("to is not null").unionByName(room).groupBy("to", "want").agg(
+        F.max(F.when(F.col("is_gap"), F.col("id"))).alias("gap"),
+        F.sum(F.when(F.col("is_gap"), F.col("size")).otherwise(-F.col("size"))).alias("left"),
+        F.collect_list(F.when(~F.col("is_gap"), F.struct("id", "size"))).alias("docs"),
+    )
+    no_bin = F.lit(None).cast("long")
+
+    def row(is_gap: bool, id_: Column, size: Column, bin_: Column) -> Column:
+        return F.struct(F.lit(is_gap).alias("is_gap"), id_.alias("id"), size.alias("size"), bin_.alias("bin"))
+
+    put = F.transform("docs", lambda d: row(False, d["id"], d["size"], F.col("gap")))
+    after = groups.select(F.inline(F.concat(put, F.array(row(True, F.col("gap"), F.col("left"), no_bin)))))
+    same = swept.where(~loose & ~met).select("is_gap", "id", "size", "bin")
+    unmet = wanted.where("to is null").select("is_gap", "id", "size", no_bin.alias("bin"))
+    return same.union(unmet).union(after)
+
+
+def local(like: DataFrame, columns: dict) -> DataFrame:
+    """A small table of long columns whose size the planner knows."""
+    return like.sparkSession.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()}))
+
+
+def dealt(state: DataFrame, held: dict[tuple[int, bool], int], ranges: int) -> DataFrame:
+    """(part, is_gap, id, size) of ``state`` in ranges of like many rows, sorted by part and size.
+
+    ``held``: rows by (size, is gap); others are left out. Equal rows are
+    spread by hash over the ranges that their size and kind take up.
+    """
+    sizes, kinds = zip(*sorted(held))
+    each = [held[k] for k in sorted(held)]
+    total, before = sum(each), list(itertools.accumulate(each, initial=0))[:-1]
+    classes = local(state, {"of_size": sizes, "of_gap": map(int, kinds), "before": before, "rows": each})
+    place = F.col("before") + F.pmod(F.xxhash64("id"), F.col("rows"))
+    known = state.join(classes, (F.col("size") == F.col("of_size")) & (F.col("is_gap").cast("long") == F.col("of_gap")))
+    rows = known.select(F.floor(place * ranges / total).cast("int").alias("part"), "is_gap", "id", "size")
+    return rows.repartitionById(ranges, "part").sortWithinPartitions("part", "size", "is_gap", "id")
 
 
 def pack(docs: DataFrame, capacity: int = 4096, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", per_range: int = PER_RANGE, ranges: int = RANGES) -> DataFrame:
@@ -196,31 +232,28 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer_path: str | None = Non
     table = cut(table.withColumn("item", F.monotonically_increasing_id()), "pieces")  # written, so the numbers stay
     whole = table.where(F.col("length") >= capacity).select("item", (F.col("item") * 2 + 1).alias("sequence_id"))
     items = table.where(F.col("length") < capacity).select(F.col("item").alias("id"), F.col("length").alias("size"))
-    n_items, words = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    opened, n_gaps, rounds = 0, 0, []
 
     def rows(df: DataFrame, is_gap: bool) -> DataFrame:
         return df.select(F.lit(is_gap).alias("is_gap"), "id", "size")
 
-    state, fits = rows(items, False), False  # documents and gaps before a round
-    while n_items:
-        if not fits:  # nothing fits anywhere: open what the rest needs at least
-            more = -(-words // capacity)
-            state = state.unionByName(rows(spark.range(opened, opened + more).select("id", F.lit(capacity).cast("long").alias("size")), True))
-            opened, n_gaps = opened + more, n_gaps + more
-        dealt = state.repartitionByRange(max(ranges, -(-(n_items + n_gaps) // per_range)), "size", "is_gap", "id")
-        swept = cut(dealt.sortWithinPartitions("size", "is_gap", "id").mapInArrow(tidy(sweep), SWEPT), "swept")
+    state, opened, rounds = rows(items, False), 0, []  # documents and gaps before a round
+    while True:
+        held = {(r.size, r.is_gap): r.n for r in state.groupBy("size", "is_gap").agg(F.count("*").alias("n")).collect()}
+        sizes = [size for size, is_gap in held if not is_gap]
+        if not sizes:
+            break
+        held = {k: n for k, n in held.items() if k[0] >= min(sizes)}  # smaller gaps take nothing more
+        if not any(is_gap for _, is_gap in held):  # nothing fits anywhere: open what the rest needs at least
+            more = -(-sum(size * n for (size, _), n in held.items()) // capacity)
+            new = spark.range(opened, opened + more).select("id", F.lit(capacity).cast("long").alias("size"))
+            state, opened, held = state.unionByName(rows(new, True)), opened + more, held | {(capacity, True): more}
+        in_ranges = dealt(state, held, max(ranges, -(-sum(held.values()) // per_range)))
+        swept = cut(in_ranges.mapInArrow(tidy(sweep), SWEPT), "swept")
         left, gap = F.col("bin").isNull() & ~F.col("is_gap"), F.col("is_gap") & F.col("rank").isNotNull()
-        sizes = [F.count_if(left), F.max(F.when(left, F.col("size"))), F.count_if(gap), F.min(F.when(gap, F.col("size"))), F.count("bin"), F.sum(F.when(left, F.col("size"))), F.min(F.when(left, F.col("size")))]
-        parts = [tuple(p) for p in swept.groupBy("part").agg(*sizes).orderBy("part").collect()]
-        found = successors([p[:5] for p in parts])
-        matched = sum(f[2] for f in found)
-        fits, n_items = bool(matched or sum(p[5] for p in parts)), sum(p[1] for p in parts) - matched
-        words = sum(p[6] or 0 for p in parts)  # of what the sweep left: all there is where nothing fits
-        least = min((p[7] for p in parts if p[7]), default=capacity)
-        if fits:
-            rounds.append(cut(crossed(swept, found), "packed"))
-            state = rounds[-1].where("bin is null").where(F.col("size") >= least).select("is_gap", "id", "size")  # smaller gaps take nothing more
+        of = [F.count_if(left), F.max(F.when(left, F.col("size"))), F.count_if(gap), F.min(F.when(gap, F.col("size")))]
+        parts = sorted(tuple(p) for p in swept.groupBy("part").agg(*of).collect())
+        rounds.append(cut(crossed(swept, successors(parts)), "packed"))
+        state = rounds[-1].where("bin is null").select("is_gap", "id", "size")
         drop(swept)
     placed = whole
     if rounds:
