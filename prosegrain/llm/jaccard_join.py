@@ -19,7 +19,8 @@ copies that is the copy nearest to all. What is verified forms classes.
 Then nodes of a key that are still in different classes are held against each
 other by their bit sketches, inside the task. Up to three times each class puts
 out only its nearest pair to another class, as in Boruvka's algorithm, which joins
-nearly all of a large group; at last every pair of different classes that
+nearly all of a large group (the nearest of each pair of blocks, where a group
+is larger than a block, so that no task holds a whole group); at last every pair of different classes that
 passes and has not been tried is put out and verified. A pair inside a class
 changes nothing and is never made.
 
@@ -48,6 +49,8 @@ MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 LOT_BYTES = 1 << 20
 #: Sketch bits for each element that may differ: so many that dissimilar sets seldom pass.
 BITS_EACH = 16
+#: Pairs a task holds before it puts them out.
+MOST_HELD = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -233,43 +236,70 @@ def keyed(texts: DataFrame, width: int, bands: Bands, seed: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "key long, node long")
 
 
-def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
-    """Batches cut so that rows of one value of the first column, which are neighbours, stay together."""
+def in_runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[np.ndarray, pa.RecordBatch, int | None]]:
+    """Batches cut so that rows of one value of the first column, which are neighbours, stay together.
+
+    With ``most``, a run of so many rows is not held: it comes in parts, and its
+    value is the third item of each tuple that holds some of it.
+    """
     held: list[pa.RecordBatch] = []
+    last = long = None
+
+    def put() -> tuple[np.ndarray, pa.RecordBatch, int | None]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t.column(0).to_numpy(), t.to_batches()[0], long
+
     for batch in batches:
         if not len(batch):
             continue
         key = batch.column(0).to_numpy(zero_copy_only=False)
-        if key[0] == key[-1]:
+        if held and key[0] != last:  # the run ended with its batch
+            yield put()
+            held = []
+        last = key[-1]
+        others = np.flatnonzero(key != last)
+        if len(others):
+            held.append(batch.slice(0, int(others[-1]) + 1))
+            yield put()
+            held = [batch.slice(int(others[-1]) + 1)]
+        else:
             held.append(batch)
-            continue
-        cut_at = int(np.flatnonzero(key != key[-1])[-1]) + 1
-        t = pa.Table.from_batches([*held, batch.slice(0, cut_at)]).combine_chunks()
-        # What is held may begin with a run that ends in this batch.
-        yield t.column(0).to_numpy(), t.to_batches()[0]
-        held = [batch.slice(cut_at)]
+        if most and sum(map(len, held)) >= most:
+            long = int(last)
+            yield put()
+            held = []
     if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield t.column(0).to_numpy(), t.to_batches()[0]
+        yield put()
 
 
-def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared_keys(most: int):
     """Sorted (key, node) -> (group, node, size): the sets of nodes, two or more, that share a key.
 
-    A set is named by a hash of its nodes, so keys with the same nodes give the same rows.
+    A set is named by a hash of its nodes, so keys with the same nodes give the
+    same rows. A key of ``most`` rows or more is not held: its rows go on as they
+    come, and its set is named by the key.
     """
-    for key, batch in in_runs(batches):
-        node = batch.column(1).to_numpy()
-        own = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node = key[own], node[own]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        many = np.repeat(sizes > 1, sizes)
-        if many.any():
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, batch, long in in_runs(batches, most):
+            node = batch.column(1).to_numpy()
+            own = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            key, node = key[own], node[own]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
             with np.errstate(over="ignore"):
                 group = mix(np.add.reduceat(mix(node.view(U)), starts) + sizes.astype(U)).view(np.int64)
-            rows = pa.table([np.repeat(group, sizes)[many], node[many], np.repeat(sizes, sizes)[many]], ["group", "node", "size"])
-            yield from rows.group_by(["group", "node", "size"]).aggregate([]).combine_chunks().to_batches()
+            if long is not None:
+                part = key[starts] == long
+                group = np.where(part, mix(key[starts].view(U)).view(np.int64), group)
+            else:
+                part = np.zeros(len(starts), bool)
+            many = np.repeat((sizes > 1) | part, sizes)
+            if many.any():
+                rows = pa.table([np.repeat(group, sizes)[many], node[many], np.repeat(np.where(part, most, sizes), sizes)[many]], ["group", "node", "size"])
+                yield from rows.group_by(["group", "node", "size"]).aggregate([]).combine_chunks().to_batches()
+
+    return run
 
 
 def sketch_filter(bands: Bands):
@@ -287,48 +317,73 @@ def sketch_filter(bands: Bands):
     return run
 
 
+def in_blocks(left: DataFrame, block: int) -> DataFrame:
+    """left (group, m, node, class, n, sketch) -> (lot, group, low, high, node, class, n, sketch), sorted by lot.
+
+    A group of m nodes is dealt to about m / block blocks by hash, and a lot is
+    a pair of blocks, so no task holds more than two blocks of a group and any
+    two nodes of a group meet in a lot.
+    """
+    parts = F.ceil(F.col("m") / F.lit(block)).cast("long")
+    dealt = left.select("*", F.pmod(F.xxhash64("node"), parts).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    pair = dealt.select("group", F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "b", "node", "class", "n", "sketch")
+    lots = pair.select(F.xxhash64("group", "low", "high").alias("lot"), "group", "low", "high", (F.col("b") == F.col("low")).cast("long").alias("first"), "node", "class", "n", "sketch")
+    return lots.repartition("lot").sortWithinPartitions("lot", "group", "low", "high", F.desc("first"), "node")
+
+
 def across_classes(bands: Bands, nearest: bool):
-    """Sorted (group, node, class, n, sketch) -> (group, u, v): nodes of different classes whose sketches allow similarity.
+    """Rows of :func:`in_blocks` -> (group, u, v): nodes of different classes whose sketches allow similarity.
 
-    With ``nearest``, each class of a group only puts out its pair of least distance.
+    With ``nearest``, each class of a lot only puts out its pair of least distance.
     """
 
+    def found_rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["group", "u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, batch in in_runs(batches):
-            node, of, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
-            bits = batch.column(4)
+        for _, batch, _ in in_runs(batches):
+            group, low, high, first, node, of, n = (batch.column(k).to_numpy() for k in range(1, 8))
+            bits = batch.column(8)
             found: list[tuple[int, int, int]] = []
-            seen: set[tuple[int, int]] = set()  # pairs of this lot, which many groups share
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            seen: set[tuple[int, int]] = set()  # pairs of this batch, which many groups share
+            edge = (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            starts = np.flatnonzero(np.concatenate([[True], edge, [True]]))
             for a, b in zip(starts[:-1], starts[1:]):
                 own: set[tuple[int, int]] = set()
                 least = min(len(bits[k].as_buffer()) for k in range(a, b))
                 rows = np.stack([folded(bits[k].as_py(), least) for k in range(a, b)])
                 best: dict[int, tuple[float, int, int]] = {}
-                for i in range(a, b - 1):
-                    m = n[i + 1 : b]
-                    near = (of[i + 1 : b] != of[i]) & (np.maximum(m, n[i]) <= np.minimum(m, n[i]) * 100 // bands.percent)
-                    if not near.any():
+                # Within one block all pairs; of two blocks the first's nodes, which come first, with the second's.
+                between = low[a] != high[a]
+                second = a + int(first[a:b].sum())
+                for i in range(a, second if between else b - 1):
+                    start = second if between else i + 1
+                    m = n[start:b]
+                    near = np.flatnonzero((of[start:b] != of[i]) & (np.maximum(m, n[i]) <= np.minimum(m, n[i]) * 100 // bands.percent))
+                    if not len(near):
                         continue
-                    away = hamming(rows[i + 1 - a :], rows[i - a])
-                    near &= away <= (m + n[i]) * (100 - bands.percent) // (100 + bands.percent)
-                    for j in (np.flatnonzero(near) + i + 1).tolist():
+                    away = hamming(rows[near + (start - a)], rows[i - a])
+                    passed = away <= (m[near] + n[i]) * (100 - bands.percent) // (100 + bands.percent)
+                    for j, far_away in zip((near[passed] + start).tolist(), away[passed].tolist()):
                         pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
                         if not nearest:
                             own.add(pair)
                             continue
-                        far = (away[j - i - 1] / (n[i] + n[j]), *pair)
+                        far = (far_away / (n[i] + n[j]), *pair)
                         for c in (of[i], of[j]):
                             if c not in best or far < best[c]:
                                 best[c] = far
+                    if len(own) >= MOST_HELD:
+                        yield found_rows([(int(group[a]), u, v) for u, v in own])
+                        own = set()
                 own.update(x[1:] for x in best.values())
                 if not nearest:
                     fresh = own.difference(seen)
                     seen |= fresh
                     own = fresh
-                found += [(int(key[a]), u, v) for u, v in own]
+                found += [(int(group[a]), u, v) for u, v in own]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["group", "u", "v"])
+                yield found_rows(found)
 
     return run
 
@@ -361,8 +416,12 @@ def set_table(width: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 0) -> DataFrame:
-    """One row a document: id, n_shingles, component_id, text_key (md5 of the text), class (null without a word)."""
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 0, block: int = 2048, most: int = 1 << 22) -> DataFrame:
+    """One row a document: id, n_shingles, component_id, text_key (md5 of the text), class (null without a word).
+
+    A task holds about two blocks of ``block`` nodes of a group, and fewer than
+    ``most`` rows of a key and a batch; neither bound drops a pair.
+    """
     bands = Bands(percent)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
@@ -370,11 +429,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = table.where("n > 0")
     nodes = cut(known.groupBy("node").agg(F.min("key").alias("text_key"), F.min("id").alias("least"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), F.min("check").alias("c1"), F.max("check").alias("c2")), "nodes")
     if nodes.where("c1 <> c2").limit(1).count():  # two sets of one name: take other names
-        return jaccard_classes(docs, id_col, text_col, width, percent, seed + 2)
+        return jaccard_classes(docs, id_col, text_col, width, percent, seed + 2, block, most)
 
     # Groups of nodes that share a key. One shuffle by key; repeats of a node in a key go in the task.
     dealt = keyed(rows.select("text"), width, bands, seed).repartition("key").sortWithinPartitions("key", "node")
-    runs = cut(dealt.mapInArrow(tidy(shared_keys), "group long, node long, size long").distinct(), "runs")
+    runs = cut(dealt.mapInArrow(tidy(shared_keys(most)), "group long, node long, size long").distinct(), "runs")
     release(docs.sparkSession)
     info = nodes.select(F.col("node").alias("of"), "n", "sketch")
     # The texts of the nodes that share a key; a text comes once, whatever its copies.
@@ -408,9 +467,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if nearest and not more:
             continue
         by_class = active.join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("group", "node", F.coalesce("component", "node").alias("class"))
-        mixed = by_class.groupBy(F.col("group").alias("g")).agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("g")
-        left = by_class.join(mixed, F.col("group") == F.col("g"), "left_semi").join(info, F.col("node") == F.col("of")).select("group", "node", "class", "n", "sketch")
-        found = cut(left.repartition("group").sortWithinPartitions("group", "node").mapInArrow(tidy(across_classes(bands, nearest)), "group long, u long, v long"), "found")
+        mixed = by_class.groupBy(F.col("group").alias("g")).agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("m")).where("a <> b").select("g", "m")
+        left = by_class.join(mixed, F.col("group") == F.col("g")).join(info, F.col("node") == F.col("of")).select("group", "m", "node", "class", "n", "sketch")
+        found = cut(in_blocks(left, block).mapInArrow(tidy(across_classes(bands, nearest)), "group long, u long, v long"), "found")
         pairs = found.select("u", "v").distinct().join(tried.toDF("su", "sv"), (F.col("u") == F.col("su")) & (F.col("v") == F.col("sv")), "left_anti")
         pairs = cut(pairs, "pairs")
         if more := bool(pairs.limit(1).count()):

@@ -42,8 +42,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "k", "n") for i, t in rows], "doc_id long, text string, key string, node string")
 
 
-def check(spark, rows):
-    got = {r.doc_id: r for r in J.jaccard_classes(frame(spark, rows).repartition(3)).collect()}
+def check(spark, rows, **options):
+    got = {r.doc_id: r for r in J.jaccard_classes(frame(spark, rows).repartition(3), **options).collect()}
     classes, sizes = brute(rows)
     assert {i: r.component_id for i, r in got.items()} == classes
     assert {i: r.n_shingles for i, r in got.items()} == sizes
@@ -75,6 +75,44 @@ def test_families_chains_and_passages(spark):
     check(spark, list(enumerate(texts)))
 
 
+def test_groups_larger_than_a_block_and_keys_that_are_not_held(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = family(rng, [word() for _ in range(60)], 60, 6) + family(rng, [word() for _ in range(150)], 30, 14)
+    shared = [word() for _ in range(70)]  # long enough to share keys, too short to be similar
+    texts += [" ".join(shared + [word() for _ in range(rng.randrange(15, 40))]) for _ in range(40)]
+    rng.shuffle(texts)
+    check(spark, list(enumerate(texts)), block=7, most=16)
+
+
+def test_runs_keep_rows_of_a_key_together_and_long_ones_come_in_parts():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 5, 5, 5, 6]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 2]), pa.array(list(range(k, min(k + 2, len(keys)))))], ["key", "at"]) for k in range(0, len(keys), 2)]
+    whole = list(J.in_runs(iter(batches)))
+    assert [x for _, b, _ in whole for x in b.column(1).to_pylist()] == list(range(len(keys)))
+    tables_of = {k: sum(k in b.column(0).to_pylist() for _, b, _ in whole) for k in set(keys)}
+    assert set(tables_of.values()) == {1} and all(long is None for *_, long in whole)
+    parts = list(J.in_runs(iter(batches), 4))
+    assert [x for _, b, _ in parts for x in b.column(1).to_pylist()] == list(range(len(keys)))
+    assert {long for _, b, long in parts if 3 in b.column(0).to_pylist()} == {3}
+    assert all(sum(1 for _, b, _ in parts if k in b.column(0).to_pylist()) == 1 for k in (1, 2, 4, 6))
+
+
+def test_a_pair_of_blocks_meets_once(spark):
+    left = spark.createDataFrame([(g, m, 100 * g + k, k, 50, b"x" * 8) for g, m in ((1, 23), (2, 3)) for k in range(m)], "group long, m long, node long, class long, n long, sketch binary")
+    lots = {}
+    for r in J.in_blocks(left, 5).collect():
+        lots.setdefault((r.group, r.low, r.high), []).append((r.first, r.node))
+    met = []
+    for (_, low, high), nodes in lots.items():
+        a, b = [x for f, x in nodes if f], [x for f, x in nodes if not f]
+        assert low != high or not b
+        met += [tuple(sorted((x, y))) for x in a for y in b] if low != high else [(x, y) for x in a for y in a if x < y]
+    assert sorted(met) == sorted((100 * g + x, 100 * g + y) for g, m in ((1, 23), (2, 3)) for x in range(m) for y in range(x + 1, m))
+
+
 def test_cases(spark):
     assert J.jaccard_classes(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None), (9, "")]
