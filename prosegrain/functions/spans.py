@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .text import let, one_line
 
+#: Most pieces of a text that are appended one by one.
+APPENDED = 64
 MATCH = "array<struct<start:int,stop:int,line:int,hit:string>>"
 #: A fence opens at the start of a line and closes at the next fence of its kind, else at the end of the text.
 FENCE = r"(?smd)^[ \t]*(```+|~~~+).*?(?:\1|\z)"
@@ -31,8 +33,20 @@ def _pieces(text: Column, regex: str) -> Column:
     return F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.concat(hits, F.array(F.lit(""))).alias("hit"))
 
 
+def running(values: Column) -> Column:
+    """Sums of an array of whole numbers from its first element on, by doubling steps: n log n, without appending."""
+    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(sums, lambda v, i: v + F.when(i >= back, F.get(sums, i - back)).otherwise(F.lit(0)))
+
+    return F.aggregate(F.sequence(F.lit(0), steps - 1), values, add)
+
+
 def find_all(text: Column, regex: str) -> Column:
     """Leftmost non-overlapping matches as (start, stop, line, hit): code points from 0, lines from 1."""
+    none = F.array().cast(MATCH)
 
     def add(acc: Column, x: Column) -> Column:
         start, line = acc["at"] + F.length(x["gap"]), acc["line"] + newlines(x["gap"])
@@ -40,10 +54,22 @@ def find_all(text: Column, regex: str) -> Column:
         found = F.array(F.struct(start.alias("start"), stop.alias("stop"), line.alias("line"), x["hit"].alias("hit"))).cast(MATCH)
         return F.struct(stop.alias("at"), (line + newlines(x["hit"])).alias("line"), F.when(x["hit"] != "", F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast(MATCH)
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out"))
-    fold = let(_pieces(text, regex), lambda p: F.aggregate(F.transform(p, lambda x: F.struct(F.coalesce(x["gap"], F.lit("")).alias("gap"), F.coalesce(x["hit"], F.lit("")).alias("hit"))), start, add, lambda a: a["out"]))
-    return F.when(text.rlike(regex), fold).otherwise(none)
+    def few(p: Column) -> Column:
+        return F.aggregate(p, F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out")), add, lambda a: a["out"])
+
+    def many(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+        lines = running(F.transform(p, lambda x: newlines(x["gap"]) + newlines(x["hit"])))
+        placed = let(ends, lambda e: let(lines, lambda n: F.transform(p, lambda x, i: place(x, F.get(e, i), F.get(n, i)))))
+        return F.filter(placed, lambda x: x["hit"] != "").cast(MATCH)
+
+    def place(x: Column, stop: Column, n: Column) -> Column:
+        return F.struct((stop - F.length(x["hit"])).alias("start"), stop.alias("stop"), (n - newlines(x["hit"]) + 1).alias("line"), x["hit"].alias("hit"))
+
+    pieces = F.transform(_pieces(text, regex), lambda x: F.struct(F.coalesce(x["gap"], F.lit("")).alias("gap"), F.coalesce(x["hit"], F.lit("")).alias("hit")))
+    # Both give the same; appending is quicker for a few matches and takes the square of many.
+    found = let(pieces, lambda p: F.when(F.size(p) <= APPENDED, few(p)).otherwise(many(p)))
+    return F.when(text.rlike(regex), found).otherwise(none)
 
 
 def map_matches(text: Column, regex: str, change: Callable[[Column], Column]) -> Column:
