@@ -12,7 +12,7 @@ splits a key that holds many rows.
 
 Defined cases: a null text is empty and has no finding; repeated rows each get
 their findings; an empty table gives an empty result; other columns than id and
-text are ignored.
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from ..functions.spans import running
+from .common import let, need, unpacked, with_row
 from .trigram_query import trigram_query
 
 
@@ -72,14 +73,17 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     held = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group))
     pieces = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), held.alias("held"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["hit"])
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))).cast(SPAN)
-        return F.struct(stop.alias("at"), F.when(F.length(x["held"]) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def place(x: Column, stop: Column) -> Column:
+        good = F.length(x["held"]) >= rule.least
+        return F.struct(good.alias("good"), (stop - F.length(x["hit"])).alias("start"), stop.alias("stop"))
+
+    def places(p: Column) -> Column:
+        stops = running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+        every = let(stops, lambda e: F.transform(p, lambda x, i: place(x, F.get(e, i))))
+        kept = F.filter(every, lambda x: x["good"])
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["stop"].alias("stop"), F.lit(rule.kind).alias("kind"))).cast(SPAN)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return let(pieces, lambda p: F.aggregate(F.transform(p, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["held"].alias("held"))), start, add, lambda acc: acc["out"]))
+    return let(pieces, lambda p: F.when(F.size(p) == 0, F.array().cast(SPAN)).otherwise(places(p)))
 
 
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -105,10 +109,10 @@ def candidates(docs: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Dat
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, whole: bool = False) -> DataFrame:
     """One row a document: id and ``found``, its spans by start, then by the rules' order.
 
-    With ``whole``, the document is there as struct ``row`` instead of its id.
+    With ``whole``, the document is there as struct ``row``, its columns by place, instead of its id.
     """
-    kept = F.struct("*").alias("row") if whole else F.col(id_col).alias("row")
-    rows = docs.select(kept, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = with_row(docs, text=text_col) if whole else need(docs, id_col, text_col).toDF("row", "text")
+    rows = named.select("row", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.unhex(F.md5("text")))
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex))}
     hits = candidates(keyed, queries).withColumnRenamed("key", "of")
@@ -137,10 +141,10 @@ def redact(text: Column, found: Column) -> Column:
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret replaced by its kind; the length column follows the text, other columns stay."""
     found = secret_scan(docs, id_col, text_col, rules, whole=True)
-    text = redact(F.col("row")[text_col], F.col("found"))
-    out = found.select("row", text.alias("text"), (F.size("found") > 0).alias("changed"))
+    old = lambda name: F.col("row")[f"c{docs.columns.index(name)}"]
+    out = found.select("row", redact(old(text_col), F.col("found")).alias("text"), (F.size("found") > 0).alias("changed"))
     new = {text_col: F.col("text")}
     if length_col in docs.columns:
-        kind = docs.schema[length_col].dataType
-        new[length_col] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("row")[length_col])
-    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+        kind = docs.schema.fields[docs.columns.index(length_col)].dataType
+        new[length_col] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(old(length_col))
+    return unpacked(out, docs, new)

@@ -124,10 +124,26 @@ def test_redaction(spark):
     assert secret_scan.redact_documents(docs).columns == docs.columns
 
 
+def test_secrets_beside_columns_that_clash(spark):
+    clash = spark.createDataFrame([(1, "token=abcdefgh", "A", "B", "C", 14), (2, None, None, None, None, None)], "doc_id long, text string, TEXT string, row string, key string, n_chars long")
+    clash = clash.withColumnRenamed("key", "Doc_Id")
+    found = {r.doc_id: len(r.found) for r in secret_scan.secret_scan(clash).collect()}
+    assert found == {1: 1, 2: 0}
+    out = secret_scan.redact_documents(clash)
+    assert out.columns == clash.columns
+    assert sorted(out.collect(), key=lambda r: r[0]) == [(1, "<assign>", "A", "B", "C", 8), (2, None, None, None, None, None)]
+
+
+def test_many_secrets_in_a_text(spark):
+    text = "é token=abcdefgh\n" * 3000 + "token=abc " + "0a" * 30
+    got = secret_scan.secret_scan(frame(spark, [(1, text, "s")])).head().found
+    assert [(x.start, x["rank"], x.stop, x.kind) for x in got] == secrets(text)
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.data())
 def test_trigram_queries_hold_for_every_match(data):
-    regex = data.draw(st.sampled_from([r.regex for r in secret_scan.RULES] + ["ab?cd[ef]gh", "(abc|xyzw)+q", "(ab|c)defg", "abc.*def", "x{3}y", "(?i:ABCD)e*", "a*"]))
+    regex = data.draw(st.sampled_from([r.regex for r in secret_scan.RULES] + ["ab?cd[ef]gh", "(abc|xyzw)+q", "(ab|c)defg", "abc.*def", "x{3}y", "(?i:ABCD)e*", "a*", r"a\x62c[]x]yz", r"(?P<n>abc)-(?P=n)?", "[^x]abc(?=d)def", r"ab\.c\dxyz", "(?:abc|d*)+efgh", "foo{2,}bar", r"[\-a]bcd\b", "(?:(?:ab){2}c)?dddd"]))
     text = data.draw(st.from_regex(regex, fullmatch=True)) if "(?i:" not in regex else data.draw(st.from_regex(regex.replace("(?i:", "(?:"), fullmatch=True))
     for clause in trigram_query(regex):
         assert any(t in text.lower() for t in clause)
@@ -135,7 +151,10 @@ def test_trigram_queries_hold_for_every_match(data):
 
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") == [] and trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki"}), frozenset({"kia"})]
-    assert frozenset({"abc", "xyz"}) in trigram_query("(?:abc|xyz)d")
+    assert trigram_query("(?:abc|xyz)d") == [frozenset({"abc", "xyz"}), frozenset({"bcd", "yzd"})]
+    assert trigram_query(r"(?:abc)?d\x65f") == [frozenset({"def"})] and trigram_query("abc|x") == []
+    for unknown in (r"\Qabc\E", "(?x)abc d", "abc[de", "abc)", "[abc&&[b]]def", "abc{x}"):
+        assert trigram_query(unknown) == []
 
 
 def test_licenses(spark):
