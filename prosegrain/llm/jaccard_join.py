@@ -475,7 +475,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more := bool(pairs.limit(1).count()):
             links, tried = links.union(verified(pairs)), tried.union(pairs)
             first = cut(components(links), "classes")
-        active = cut(active.join(found.select(F.col("group").alias("g")).distinct(), F.col("group") == F.col("g"), "left_semi"), "active")
+        if nearest and more:  # later rounds have other classes to hold against each other
+            active = cut(active.join(found.select(F.col("group").alias("g")).distinct(), F.col("group") == F.col("g"), "left_semi"), "active")
 
     # Classes of nodes, then of documents: the least id of a class.
     named = nodes.select("node", "least").join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("class"))
