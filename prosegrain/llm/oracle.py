@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import license_scan as LS
 from . import secret_scan as SS
+from .oracle_trie import TRIE
 from .quality_rules import RULES
 
 WS = " \t\n\x0b\x0c\r"
@@ -97,4 +98,5 @@ ORACLE: dict[str, str] = {
     "op6_jaccard_join": JACCARD,
     "op8_license_scan": licences(),
     "op9_mixing": MIXING,
+    "op11_prefix_trie": TRIE,
 }

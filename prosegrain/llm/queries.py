@@ -13,6 +13,7 @@ from .license_scan import license_scan
 from .mixing import fair_mix
 from .packing import pack
 from .parsing import fingerprint_documents
+from .prefix_trie import rebuilt_trie
 from .quality_rules import quality_rules
 from .secret_scan import BASE, secret_scan, span_text
 from .sharding import shard_documents
@@ -75,6 +76,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -86,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
