@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import license_scan as LS
 from . import secret_scan as SS
+from .oracle_spelling import SPELLING
 from .oracle_trie import TRIE
 from .quality_rules import RULES
 
@@ -99,4 +100,5 @@ ORACLE: dict[str, str] = {
     "op8_license_scan": licences(),
     "op9_mixing": MIXING,
     "op11_prefix_trie": TRIE,
+    "op13_spelling": SPELLING,
 }

@@ -17,6 +17,7 @@ from .prefix_trie import rebuilt_trie
 from .quality_rules import quality_rules
 from .secret_scan import BASE, secret_scan, span_text
 from .sharding import shard_documents
+from .spelling import spelling_variants
 from .token_files import token_files
 from .toxicity import toxicity
 
@@ -80,6 +81,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), noise=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -92,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_spelling": op13_spelling,
 }
 
