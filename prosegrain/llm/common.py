@@ -32,14 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def purge(spark: SparkSession) -> None:
     """Delete every intermediate table of this application, once its results are written elsewhere."""
-    _delete(spark, own_dir(spark))
+    delete(spark, own_dir(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +61,7 @@ def drop(*frames: DataFrame) -> None:
     """Delete tables made by :func:`cut` that nothing will read again."""
     for df in frames:
         if path := getattr(df, "cut_path", None):
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

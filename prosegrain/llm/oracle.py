@@ -93,6 +93,14 @@ i AS (SELECT q.*, e, (e * source_size + served)::DOUBLE / target AS time FROM q,
 upto AS (SELECT *, sum(size) OVER (ORDER BY time) AS spent FROM i), ok AS (SELECT rid, count(*)::INTEGER AS epochs FROM upto WHERE spent <= (SELECT sum(size) FROM d) GROUP BY rid)
 SELECT doc_id, size, source_size, target, (size * coalesce(epochs, 0))::BIGINT AS taken, source, coalesce(epochs, 0)::INTEGER AS epochs FROM q LEFT JOIN ok USING (rid)"""
 
+SUBSTRINGS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS.format('text')} AS ws FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+firsts AS (SELECT w, min(doc_id) AS first FROM win GROUP BY w),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS k FROM win JOIN firsts USING (w) WHERE first < doc_id),
+words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(w, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (rid, k) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": QUALITY,
     "op5_secret_scan": SECRETS,
@@ -100,5 +108,6 @@ ORACLE: dict[str, str] = {
     "op8_license_scan": licences(),
     "op9_mixing": MIXING,
     "op11_prefix_trie": TRIE,
+    "op12_substring_dedup": SUBSTRINGS,
     "op13_spelling": SPELLING,
 }

@@ -18,6 +18,7 @@ from .quality_rules import quality_rules
 from .secret_scan import BASE, secret_scan, span_text
 from .sharding import shard_documents
 from .spelling import spelling_variants
+from .substring_dedup import substring_dedup
 from .token_files import token_files
 from .toxicity import toxicity
 
@@ -81,6 +82,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), digests=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir), noise=199)
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_spelling": op13_spelling,
 }
 
