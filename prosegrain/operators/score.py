@@ -8,15 +8,13 @@ is small and otherwise shuffles both.
 
 from __future__ import annotations
 
-import math
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, has_digit, is_stopword, let
 from .lexicon import Lexicon
+from .resample import exact_sums, poisson_sums
 from .store import written
 
 CLASSES = ("jargon", "unapproved_unigram", "unapproved_bigram")
@@ -88,63 +86,19 @@ def top_of_each(hits: DataFrame, kind: str, k: int = 3) -> DataFrame:
     return hits.where(F.col("class") == kind).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("unit", "rank", "term", F.col("n").alias("hits"))
 
 
-def seeded_plan(a_units: int, b_units: int, reps: int = 2000, seed: int = 7) -> list[tuple[int, str, int, int]]:
-    """(replicate, side, unit, times): resamples from one seeded generator, side a then b in each replicate."""
-    draw, out = random.Random(seed), []
-    for rep in range(reps):
-        for side, n in (("a", a_units), ("b", b_units)):
-            times: dict[int, int] = {}
-            for _ in range(n):
-                k = draw.randrange(n)
-                times[k] = times.get(k, 0) + 1
-            out += [(rep, side, k, t) for k, t in sorted(times.items())]
-    return out
-
-
-#: Replicates that one digest serves, with 16 bits for each.
-EACH = 8
-
-
-def poisson_bars() -> list[int]:
-    """A number of 16 bits draws as many as it reaches bars: the distribution function of a Poisson number of mean 1."""
-    upto, p, out = 0.0, math.exp(-1), []
-    for k in range(1, 9):
-        upto, p = upto + p, p / k
-        out.append(math.floor(65536 * upto))
-    return out
-
-
-def poisson_times(name: Column) -> Column:
-    """How often a unit is drawn in ``EACH`` replicates, by the digest of ``name``."""
-    digest = F.md5(F.encode(name, "UTF-8"))
-    number = lambda h, k: F.conv(F.substr(h, k * 4 + 1, F.lit(4)), 16, 10).cast("int")
-    reached = lambda u: sum(((u >= b).cast("int") for b in poisson_bars()), F.lit(0))
-    return let(digest, lambda h: F.transform(F.sequence(F.lit(0), F.lit(EACH - 1)), lambda k: let(number(h, k), reached)))
-
-
-def delta(units: DataFrame, reps: int = 2000, plan: DataFrame | None = None) -> DataFrame:
+def delta(units: DataFrame, reps: int = 2000, exact: bool = False, seed: int = 7) -> DataFrame:
     """One row a class: densities of sides a and b, their difference, its 95 % range, whether it is credible.
 
-    ``units``: (side, unit, content_words, <class>_hits). Each replicate draws
-    every unit a Poisson number of times, by a digest of replicate, unit and
-    side: every engine and run draws alike, no unit is looked up or shuffled,
-    and the sums of a replicate are made in the task that has the units. The
-    number of units drawn is only on average that of the side, which the
-    densities, ratios of sums, do not feel.
-
-    A plan (rep, side, idx, times) over units numbered ``idx`` draws exactly as
-    it says instead, see :func:`seeded_plan` and ``resample.numbered``.
+    ``units``: (side, unit, content_words, <class>_hits). Every replicate draws
+    units with replacement: with ``exact`` as many as the side has, by a
+    generator with a seed; else each a Poisson number of times, by a digest of replicate,
+    unit and side, which every engine draws alike. See :mod:`resample`.
     """
     units = written(units, "compared-units")  # read for the replicates and as a whole; scores are not made twice
-    sums = lambda df, w: df.agg(*[F.sum(F.col(c) * w).alias(c) for c in ("content_words", *[f"{k}_hits" for k in CLASSES])])
-    if plan is None:
-        blocks = units.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // EACH) - 1))))
-        name = F.concat_ws(":", F.col("block").cast("string"), F.col("unit").cast("string"), "side")
-        drawn = blocks.select("*", F.posexplode(poisson_times(name)).alias("k", "times")).withColumn("rep", F.col("block") * EACH + F.col("k"))
-        reps_sums = sums(drawn.where((F.col("times") > 0) & (F.col("rep") < reps)).groupBy("rep", "side"), F.col("times"))
-    else:
-        reps_sums = sums(plan.join(units, ["side", "idx"]).groupBy("rep", "side"), F.col("times"))
-    whole = sums(units.groupBy(F.lit(-1).alias("rep"), "side"), F.lit(1))
+    values = ["content_words", *[f"{k}_hits" for k in CLASSES]]
+    sums = lambda df, w: df.agg(*[F.sum(F.col(c) * w).alias(c) for c in values])
+    reps_sums = exact_sums(units, values, reps, seed) if exact else poisson_sums(units, values, reps)
+    whole = sums(units.groupBy(F.lit(-1).cast("long").alias("rep"), "side"), F.lit(1))
     rate = lambda k: F.expr(f"1000 * {k}_hits / greatest(content_words, 1)")
     rows = reps_sums.unionByName(whole).select("rep", "side", F.explode(F.create_map(*[x for k in CLASSES for x in (F.lit(k), rate(k))])).alias("class", "rate"))
     by_rep = rows.groupBy("rep", "class").agg(F.max(F.when(F.col("side") == "a", F.col("rate"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("rate"))).alias("b"))

@@ -66,7 +66,7 @@ def delta(a: argparse.Namespace) -> int:
     for side, path in (("a", a.first), ("b", a.second)):
         s = S.score(_units(spark, path), lexicon).withColumn("side", F.lit(side))
         units = s if units is None else units.unionByName(s)
-    S.delta(units, a.boot).orderBy("class").show(truncate=False)
+    S.delta(units, a.boot, exact=True).orderBy("class").show(truncate=False)
     return 0
 
 

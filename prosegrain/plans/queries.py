@@ -11,6 +11,7 @@ from ..functions import blocks, spans, text as T
 from ..operators import bands as B
 from ..operators.catalog import first_scope
 from ..operators import lexicon as L
+from ..operators import resample as RS
 from ..operators import rules as R
 from ..operators import score as S
 from ..operators import terms as TM
@@ -264,9 +265,9 @@ REPS = 2000
 
 
 @query("delta_bootstrap", f"""WITH {O.SCORED}, units AS (SELECT CASE WHEN lang = 'en' THEN 'a' ELSE 'b' END AS side, s.* FROM scores s JOIN documents d ON d.doc_id = s.unit),
-digests AS (SELECT block, units.*, md5(block || ':' || unit || ':' || side) AS h FROM units, range({-(-REPS // S.EACH)}) b(block)),
-numbers AS (SELECT block * {S.EACH} + k AS rep, digests.*, ('0x' || substr(h, k * 4 + 1, 4))::INTEGER AS u FROM digests, range({S.EACH}) e(k)),
-drawn AS (SELECT *, {" + ".join(f"(u >= {b})::INTEGER" for b in S.poisson_bars())} AS times FROM numbers WHERE rep < {REPS}),
+digests AS (SELECT block, units.*, md5(block || ':' || unit || ':' || side) AS h FROM units, range({-(-REPS // RS.EACH)}) b(block)),
+numbers AS (SELECT block * {RS.EACH} + k AS rep, digests.*, ('0x' || substr(h, k * 4 + 1, 4))::INTEGER AS u FROM digests, range({RS.EACH}) e(k)),
+drawn AS (SELECT *, {" + ".join(f"(u >= {b})::INTEGER" for b in RS.poisson_bars())} AS times FROM numbers WHERE rep < {REPS}),
 rsums AS (SELECT rep, side, sum(content_words * times) AS c, sum(jargon_hits * times) AS j, sum(unapproved_unigram_hits * times) AS uu, sum(unapproved_bigram_hits * times) AS ub FROM drawn WHERE times > 0 GROUP BY ALL
  UNION ALL SELECT -1, side, sum(content_words), sum(jargon_hits), sum(unapproved_unigram_hits), sum(unapproved_bigram_hits) FROM units GROUP BY side),
 rates AS (SELECT rep, side, unnest([{', '.join(f"'{c}'" for c in S.CLASSES)}]) AS class, unnest([1000 * j / greatest(c, 1), 1000 * uu / greatest(c, 1), 1000 * ub / greatest(c, 1)]::DOUBLE[]) AS rate FROM rsums),
@@ -275,9 +276,17 @@ ends AS (SELECT class, max(a) FILTER (rep < 0) AS a, max(b) FILTER (rep < 0) AS
 SELECT class, round_even(a, 2)::DOUBLE AS a_density, round_even(b, 2)::DOUBLE AS b_density, round_even(a - b, 2)::DOUBLE AS delta, round_even(diffs[floor(0.025 * {REPS})::INT + 1], 2)::DOUBLE AS ci_low, round_even(diffs[floor(0.975 * {REPS})::INT + 1], 2)::DOUBLE AS ci_high,
  diffs[floor(0.025 * {REPS})::INT + 1] > 0 OR diffs[floor(0.975 * {REPS})::INT + 1] < 0 AS credible FROM ends""")
 def delta_bootstrap(spark, sf_dir):
+    return S.delta(scored_sides(spark, sf_dir), REPS)
+
+
+@query("delta_exact")
+def delta_exact(spark, sf_dir):
+    return S.delta(scored_sides(spark, sf_dir), REPS, exact=True)
+
+
+def scored_sides(spark, sf_dir) -> DataFrame:
     sides = docs(spark, sf_dir).select("doc_id", F.when(F.col("lang") == "en", "a").otherwise("b").alias("side"))
-    scored = S.score(units(spark, sf_dir), lexicon(spark, sf_dir)).join(sides, F.col("unit") == F.col("doc_id"))
-    return S.delta(scored, REPS)
+    return S.score(units(spark, sf_dir), lexicon(spark, sf_dir)).join(sides, F.col("unit") == F.col("doc_id"))
 
 
 # --- pieces of text ---------------------------------------------------------
