@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import running
 from .text import let, strip
 
+# What makes a list item, a line of structure, a fence and a line that no other joins; ends of lines.
 ITEM = r"(?U)^[ \t]*([-*+]|(\d+)[.)])[ \t]+([^\n]*)$"
 STRUCTURE = r"(?U)^[ \t]*(#{1,6}[ \t]|[-*+][ \t]|\d+[.)][ \t]|>|\|)"
 PARAGRAPH = "array<struct<line:int,text:string>>"
 FENCE_LINE = r"(?U)^\s*(```|~~~)"
 BREAKING = r"(?U)^\s*\z|^#{1,6} |^\s*([-*+]|\d+\.) |^\s*\||^\s*>|^\s*[-=]{3,}\s*\z|^<"
 LIST_LINE = r"(?U)^\s*([-*+]|\d+\.) "
+HASHES = r"(?U)^#{1,6}\s*\z"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def lines(text: Column) -> Column:
@@ -46,23 +50,41 @@ def paragraphs(text: Column) -> Column:
     return let(lines(text), lambda x: F.aggregate(x, start, add, close))
 
 
-def unwrap(text: Column) -> Column:
-    """Hard-wrapped Markdown with each paragraph and list item on one line; fences and front matter stay as they are."""
-    rows = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
+#: Kinds of lines, a letter each: X of the front matter, F opens or closes a fence, L a list item, S another line that
+#: stands alone, H number signs only, P any other. Lines of one segment become one line: a list item or other line takes
+#: all H and P that follow; number signs take one, which makes a heading of them; fences and front matter stay.
+SEGMENT = "X+|F[^F]*F?|[LP][HP]*|H[HP]?|S"
 
-    def fold(ls: Column) -> Column:
-        closing = F.array_position(F.slice(ls, F.lit(2), F.greatest(F.size(ls) - 1, F.lit(0))), "---")
-        front = F.when((strip(ls[0]) == "---") & (closing > 0), closing + 1).otherwise(0).cast("int")
-        start = F.struct(F.slice(ls, F.lit(1), front).alias("out"), F.lit(False).alias("fenced"))
 
-        def add(acc: Column, line: Column) -> Column:
-            last = F.coalesce(F.get(acc["out"], F.size(acc["out"]) - 1), F.lit(""))
-            fence = line.rlike(FENCE_LINE)
-            open_ = (last != "") & (~last.rlike(BREAKING) | last.rlike(LIST_LINE)) & ~last.rlike(FENCE_LINE)
-            joins = ~fence & ~acc["fenced"] & open_ & ~line.rlike(BREAKING)
-            joined = F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat(F.regexp_replace(last, r"(?U)\s+\z", ""), F.lit(" "), strip(line))))
-            return F.struct(F.when(joins, joined).otherwise(F.concat(acc["out"], F.array(line))).alias("out"), F.when(fence, ~acc["fenced"]).otherwise(acc["fenced"]).alias("fenced"))
+def line_kind(line: Column) -> Column:
+    return F.when(line.rlike(FENCE_LINE), "F").when(line.rlike(LIST_LINE), "L").when(line.rlike(BREAKING), "S").when(line.rlike(HASHES), "H").otherwise("P")
 
-        return F.aggregate(F.slice(ls, front + 1, F.greatest(F.size(ls) - front, F.lit(0))), start, add, lambda a: F.array_join(a["out"], "\n"))
 
-    return F.concat(let(rows, fold), F.when(text.endswith("\n"), "\n").otherwise(""))
+def unwrap(text: Column) -> Column:
+    """Hard-wrapped Markdown with each paragraph and list item on one line; fences and front matter stay as they are.
+
+    Each line becomes a letter; one expression over the letters finds the
+    segments, and their lengths say which lines to join. So a line is looked at
+    a fixed number of times, whatever the paragraph's length.
+    """
+    ended = F.split(F.coalesce(text, F.lit("")), LINE_END, -1)
+    rows = let(ended, lambda p: F.when(F.get(p, F.size(p) - 1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+    def segment(ls: Column, token: Column, stop: Column) -> Column:
+        n = F.length(token)
+        stays = (n == 1) | F.substring(token, 1, 1).isin("X", "F")
+        head, rest = F.get(ls, stop - n), F.slice(ls, stop - n + 2, n - 1)
+        joined = F.array_join(F.concat(F.array(F.regexp_replace(head, r"(?U)\s+\z", "")), F.transform(rest, strip)), " ")
+        return F.when(stays, F.array_join(F.slice(ls, stop - n + 1, n), "\n")).otherwise(joined)
+
+    def fold(ls: Column) -> Column:
+        closing = F.array_position(F.slice(ls, F.lit(2), F.greatest(F.size(ls) - 1, F.lit(0))), "---")
+        front = F.when((strip(F.get(ls, F.lit(0))) == "---") & (closing > 0), closing + 1).otherwise(0).cast("int")
+        kinds = F.array_join(F.transform(ls, line_kind), "")
+        shape = F.concat(F.repeat(F.lit("X"), front), F.substr(kinds, front + 1))
+        tokens = F.regexp_extract_all(shape, F.lit(SEGMENT), F.lit(0))
+        stops = let(tokens, lambda t: F.arrays_zip(t.alias("token"), running(F.transform(t, F.length)).alias("stop")))
+        return F.array_join(F.transform(stops, lambda x: segment(ls, x["token"], x["stop"])), "\n")
+
+    whole = let(rows, lambda ls: F.when(F.size(ls) == 0, "").otherwise(fold(ls)))
+    return F.when(text.isNotNull(), F.concat(whole, F.when(text.endswith("\n"), "\n").otherwise("")))

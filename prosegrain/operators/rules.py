@@ -40,7 +40,7 @@ APPROVED_WORDS = {"commenc(?:e|es|ed|ing|ement)": "start", "perform(?:s|ed|ing)?
 JOINER = r"(?iU),\s*then\s|\band then\b|\band also\b|;\s"
 LATE_CONDITION = r"(?iU)^[A-Z][^.!?\n]{3,}?,\s*(?:if|when|unless)\b"
 CLUSTERS = {"emoji cluster": r"(?U)(?:[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}]\s*){2,}", "exclamation cluster": r"(?U)!\s*!+"}
-INVISIBLE = "⁠⁠|​⁠"
+INVISIBLE = "\u2060\u2060|\u200b\u2060"
 INPUT_FIELDS = ["content", "surface", "destination_type", "channel_id", "audience", "intent"]
 SHORT_NAMES = {"evo-modeler": "modeler", "evo-b-gate": "b-gate", "evo-hydra-lib": "hydralib"}
 

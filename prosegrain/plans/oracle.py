@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import blocks
 from ..functions.text import STOPWORDS
 from ..operators import rules as R
 from .samples import DECORATED_SQL
@@ -130,3 +131,13 @@ FINDINGS |= {"T-M3": T_M3, "T-M11": T_M11, "T-M12": T_M12, "P-M1": P_M1, "P-M5":
 CHECKED = tuple(sorted(FINDINGS, key=R.rule_order))
 ALL_FINDINGS = f"{BODY}, {PARAGRAPHS}, {ITEMS.removeprefix(LINES + ', ')}, {SENTENCES_B}, found AS ({union(*[FINDINGS[r] for r in CHECKED])})"
 ALL_WORDS = f"words AS (SELECT sum(len({tokens('raw')}))::BIGINT AS words FROM bodies)"
+
+_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(x, '{regex}') THEN '{kind}'" for kind, regex in (("F", r"^\s*(```|~~~)"), ("L", r"^\s*([-*+]|\d+\.) "), ("S", r"^\s*$|^#{1,6} |^\s*\||^\s*>|^\s*[-=]{3,}\s*$|^<"), ("H", r"^#{1,6}\s*$"))) + " ELSE 'P' END"
+UNWRAPPED = f"""WITH {DECORATED_SQL}, texts AS (SELECT path, regexp_replace(text, '\\r\\n?', {NL}, 'g') AS t FROM decorated),
+pieces AS (SELECT path, t, regexp_split_to_array(t, '{_ENDS}') AS p FROM texts), rows AS (SELECT path, t, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS ls FROM pieces),
+kinds AS (SELECT *, CASE WHEN trim(ls[1]) = '---' AND list_contains(ls[2:], '---') THEN list_position(ls[2:], '---') + 1 ELSE 0 END AS front, array_to_string(list_transform(ls, lambda x: {_KIND}), '') AS k FROM rows),
+found AS (SELECT path, t, ls, regexp_extract_all(repeat('X', front::INTEGER) || substr(k, front + 1), '{blocks.SEGMENT}') AS toks FROM kinds),
+each AS (SELECT path, t, ls, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM found), placed AS (SELECT *, len(tok) AS n, (sum(len(tok)) OVER (PARTITION BY path ORDER BY i))::BIGINT AS stop FROM each),
+joined AS (SELECT path, t, i, CASE WHEN n = 1 OR left(tok, 1) IN ('X', 'F') THEN array_to_string(ls[stop - n + 1:stop], {NL}) ELSE regexp_replace(ls[stop - n + 1], '\\s+$', '') || ' ' || array_to_string(list_transform(ls[stop - n + 2:stop], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), ' ') END AS line FROM placed)
+SELECT path, string_agg(line, {NL} ORDER BY i) || CASE WHEN ends_with(any_value(t), {NL}) THEN {NL} ELSE '' END AS text FROM joined GROUP BY path"""

@@ -345,7 +345,7 @@ def list_items(spark, sf_dir):
     return stripped(spark, sf_dir).select("path", F.inline(blocks.list_items(F.col("body"))))
 
 
-@query("unwrap_markdown")
+@query("unwrap_markdown", O.UNWRAPPED)
 def unwrap_markdown(spark, sf_dir):
     return bodies(spark, sf_dir).select("path", blocks.unwrap(T.normalise_lines(F.col("text"))).alias("text"))
 

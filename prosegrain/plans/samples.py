@@ -27,7 +27,7 @@ SNIPPETS = [
     "One is here now. Two is here now. Three is here now. Four is here now. Five is here now. Six is here now. Seven is here now.",
     "# Heading with — a dash\n\nTitle\n=====\n\n| a | b — c |\n| - | - |\n\n> quoted robust line",
     "Ask evo-modeler or EVO-B-GATE, not evo-hydra-library.",
-    "A mark⁠⁠ is hidden here and​⁠ here.",
+    "A mark\u2060\u2060 is hidden here and\u200b\u2060 here.",
     "As an AI I cannot say.\r\nSecond line with robust words.\r\nThird.",
     "~~~\nunclosed fence with robust — words",
 ]
