@@ -50,10 +50,11 @@ def verdicts(counts: DataFrame, words: DataFrame, bands: DataFrame, always: Iter
 def calibration_rates(corpora: DataFrame, words: DataFrame, found: DataFrame, rules: list[str]) -> DataFrame:
     """(label, rule, findings, per_1k) for every corpus and rule, zero where there is none.
 
-    ``corpora`` (label, ...), ``words`` (label, words), ``found`` (label, rule).
+    ``corpora`` (label, ...), ``words`` (label, words), ``found`` (label, rule),
+    a row a finding, or with their number as ``findings``.
     """
     rule = F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule")
-    counts = found.groupBy("label", "rule").agg(F.count("*").alias("n")).toDF("c_label", "c_rule", "n")
+    counts = found.groupBy("label", "rule").agg((F.sum("findings") if "findings" in found.columns else F.count("*")).alias("n")).toDF("c_label", "c_rule", "n")
     rows = corpora.select("label", rule).join(words.select(F.col("label").alias("w_label"), "words"), F.col("label") == F.col("w_label"))
     rows = rows.join(counts, (F.col("label") == F.col("c_label")) & (F.col("rule") == F.col("c_rule")), "left")
     n = F.coalesce("n", F.lit(0))

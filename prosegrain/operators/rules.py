@@ -2,7 +2,8 @@
 
 A rule is a builder of a Column: an array of (rule, line, label, match, fix).
 The rules asked for are put side by side over one scan of the documents and
-exploded once; there is no shuffle before the final sort.
+exploded once; there is no shuffle before the final sort. Each rule has a second
+Column for the number of its findings alone.
 """
 
 from __future__ import annotations
@@ -70,47 +71,69 @@ def scan(body: Column, regex: str, rule: str, label: str, width: int = 0, fix: s
     return findings(find_all(body, regex), rule, label, lambda x: snippet(body, x["start"], x["stop"], width), fix)
 
 
-def dashes(body: Column, ctx: Context) -> Column:
+def dash_places(body: Column, regex: str = "[—–]") -> Column:
     """Em and en dashes; an en dash between numbers is a range and passes."""
 
     def is_range(x: Column) -> Column:
         left = F.substr(body, F.greatest(x["start"] - 12, F.lit(0)) + 1, F.least(x["start"], F.lit(12)))
         return (x["hit"] == "–") & left.rlike(r"(?U)\d[\d,]*\s*\z") & F.substr(body, x["stop"] + 1, F.lit(12)).rlike(r"(?U)^\s*\d")
 
-    hits = F.filter(find_all(body, "[—–]"), lambda x: ~is_range(x))
-    return findings(hits, "W-M1", lambda x: F.when(x["hit"] == "—", "em dash").otherwise("en dash"), lambda x: snippet(body, x["start"], x["stop"], 16))
+    return F.filter(find_all(body, regex), lambda x: ~is_range(x))
+
+
+def dashes(body: Column, ctx: Context) -> Column:
+    return findings(dash_places(body), "W-M1", lambda x: F.when(x["hit"] == "—", "em dash").otherwise("en dash"), lambda x: snippet(body, x["start"], x["stop"], 16))
+
+
+def opens_idly(head: Column) -> Column:
+    return head.rlike(r"(?iU)^\s*(?:" + "|".join(OPENER) + ")")
 
 
 def opener(body: Column, ctx: Context) -> Column:
     """The first line that is not blank opens with a phrase that says nothing."""
     blank = F.regexp_extract(body, r"(?U)^(\s*)", 1)
     head = F.regexp_extract(body, r"(?U)^\s*(\S[^\n]*)", 1)
-    hit = head.rlike(r"(?iU)^\s*(?:" + "|".join(OPENER) + ")")
+    hit = opens_idly(head)
     line = F.array(F.struct((newlines(blank) + 1).cast("int").alias("line"), head.alias("head")))
     return F.when(hit, findings(line, "W-M7", "throat-clearing opener", lambda x: strip(F.substring(x["head"], 1, 60)))).otherwise(F.array().cast(FINDING))
 
 
+def long_ones(body: Column) -> Column:
+    return F.filter(paragraphs(body), lambda p: F.size(prose_sentences(p["text"])) > 6)
+
+
 def long_paragraph(body: Column, ctx: Context) -> Column:
-    found = F.filter(paragraphs(body), lambda p: F.size(prose_sentences(p["text"])) > 6)
+    found = long_ones(body)
     label = lambda x: F.format_string("%d sentences in one paragraph", F.size(prose_sentences(x["text"])))
     return findings(found, "T-M3", label, lambda x: strip(F.substring(x["text"], 1, 60)))
 
 
+def late_ones(body: Column) -> Column:
+    return F.filter(prose_sentences(body), lambda s: s.rlike(LATE_CONDITION))
+
+
 def late_condition(body: Column, ctx: Context) -> Column:
-    found = F.filter(prose_sentences(body), lambda s: s.rlike(LATE_CONDITION))
+    found = late_ones(body)
     lines = F.transform(found, lambda s: F.struct((newlines(F.substr(body, F.lit(1), F.greatest(F.instr(body, s) - 1, F.lit(0)))) + 1).cast("int").alias("line"), s.alias("s")))
     return findings(lines, "T-M11", "condition after the first clause", lambda x: F.regexp_replace(F.regexp_extract(x["s"], LATE_CONDITION, 0), r"(?U)\s+", " "))
 
 
+def joined_items(body: Column) -> Column:
+    return F.filter(list_items(body), lambda x: x["ordered"] & x["body"].rlike(JOINER))
+
+
 def two_actions(body: Column, ctx: Context) -> Column:
-    found = F.filter(list_items(body), lambda x: x["ordered"] & x["body"].rlike(JOINER))
+    found = joined_items(body)
     return findings(found, "T-M12", "two actions in one item", lambda x: strip(F.substring(x["body"], 1, 70)))
 
 
+def long_names(ctx: Context) -> str:
+    return r"(?iU)\b(?:" + "|".join(re.escape(n) for n in ctx.short_names) + r")\b"
+
+
 def short_names(body: Column, ctx: Context) -> Column:
     names = F.create_map(*[F.lit(x) for pair in ctx.short_names.items() for x in pair])
-    regex = r"(?iU)\b(?:" + "|".join(re.escape(n) for n in ctx.short_names) + r")\b"
-    return findings(find_all(body, regex), "P-M1", "short name", lambda x: x["hit"], lambda x: F.element_at(names, F.lower(x["hit"])))
+    return findings(find_all(body, long_names(ctx)), "P-M1", "short name", lambda x: x["hit"], lambda x: F.element_at(names, F.lower(x["hit"])))
 
 
 def input_contract(body: Column, ctx: Context) -> Column:
@@ -119,12 +142,9 @@ def input_contract(body: Column, ctx: Context) -> Column:
     return findings(missing, "P-M5", "missing field", lambda x: x["field"])
 
 
-def one_scan(rule: str, label: str, regex: str) -> Callable[[Column, Context], Column]:
-    return lambda body, ctx: scan(body, regex, rule, label)
-
-
-def many_scans(rule: str, patterns: Mapping[str, str]) -> Callable[[Column, Context], Column]:
-    return lambda body, ctx: F.concat(*[scan(body, p, rule, label) for label, p in patterns.items()])
+def matches(*regexes: str) -> Callable[[Column, Context], Column]:
+    """How many matches the expressions have together, without their places."""
+    return lambda body, ctx: sum((F.regexp_count(body, F.lit(r)) for r in regexes), F.lit(0))
 
 
 ALL, TECHNICAL, PERSONAL = ("westinghouse", "technical", "personal"), ("technical",), ("personal",)
@@ -133,29 +153,40 @@ ALL, TECHNICAL, PERSONAL = ("westinghouse", "technical", "personal"), ("technica
 class Rule(NamedTuple):
     sets: tuple[str, ...]
     build: Callable[[Column, Context], Column]
-    #: 1: text alone; 2: needs a dependency parse (see :mod:`parse_rules`).
-    tier: int = 1
+    #: The number of findings alone, where no line, label or snippet is wanted.
+    count: Callable[[Column, Context], Column]
     needs: str = ""
 
 
+def scanned(sets: tuple[str, ...], rule: str, patterns: Mapping[str, str]) -> Rule:
+    """A rule that is matches of expressions, by label."""
+    places = lambda body, ctx: F.concat(*[scan(body, p, rule, label) for label, p in patterns.items()])
+    return Rule(sets, places, matches(*patterns.values()))
+
+
+def unapproved_words(body: Column, ctx: Context) -> Column:
+    return F.concat(*[scan(body, any_of([w]), "T-M8", "unapproved word", fix=f) for w, f in APPROVED_WORDS.items()])
+
+
 RULES: dict[str, Rule] = {
-    "W-M1": Rule(ALL, dashes),
-    "W-M2": Rule(ALL, lambda body, ctx: F.concat(*[scan(body, "(?iU)" + p, "W-M2", label) for label, p in INVERSION.items()])),
-    "W-M3": Rule(ALL, one_scan("W-M3", "assistant phrase", any_of(ASSISTANT))),
-    "W-M4": Rule(ALL, one_scan("W-M4", "register word", any_of(REGISTER))),
-    "W-M6": Rule(ALL, one_scan("W-M6", "hedge phrase", any_of(HEDGE))),
-    "W-M7": Rule(ALL, opener),
-    "W-M8": Rule(ALL, many_scans("W-M8", {k: "(?iU)" + v for k, v in PROCESS.items()})),
-    "W-M9": Rule(ALL, many_scans("W-M9", CLUSTERS)),
-    "W-M10": Rule(ALL, lambda body, ctx: F.array().cast(FINDING), needs="lexicon"),
-    "T-M3": Rule(TECHNICAL, long_paragraph),
-    "T-M8": Rule(TECHNICAL, lambda body, ctx: F.concat(*[scan(body, any_of([w]), "T-M8", "unapproved word", fix=f) for w, f in APPROVED_WORDS.items()])),
-    "T-M9": Rule(TECHNICAL, one_scan("T-M9", "idiom", any_of(IDIOM))),
-    "T-M11": Rule(TECHNICAL, late_condition),
-    "T-M12": Rule(TECHNICAL, two_actions),
-    "P-M1": Rule(PERSONAL, short_names),
-    "P-M3": Rule(PERSONAL, lambda body, ctx: scan(ctx.raw, INVISIBLE, "P-M3", "agent watermark")),
-    "P-M5": Rule(PERSONAL, input_contract, needs="fields"),
+    # Texts without an en dash, which may be a range, need no places.
+    "W-M1": Rule(ALL, dashes, lambda body, ctx: F.regexp_count(body, F.lit("—")) + F.when(body.contains("–"), F.size(dash_places(body, "–"))).otherwise(0)),
+    "W-M2": scanned(ALL, "W-M2", {k: "(?iU)" + p for k, p in INVERSION.items()}),
+    "W-M3": scanned(ALL, "W-M3", {"assistant phrase": any_of(ASSISTANT)}),
+    "W-M4": scanned(ALL, "W-M4", {"register word": any_of(REGISTER)}),
+    "W-M6": scanned(ALL, "W-M6", {"hedge phrase": any_of(HEDGE)}),
+    "W-M7": Rule(ALL, opener, lambda body, ctx: opens_idly(F.regexp_extract(body, r"(?U)^\s*(\S[^\n]*)", 1)).cast("int")),
+    "W-M8": scanned(ALL, "W-M8", {k: "(?iU)" + v for k, v in PROCESS.items()}),
+    "W-M9": scanned(ALL, "W-M9", CLUSTERS),
+    "W-M10": Rule(ALL, lambda body, ctx: F.array().cast(FINDING), lambda body, ctx: F.lit(0), needs="lexicon"),
+    "T-M3": Rule(TECHNICAL, long_paragraph, lambda body, ctx: F.size(long_ones(body))),
+    "T-M8": Rule(TECHNICAL, unapproved_words, matches(*[any_of([w]) for w in APPROVED_WORDS])),
+    "T-M9": scanned(TECHNICAL, "T-M9", {"idiom": any_of(IDIOM)}),
+    "T-M11": Rule(TECHNICAL, late_condition, lambda body, ctx: F.size(late_ones(body))),
+    "T-M12": Rule(TECHNICAL, two_actions, lambda body, ctx: F.size(joined_items(body))),
+    "P-M1": Rule(PERSONAL, short_names, lambda body, ctx: F.regexp_count(body, F.lit(long_names(ctx)))),
+    "P-M3": Rule(PERSONAL, lambda body, ctx: scan(ctx.raw, INVISIBLE, "P-M3", "agent watermark"), lambda body, ctx: F.regexp_count(ctx.raw, F.lit(INVISIBLE))),
+    "P-M5": Rule(PERSONAL, input_contract, lambda body, ctx: F.size(input_contract(body, ctx)), needs="fields"),
 }
 PARSED = {"T-M1": TECHNICAL, "T-M2": TECHNICAL, "T-M4": TECHNICAL, "T-M5": TECHNICAL, "T-M7": TECHNICAL, "T-M10": TECHNICAL, "W-M11": TECHNICAL}
 
@@ -179,17 +210,34 @@ def select(wanted: str | list[str] | None = None, have_lexicon: bool = False, ha
     return sorted(run, key=rule_order), sorted(set(ids) - set(run), key=rule_order)
 
 
+def _bodies(docs: DataFrame, *keep: str) -> DataFrame:
+    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("raw")).withColumn("body", strip_code(F.col("raw")))
+
+
 def check(docs: DataFrame, rules: list[str], fields: Mapping[str, str] | None = None, short: Mapping[str, str] = SHORT_NAMES) -> DataFrame:
     """(path, line, rule, label, match, fix) of the text rules over ``docs`` (path, text); not sorted."""
     ids = [r for r in rules if r in RULES]
     if not ids:
         return docs.select("path", F.inline(F.array().cast(FINDING))).select("path", "line", "rule", "label", "match", "fix")
-    body = docs.select("path", F.coalesce("text", F.lit("")).alias("raw")).withColumn("body", strip_code(F.col("raw")))
-    ctx = Context(F.col("raw"), fields or {}, short)
+    body, ctx = _bodies(docs, "path"), Context(F.col("raw"), fields or {}, short)
     every = F.concat(*[RULES[r].build(F.col("body"), ctx) for r in ids])
     return body.select("path", F.inline(every)).select("path", "line", "rule", "label", "match", "fix")
 
 
+def counts(docs: DataFrame, rules: list[str], by: str | None = None, fields: Mapping[str, str] | None = None, short: Mapping[str, str] = SHORT_NAMES) -> DataFrame:
+    """(by, rule, findings) of the text rules over ``docs`` (by, text), zero where there is none; without ``by``, of all documents.
+
+    Findings are counted in the row, with no places, snippets or rows of their own; only sums are shuffled.
+    """
+    ids = [r for r in rules if r in RULES]
+    keys = [by] if by else []
+    ctx = Context(F.col("raw"), fields or {}, short)
+    each = _bodies(docs, *keys).select(*keys, *[RULES[r].count(F.col("body"), ctx).cast("long").alias(f"n{k}") for k, r in enumerate(ids)])
+    sums = each.groupBy(*keys).agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(len(ids))])
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"n{k}").alias("findings")) for k, r in enumerate(ids)])
+    return sums.select(*keys, F.inline(rows.cast("array<struct<rule:string,findings:bigint>>")))
+
+
 def sort_findings(found: DataFrame) -> DataFrame:
     return found.orderBy("path", "line", "rule", "match")
 

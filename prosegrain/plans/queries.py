@@ -400,6 +400,10 @@ def checked(spark, sf_dir) -> DataFrame:
     return R.check(bodies(spark, sf_dir), list(O.CHECKED), O.FIELDS)
 
 
+def counted(spark, sf_dir, by: str | None = None) -> DataFrame:
+    return R.counts(bodies(spark, sf_dir), list(O.CHECKED), by, O.FIELDS)
+
+
 @query("all_findings_sorted", f"WITH {O.ALL_FINDINGS} SELECT * FROM found")
 def all_findings_sorted(spark, sf_dir):
     return R.sort_findings(written(checked(spark, sf_dir), "findings"))  # the sort reads its input twice
@@ -412,7 +416,7 @@ def finding_lines(spark, sf_dir):
 
 @query("findings_per_rule", f"WITH {O.ALL_FINDINGS} SELECT rule, count(*) AS findings FROM found GROUP BY rule")
 def findings_per_rule(spark, sf_dir):
-    return B.finding_counts(checked(spark, sf_dir))
+    return counted(spark, sf_dir).where("findings > 0")
 
 
 _BANDS_SQL = "bands AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in r) + ")" for r in BAND_ROWS) + ") b(bands, rule, direction, hu_lo, hu_hi, hi_lo, hi_hi, ai_u, ai_i))"
@@ -426,7 +430,7 @@ SELECT rule, findings, rate_per_1k, {_POSITION.format(no="'-'", style_ok="'PASS'
 def band_verdicts(spark, sf_dir):
     b = bodies(spark, sf_dir)
     words = b.agg(F.sum(F.size(T.tokenize(F.col("text")))).alias("words"))
-    return B.verdicts(B.finding_counts(checked(spark, sf_dir)), words, spark.createDataFrame(BAND_ROWS, B.BANDS))
+    return B.verdicts(counted(spark, sf_dir).where("findings > 0"), words, spark.createDataFrame(BAND_ROWS, B.BANDS))
 
 
 # --- calibration: the corpora are the sources -------------------------------
@@ -446,8 +450,7 @@ def corpora(spark, sf_dir) -> DataFrame:
 def rates(spark, sf_dir) -> DataFrame:
     b = bodies(spark, sf_dir)
     words = b.groupBy(F.col("source").alias("label")).agg(F.sum(T.plain_words(F.col("text"))).alias("words"))
-    found = R.check(b.withColumn("path", F.struct("path", "source")), list(O.CHECKED), O.FIELDS).select(F.col("path.source").alias("label"), "rule")
-    return B.calibration_rates(corpora(spark, sf_dir), words, found, list(O.CHECKED))
+    return B.calibration_rates(corpora(spark, sf_dir), words, counted(spark, sf_dir, "source").withColumnRenamed("source", "label"), list(O.CHECKED))
 
 
 @query("calibration_rates", f"WITH {_RATES} SELECT * FROM rates")
