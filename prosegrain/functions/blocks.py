@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .spans import running
-from .text import let, strip
+from .text import LINE_END, let, strip
 
 # What makes a list item, a line of structure, a fence and a line that no other joins; ends of lines.
 ITEM = r"(?U)^[ \t]*([-*+]|(\d+)[.)])[ \t]+([^\n]*)$"
@@ -16,7 +16,6 @@ FENCE_LINE = r"(?U)^\s*(```|~~~)"
 BREAKING = r"(?U)^\s*\z|^#{1,6} |^\s*([-*+]|\d+\.) |^\s*\||^\s*>|^\s*[-=]{3,}\s*\z|^<"
 LIST_LINE = r"(?U)^\s*([-*+]|\d+\.) "
 HASHES = r"(?U)^#{1,6}\s*\z"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def lines(text: Column) -> Column:

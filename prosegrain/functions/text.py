@@ -23,6 +23,7 @@ SHORTCODE = r":[a-z0-9_+'\-]+:"
 WORD = r"[A-Za-z0-9][A-Za-z0-9'\-_/.]*"
 PLAIN_WORD = r"[A-Za-z0-9][A-Za-z0-9'\-]*"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n{2,}"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 PROSE_SENTENCE_END = r"(?U)(?<=[.!?])[\"')\]]*\s+(?=[A-Z0-9\"'(])"
 
 
@@ -40,6 +41,19 @@ def normalise_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def lenient(content: Column) -> Column:
+    """Bytes as text; bytes that are no UTF-8 are left out, and replacement characters that the text has itself stay.
+
+    All steps work on bytes: a text's own replacement characters are set aside, so that only those that stand for bad
+    bytes go.
+    """
+    aside, bad = "\ue000", "\ufffd"
+    swap = lambda c, *pairs: c if not pairs else swap(F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:])
+    raw = content.cast("string")
+    clean = swap(F.make_valid_utf8(swap(raw, (aside, aside + "a"), (bad, aside + "b"))), (bad, ""))
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(swap(clean, (aside + "b", bad), (aside + "a", aside)))
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case tokens of two characters or more, emoji shortcodes left out; null gives no token."""
     cleaned = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SHORTCODE, " ")
@@ -107,5 +121,5 @@ def split_text(text: Column, mode: str) -> Column:
     """Pieces of a document: the whole (``none``), by blank lines (``blank``), or by lines (``line``); blank pieces go."""
     if mode not in ("none", "blank", "line"):
         raise ValueError(f"unknown split: {mode}")
-    pieces = F.array(text) if mode == "none" else F.split(text, r"(?U)\n\s*\n" if mode == "blank" else r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", -1)
+    pieces = F.array(text) if mode == "none" else F.split(text, r"(?U)\n\s*\n" if mode == "blank" else LINE_END, -1)
     return F.filter(pieces, lambda p: p.rlike(r"(?U)\S"))

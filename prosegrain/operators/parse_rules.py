@@ -15,12 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.blocks import list_items
-from ..functions.spans import strip_code, strip_markup
+from ..functions.spans import find_all, strip_code, strip_markup
 from ..functions.text import one_line, sentence_words, strip
 
 TOKENS = "path string, text_line int, sent int, sent_text string, i int, line int, text string, pos string, tag string, dep string, head int, chunk int, is_space boolean, is_punct boolean"
 KEY = ["path", "sent"]
-# Forms of "have", and modal verbs.
+# What parts two blocks, a list item's marker, forms of "have", and modal verbs.
+BLANK_LINES = r"\n(?:[ \t]*\n)+\s*"
+ITEM_MARK = r"(?md)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(?=[^\n])"
 HAVE = ["have", "has", "had", "having", "'ve", "'s", "'d"]
 MODALS = ["should", "must", "can", "could", "need", "have", "may", "might", "will"]
 
@@ -33,12 +35,40 @@ def available() -> bool:
     return True
 
 
-def parse(docs: DataFrame, model: str = "en_core_web_sm") -> DataFrame:
-    """Token table of ``docs`` (path, text), code and markup blanked. A sentence starts at a blank line and at a list item."""
-    bodies = docs.select("path", strip_markup(strip_code(F.coalesce("text", F.lit("")))).alias("body"), F.transform(list_items(strip_code(F.coalesce("text", F.lit("")))), lambda x: x["line"]).alias("items"))
+def item_texts(docs: DataFrame) -> DataFrame:
+    """(path, line, body): the list items of documents (path, text), code blanked, each a text of its own."""
+    return docs.select("path", F.inline(list_items(strip_code(F.coalesce("text", F.lit("")))))).select("path", "line", "body")
+
+
+def breaks(docs: DataFrame) -> DataFrame:
+    """(path, at): places, in code points, where a sentence must start: after a blank line, and where a list item's marker ends."""
+    coded = strip_code(F.coalesce("text", F.lit("")))
+    after = lambda text, regex: F.transform(find_all(text, regex), lambda x: x["stop"])
+    return docs.select("path", F.explode(F.array_distinct(F.concat(after(strip_markup(coded), BLANK_LINES), after(coded, ITEM_MARK)))).alias("at"))
+
+
+def sentence_starts(tokens: DataFrame, places: DataFrame) -> DataFrame:
+    """(path, i): tokens (path, i, idx, text, is_space) that open a sentence: a place (path, at) lies between the end of the
+    last token that is no white space and the token's beginning. A document's first token opens none.
+
+    Places and tokens go through one window, in order of place, so neither side is searched for the other.
+    """
+    words = tokens.where(~F.col("is_space")).select("path", F.col("idx").alias("at"), "i", (F.col("idx") + F.length("text")).alias("end"))
+    both = words.unionByName(places.select("path", "at", F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("end")))
+    # At one place the break comes before the token.
+    order = W.partitionBy("path").orderBy("at", F.col("i").asc_nulls_first())
+    seen = both.withColumns({"broken": F.max(F.when(F.col("i").isNull(), F.col("at"))).over(order), "last": F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))})
+    return seen.where("i IS NOT NULL AND broken >= last").select("path", "i")
+
+
+def parse_rows(rows: DataFrame, model: str = "en_core_web_sm") -> DataFrame:
+    """Token table of texts (path, line, body, starts): ``line`` is added to a sentence's line, ``starts`` are places where sentences must start.
+
+    ``path`` is a string.
+    """
 
     def run(frames: Iterator) -> Iterator:
-        import re
+        import bisect
 
         import pandas as pd
         import spacy
@@ -46,32 +76,50 @@ def parse(docs: DataFrame, model: str = "en_core_web_sm") -> DataFrame:
 
         @Language.component("sentence_starts")
         def starts(doc):
-            end, text = 0, doc.text
+            end = 0
             for token in doc:
-                if token.is_space:
-                    continue
-                gap = text[end : token.idx]
-                if end and (re.search(r"\n\s*\n", gap) or ("\n" in gap and text.count("\n", 0, token.idx) + 1 in doc.user_data["items"])):
-                    token.is_sent_start = True
-                end = token.idx + len(token.text)
+                if not token.is_space:
+                    places = doc.user_data["starts"]
+                    if end and bisect.bisect_left(places, end) < bisect.bisect_right(places, token.idx):
+                        token.is_sent_start = True
+                    end = token.idx + len(token.text)
             return doc
 
         nlp = spacy.load(model, disable=["ner"])
         nlp.add_pipe("sentence_starts", before="parser")
         for frame in frames:
-            rows = []
-            for path, body, items in frame.itertuples(index=False):
+            found = []
+            for path, first, body, places in frame.itertuples(index=False):
                 doc = nlp.make_doc(body)
-                doc.user_data["items"] = set(items)
+                doc.user_data["starts"] = sorted(places)
                 for _, pipe in nlp.pipeline:
                     doc = pipe(doc)
                 chunk = {t.i: k for k, c in enumerate(doc.noun_chunks) for t in c}
                 for k, sent in enumerate(doc.sents):
-                    line = doc.text.count("\n", 0, sent.start_char) + 1
-                    rows += [(path, line, k, sent.text, t.i, doc.text.count("\n", 0, t.idx) + 1, t.text, t.pos_, t.tag_, t.dep_, t.head.i, chunk.get(t.i), t.is_space, t.is_punct) for t in sent]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TOKENS.split(", ")])
+                    line = doc.text.count("\n", 0, sent.start_char) + first
+                    found += [(path, line, k, sent.text, t.i, doc.text.count("\n", 0, t.idx) + first, t.text, t.pos_, t.tag_, t.dep_, t.head.i, chunk.get(t.i), t.is_space, t.is_punct) for t in sent]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in TOKENS.split(", ")])
 
-    return bodies.mapInPandas(run, TOKENS)
+    return rows.select("path", "line", "body", "starts").mapInPandas(run, TOKENS)
+
+
+def parse(docs: DataFrame, model: str = "en_core_web_sm") -> DataFrame:
+    """Token table of ``docs`` (path, text), code and markup blanked. A sentence starts at a blank line and at a list item."""
+    none = F.array().cast("array<int>")
+    at = breaks(docs).groupBy(F.col("path").alias("of")).agg(F.collect_list("at").alias("starts"))
+    bodies = docs.select("path", F.lit(1).alias("line"), strip_markup(strip_code(F.coalesce("text", F.lit("")))).alias("body"))
+    return parse_rows(bodies.join(at, F.col("path") == F.col("of"), "left").withColumn("starts", F.coalesce("starts", none)), model)
+
+
+def parse_items(docs: DataFrame, model: str = "en_core_web_sm") -> DataFrame:
+    """Token table of the list items of ``docs``, each parsed alone, for :func:`non_imperative`: ``text_line`` is the item's line
+    and ``sent_text`` its body."""
+    items = item_texts(docs)
+    alone = items.select(F.to_json(F.struct("path", "line")).alias("path"), "line", "body", F.array().cast("array<int>").alias("starts"))
+    key = F.from_json("path", "path string, line int")
+    found = parse_rows(alone, model).withColumn("key", key).select(F.col("key.path").alias("path"), F.col("key.line").alias("text_line"), *[c.split()[0] for c in TOKENS.split(", ")[2:]])
+    bodies = items.select(F.col("path").alias("p"), F.col("line").alias("l"), "body")
+    return found.join(bodies, (F.col("path") == F.col("p")) & (F.col("text_line") == F.col("l"))).withColumn("sent_text", F.col("body")).drop("p", "l", "body")
 
 
 def sentences(tokens: DataFrame) -> DataFrame:

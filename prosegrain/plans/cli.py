@@ -18,7 +18,7 @@ from ..operators import score as S
 from ..operators.store import written
 from ..operators.terms import tokenized
 from ..sources import readers, writers
-from . import band_tables, settings
+from . import band_tables, calibration, settings
 
 
 def session() -> SparkSession:
@@ -132,6 +132,16 @@ def bands(a: argparse.Namespace) -> int:
     return 0
 
 
+def calibrate(a: argparse.Namespace) -> int:
+    try:
+        run, new = calibration.calibrate(session(), a.manifest, a.output, a.reuse)
+    except (ValueError, OSError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
+    print(f"{len(run['corpora'])} corpora, {len(new)} counted anew; the bands to review are in {a.output}/bands")
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="prosegrain")
     sub = top.add_subparsers(required=True)
@@ -151,6 +161,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("first"), p.add_argument("second"), p.add_argument("-l", "--lexicon", required=True), p.add_argument("--boot", type=int, default=2000)
     p = command("check", check)
     p.add_argument("paths", nargs="*"), p.add_argument("--rules"), p.add_argument("--bands", "--surface"), p.add_argument("--voice"), p.add_argument("--field", action="append", default=[]), p.add_argument("--json", action="store_true"), p.add_argument("-o", "--output")
+    p = command("calibrate", calibrate)
+    p.add_argument("--manifest", required=True), p.add_argument("--output", required=True), p.add_argument("--reuse")
     p = command("bands", bands)
     p.add_argument("what", choices=["list", "show"]), p.add_argument("name", nargs="?")
     return top

@@ -7,23 +7,97 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.spans import FENCE, INLINE
-from ..functions.text import normalise_lines, split_text
+from ..functions.text import LINE_END, lenient, normalise_lines, plain_words, split_text
+from ..operators.resample import numbered
 from ..operators.store import written
 
 TEXT_FILES = ("*.txt",)
 CHECK_FILES = ("*.md", "*.txt")
 
 
+EXTENSION_FILES = ("*.txt", "*.md", "*.json", "*.jsonl")
+
+
+def located(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(the full name that files below ``path`` begin with, whether it is a folder)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(at):
+        raise ValueError(f"no such file or directory: {path}")
+    status = fs.getFileStatus(at)
+    return status.getPath().toString(), status.isDirectory()
+
+
+def any_case(glob: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in glob)
+
+
+def files(spark: SparkSession, path: str, globs: tuple[str, ...]) -> DataFrame:
+    """(root, name, content), a row a file: those below a folder that fit a glob, by their place in it, or a single file of any name."""
+    root, folder = located(spark, path)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if folder:
+        rows = rows.option("pathGlobFilter", globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}")
+    at = F.lit(root.rstrip("/"))
+    name = F.substr("path", F.length(at) + 2) if folder else F.element_at(F.split("path", "/"), -1)
+    return rows.load(path).select(F.lit(root).alias("root"), name.alias("name"), "content")
+
+
+def some_files(spark: SparkSession, path: str, globs: tuple[str, ...]) -> DataFrame:
+    """:func:`files`, of which there must be one."""
+    rows = files(spark, path, globs)
+    if not rows.select("name").limit(1).count():
+        raise ValueError(f"no {' or '.join(g.lstrip('*') for g in globs)} file under {path}")
+    return rows
+
+
+def text_of(content: Column) -> Column:
+    return normalise_lines(lenient(content))
+
+
 def text_files(spark: SparkSession, path: str | list[str], globs: tuple[str, ...] = TEXT_FILES, keep_blank: bool = False) -> DataFrame:
-    """(path, text), a row a file below ``path``; line ends become ``\\n``; files of white space only are left out."""
-    glob = globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), normalise_lines(F.col("value")).alias("text"))
-    return rows if keep_blank else rows.where(F.col("text").rlike(r"(?U)\S"))
+    """(path, text), a row a file; line ends become ``\\n``, bytes that are no UTF-8 and files of white space only are left out.
+
+    ``path`` is a file's name below its folder; of several folders, the folder's own name stands before it.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    out = None
+    for p in paths:
+        rows = some_files(spark, p, globs)
+        name = F.concat_ws("/", F.element_at(F.split(F.lit(located(spark, p)[0]), "/"), -1), "name") if len(paths) > 1 and located(spark, p)[1] else F.col("name")
+        rows = rows.select(name.alias("path"), text_of(F.col("content")).alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out if keep_blank else out.where(F.col("text").rlike(r"(?U)\S"))
 
 
 def check_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return text_files(spark, path, CHECK_FILES, keep_blank=True)
+    """(path, text) of Markdown and text files, blank ones too; ``path`` is the name asked for and, in a folder, the file's place in it."""
+    out = None
+    for p in [path] if isinstance(path, str) else path:
+        name = F.concat_ws("/", F.lit(p.rstrip("/")), "name") if located(spark, p)[1] else F.lit(p)
+        rows = some_files(spark, p, CHECK_FILES).select(name.alias("path"), text_of(F.col("content")).alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def extension_files(spark: SparkSession, paths: list[str], split: str = "none", field: str = "text", keep_code: bool = False) -> DataFrame:
+    """(path, text), a row a piece: of text and Markdown files by ``split``, of JSON and JSON lines every string under ``field``.
+
+    Suffixes are read in either case. ``path`` is the file with the piece's number from 0. Markdown loses its code
+    unless ``keep_code``. Lines of JSON that do not parse give nothing.
+    """
+    out = None
+    for p in paths:
+        base = p.rstrip("/")
+        whole = F.concat_ws("/", F.lit(base), "name") if located(spark, p)[1] else F.lit(base)
+        rows = some_files(spark, p, tuple(map(any_case, EXTENSION_FILES))).select(whole.alias("path"), text_of(F.col("content")).alias("text"), F.lower(F.element_at(F.split("name", r"\."), -1)).alias("kind"))
+        prose = rows.where("kind NOT IN ('json', 'jsonl')").select("path", F.when((F.col("kind") == "md") & ~F.lit(keep_code), without_code(F.col("text"))).otherwise(F.col("text")).alias("text"))
+        lines = F.when(F.col("kind") == "jsonl", F.split("text", LINE_END, -1)).otherwise(F.array("text"))
+        records = rows.where("kind IN ('json', 'jsonl')").select("path", F.posexplode(lines).alias("line", "value"))
+        texts = numbered(json_texts(records, field, "place"), ["path"], ["line", "place"])
+        found = pieces(prose, split).union(texts.select(F.concat_ws("#", "path", F.col("idx").cast("string")).alias("path"), "text"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 def one_text(spark: SparkSession, text: str, name: str = "<stdin>") -> DataFrame:
@@ -42,15 +116,20 @@ def pieces(docs: DataFrame, split: str = "none") -> DataFrame:
     return rows.select(F.concat_ws("#", "path", F.col("k").cast("string")).alias("path"), "text")
 
 
-def json_texts(records: DataFrame, field: str = "text") -> DataFrame:
+def json_texts(records: DataFrame, field: str = "text", place: str | None = None) -> DataFrame:
     """Every string under ``field`` in the JSON documents of column ``value``, at any depth.
 
+    A column named ``place`` says where, if it is asked for: the places in lists and objects on the way; names of an
+    object are in alphabetical order.
+
     An object whose field is a string gives it and is not searched further;
     other objects and lists are. Documents that are not JSON give nothing. Each
     level is written before the next is searched, until a level is empty, so
     the search reads every value once and ends at the deepest document's depth.
     """
     others = [c for c in records.columns if c != "value"]
+    if place:
+        records, others = records.withColumn(place, F.array().cast("array<int>")), [*others, place]
     now = records.select(*others, F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
     found = None
     while True:
@@ -64,7 +143,8 @@ def json_texts(records: DataFrame, field: str = "text") -> DataFrame:
         if not rest.limit(1).count():
             return found
         each = records.sparkSession.tvf.variant_explode(F.col("v").outer())
-        now = rest.lateralJoin(each.select(F.col("value").alias("part"))).select(*others, F.col("part").alias("v"))
+        inner = rest.lateralJoin(each.select(F.col("pos").alias("at"), F.col("value").alias("part")))
+        now = inner.select(*[F.concat(place, F.array("at")).alias(place) if c == place else c for c in others], F.col("part").alias("v"))
 
 
 LEXICON_SCHEMA = T.StructType([
@@ -109,10 +189,15 @@ def read_stoplist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def calibration_files(spark: SparkSession, corpora: list[dict]) -> DataFrame:
-    """(label, path, text, sha256): the files of a manifest's corpora, read as bytes and decoded strictly."""
+    """(label, name, text, valid, words, sha256) of the ``.txt`` files of corpora (label, path), bytes read as they are.
+
+    ``valid``: whether the bytes are UTF-8; the text of others is null. The digest is of the name, a zero byte and the bytes.
+    """
     out = None
     for c in corpora:
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(c["path"])
-        rows = rows.select(F.lit(c["label"]).alias("label"), "path", F.decode("content", F.lit("UTF-8")).alias("text"), F.sha2("content", 256).alias("sha256"))
+        raw = F.col("content").cast("string")
+        valid = F.is_valid_utf8(raw)
+        digest = F.sha2(F.concat(F.encode("name", "UTF-8"), F.unhex(F.lit("00")), "content"), 256)
+        rows = files(spark, c["path"], TEXT_FILES).select(F.lit(c["label"]).alias("label"), "name", F.when(valid, raw).alias("text"), valid.alias("valid"), digest.alias("sha256"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.select("*", F.coalesce(plain_words(F.col("text")), F.lit(0)).cast("long").alias("words"))
