@@ -141,3 +141,11 @@ found AS (SELECT path, t, ls, regexp_extract_all(repeat('X', front::INTEGER) ||
 each AS (SELECT path, t, ls, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM found), placed AS (SELECT *, len(tok) AS n, (sum(len(tok)) OVER (PARTITION BY path ORDER BY i))::BIGINT AS stop FROM each),
 joined AS (SELECT path, t, i, CASE WHEN n = 1 OR left(tok, 1) IN ('X', 'F') THEN array_to_string(ls[stop - n + 1:stop], {NL}) ELSE regexp_replace(ls[stop - n + 1], '\\s+$', '') || ' ' || array_to_string(list_transform(ls[stop - n + 2:stop], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), ' ') END AS line FROM placed)
 SELECT path, string_agg(line, {NL} ORDER BY i) || CASE WHEN ends_with(any_value(t), {NL}) THEN {NL} ELSE '' END AS text FROM joined GROUP BY path"""
+
+#: Words of the text without code and markup, with the white space before each; places where list items' bodies begin.
+STARTS = f"""WITH {BODY}, {{markup}}, cut AS (SELECT path, regexp_extract_all(t, '\\s+|\\S+') AS ps FROM m3), parts AS (SELECT path, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM cut),
+spaced AS (SELECT path, k, p, sum(length(p)) OVER (PARTITION BY path ORDER BY k) - length(p) AS idx, lag(p) OVER (PARTITION BY path ORDER BY k) AS gap FROM parts),
+words AS (SELECT path, idx, gap, row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS i FROM spaced WHERE NOT regexp_matches(p, '^\\s')),
+bl AS (SELECT path, string_split(body, {NL}) AS ls FROM bodies), lined AS (SELECT path, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM bl), begun AS (SELECT path, l, sum(length(l) + 1) OVER (PARTITION BY path ORDER BY k) - length(l) - 1 AS spot FROM lined),
+items AS (SELECT path, spot + length(regexp_extract(l, '^[ \\t]*(?:[-*+]|\\d+[.)])[ \\t]+')) AS idx FROM begun WHERE regexp_matches(l, '^[ \\t]*(?:[-*+]|\\d+[.)])[ \\t]+\\S'))
+SELECT path, i::INTEGER AS i FROM words w WHERE i > 0 AND (regexp_matches(gap, '\\n[ \\t]*\\n') OR EXISTS (FROM items x WHERE x.path = w.path AND x.idx = w.idx))"""

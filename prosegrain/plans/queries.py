@@ -11,6 +11,7 @@ from ..functions import blocks, spans, text as T
 from ..operators import bands as B
 from ..operators.catalog import first_scope
 from ..operators import lexicon as L
+from ..operators import parse_rules as P
 from ..operators import resample as RS
 from ..operators import rules as R
 from ..operators import score as S
@@ -18,6 +19,7 @@ from ..operators import terms as TM
 from ..operators.store import written
 from ..sources.readers import json_texts
 from . import oracle as O
+from . import parse_samples as PS
 from .samples import decorated
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,6 +388,29 @@ _rule("P-M5", f"WITH {O.BODY} {O.P_M5}")
 _rule("T-M11", f"WITH {O.BODY} {O.T_M11}")
 
 
+def _parse_rule(rule: str) -> None:
+    """A rule over the fixed token table; that table is written once, as rules read it more than once."""
+
+    def f(spark, sf_dir):
+        tokens = written(PS.token_table(docs(spark, sf_dir)), "tokens")
+        return P.non_imperative(PS.item_table(tokens)) if rule == "T-M10" else P.PARSE_RULES[rule](tokens)
+
+    query(f"rule_{rule.lower().replace('-', '_')}", PS.RULES_SQL[rule])(f)
+
+
+for _r in PS.RULES_SQL:
+    _parse_rule(_r)
+
+
+@query("sentence_starts", O.STARTS.replace("{markup}", _MARKUP))
+def sentence_starts(spark, sf_dir):
+    """Where sentences must start in documents cut at white space."""
+    b = bodies(spark, sf_dir)
+    words = spans.find_all(spans.strip_markup(spans.strip_code(F.col("text"))), r"\S+")
+    rows = b.select("path", F.posexplode(words).alias("i", "x")).select("path", "i", F.col("x.start").alias("idx"), F.col("x.hit").alias("text"), F.lit(False).alias("is_space"))
+    return P.sentence_starts(rows, P.breaks(b))
+
+
 def _decorated_hits(spark, sf_dir):
     b = bodies(spark, sf_dir)
     return b, S.term_hits(b.select(F.col("path").alias("unit"), T.tokenize(F.col("text")).alias("tokens")), lexicon(spark, sf_dir))
