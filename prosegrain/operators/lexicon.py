@@ -42,11 +42,15 @@ def build_stats(corpus: DataFrame, settings: Settings = Settings()) -> DataFrame
 def build(corpus: DataFrame, settings: Settings = Settings(), stoplist: tuple[str, ...] = (), zipf: DataFrame | None = None, n_max: int = 3) -> Lexicon:
     """Lexicon of a corpus with sides ``approved`` and ``contrast`` (see :mod:`terms`).
 
-    Both sides are counted in one pass and the counts are written, as jargon
-    and approved vocabulary both come from them; the statistics are one row,
-    which is why it is broadcast. ``zipf`` (term, zipf) leaves out ordinary words.
+    Both sides are counted in one pass. Counts that reach a floor of either list
+    are written, as both come from them; most terms occur once and never are. The
+    statistics are one row, which is why it is broadcast. ``zipf`` (term, zipf)
+    leaves out ordinary words.
     """
-    counts = written(term_counts(corpus, n_max), "term-counts")
+    wanted = (F.col("tf_contrast") >= settings.min_contrast_count) | (F.col("tf_approved") >= settings.min_approved_count) & (F.col("df_approved") >= 2)
+    if stoplist:
+        wanted |= F.col("term").isin(*stoplist)
+    counts = written(term_counts(corpus, n_max).where(wanted), "term-counts")
     stats = F.broadcast(written(build_stats(corpus, settings), "term-stats"))  # one row
     rows = counts.crossJoin(stats)
     approved = rows.where((F.col("tf_approved") >= settings.min_approved_count) & (F.col("df_approved") >= 2)).select(

@@ -1,9 +1,9 @@
 """Scores of units (documents or sentences) against a lexicon, and comparison of two corpora.
 
 Units are ``unit`` and ``tokens``, a row a unit. Terms of a unit are counted in
-the row (distinct terms with their counts), exploded once, and joined with the lexicon
-by term; the lexicon side is left to the planner, which broadcasts it while it
-is small and otherwise shuffles both.
+the row (distinct terms with their counts), exploded once, and joined once with
+the lexicon's entries by term; that side is left to the planner, which broadcasts
+it while it is small and otherwise shuffles both.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import grams, has_digit, is_stopword, let
+from ..functions.text import grams, has_digit, is_stopword, let, strip
 from .lexicon import Lexicon
 from .resample import exact_sums, poisson_sums
 from .store import written
@@ -30,13 +30,20 @@ def counted(terms: Column) -> Column:
     return let(F.sort_array(terms), runs)
 
 
+def entries(lexicon: Lexicon) -> DataFrame:
+    """(term, is_jargon, is_approved, log_ratio, approved_count): a row a term of the lexicon, so that one join tells all of it."""
+    none = lambda kind: F.lit(None).cast(kind)
+    j = lexicon.jargon.select("term", F.lit(True).alias("is_jargon"), F.lit(False).alias("is_approved"), F.col("log_ratio").cast("double").alias("log_ratio"), F.col("approved_count").cast("long").alias("approved_count"))
+    a = lexicon.approved.select("term", F.lit(False), F.lit(True), none("double"), none("long"))
+    return j.union(a).groupBy("term").agg(*[F.max(c).alias(c) for c in ("is_jargon", "is_approved", "log_ratio", "approved_count")])
+
+
 def term_hits(units: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(unit, term, n, is_jargon, is_approved, class, log_ratio, approved_count): a row a distinct term of a unit, which is one row."""
     rows = units.select("unit", F.inline(counted(grams(F.col("tokens")))))
-    j = lexicon.jargon.select(F.col("term").alias("j_term"), "log_ratio", F.col("approved_count").alias("j_approved"))
-    a = lexicon.approved.select(F.col("term").alias("a_term"))
-    rows = rows.join(j, F.col("term") == F.col("j_term"), "left").join(a, F.col("term") == F.col("a_term"), "left")
-    rows = rows.withColumns({"is_jargon": F.col("j_term").isNotNull(), "is_approved": F.col("a_term").isNotNull(), "size": F.size(F.split("term", " "))})
+    known = entries(lexicon).withColumnRenamed("term", "known")
+    rows = rows.join(known, F.col("term") == F.col("known"), "left")
+    rows = rows.withColumns({"is_jargon": F.coalesce("is_jargon", F.lit(False)), "is_approved": F.coalesce("is_approved", F.lit(False)), "size": F.size(F.split("term", " "))})
     free = ~F.col("is_jargon") & ~F.col("is_approved") & ~has_digit(F.col("term"))
     if lexicon.stoplist:
         free &= ~F.arrays_overlap(F.split("term", " "), F.array(*[F.lit(s) for s in lexicon.stoplist]))
@@ -46,24 +53,88 @@ def term_hits(units: DataFrame, lexicon: Lexicon) -> DataFrame:
         rows = rows.join(z, F.col("term") == F.col("z_term"), "left")
         ordinary = F.coalesce(F.col("zipf") >= lexicon.zipf_gate, F.lit(False))
     kind = F.when(F.col("is_jargon"), "jargon").when(free & (F.col("size") == 1) & ~ordinary, "unapproved_unigram").when(free & (F.col("size") == 2), "unapproved_bigram")
-    return rows.select("unit", "term", "n", "size", "is_jargon", "is_approved", kind.alias("class"), "log_ratio", F.col("j_approved").alias("approved_count"))
+    return rows.select("unit", "term", "n", "size", "is_jargon", "is_approved", kind.alias("class"), "log_ratio", "approved_count")
 
 
 def density(hits: Column, content: Column) -> Column:
     return F.bround(1000 / F.greatest(content, F.lit(1)) * hits, 2)
 
 
-def score(units: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """One row a unit, also for units without a hit."""
-    hits = term_hits(units, lexicon)
+def _scored(units: DataFrame, hits: DataFrame) -> DataFrame:
     of = lambda c: F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"{c}_hits")
     covered = F.sum(F.when((F.col("size") == 1) & F.col("is_approved"), F.col("n")).otherwise(0)).alias("covered")
     sums = hits.groupBy(F.col("unit").alias("u")).agg(*[of(c) for c in CLASSES], covered)
     content = F.size(F.filter("tokens", lambda t: ~is_stopword(t)))
     base = units.select("unit", F.size("tokens").cast("long").alias("tokens"), content.cast("long").alias("content_words"))
-    out = base.join(sums, F.col("unit") == F.col("u"), "left").drop("u").fillna(0, [f"{c}_hits" for c in CLASSES] + ["covered"])
+    return base.join(sums, F.col("unit") == F.col("u"), "left").drop("u").fillna(0, [f"{c}_hits" for c in CLASSES] + ["covered"])
+
+
+def _rates(rows: DataFrame) -> DataFrame:
     per = {f"{c}_density_per_1k": density(F.col(f"{c}_hits"), F.col("content_words")) for c in CLASSES}
-    return out.withColumns(per).withColumn("approved_coverage", F.bround(F.col("covered") / F.greatest("content_words", F.lit(1)), 4)).drop("covered")
+    return rows.withColumns(per).withColumn("approved_coverage", F.bround(F.col("covered") / F.greatest("content_words", F.lit(1)), 4)).drop("covered")
+
+
+def score(units: DataFrame, lexicon: Lexicon, hits: DataFrame | None = None) -> DataFrame:
+    """One row a unit, also for units without a hit. ``hits``: :func:`term_hits`, where they are at hand."""
+    return _rates(_scored(units, term_hits(units, lexicon) if hits is None else hits))
+
+
+def ranked_terms(hits: DataFrame, k: int = 15) -> DataFrame:
+    """(class, rank, term, docs, hits): the ``k`` terms of every class in one pass.
+
+    Jargon goes by uses, others by documents, then uses; then by name. Each task keeps its ``k`` best of a class before
+    anything is shuffled.
+    """
+    rows = hits.where("class IS NOT NULL").groupBy("class", "term").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("hits"))
+    first = F.when(F.col("class") == "jargon", F.col("hits")).otherwise(F.col("docs"))
+    order = W.partitionBy("class").orderBy(first.desc(), F.desc("hits"), F.asc("term"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def corpus_report(units: DataFrame, lexicon: Lexicon, k: int = 15) -> DataFrame:
+    """One row: totals, pooled densities and coverage, units with a hit of each class, and the ``k`` first terms of each class as
+    arrays (term, docs, hits). The hits are made once and written; totals and terms both come from them."""
+    hits = written(term_hits(units, lexicon), "hits")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    sums = _scored(units, hits).agg(F.count("*").alias("docs"), total("tokens"), total("content_words"), total("covered"), *[total(f"{c}_hits") for c in CLASSES], *[F.count_if(F.col(f"{c}_hits") > 0).alias(f"docs_with_{c}") for c in CLASSES])
+    entry = F.struct("rank", "term", "docs", "hits")
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col("class") == c, entry))), lambda x: F.struct(x["term"].alias("term"), x["docs"].alias("docs"), x["hits"].alias("hits"))).alias(f"top_{c}")
+    lists = ranked_terms(hits, k).agg(*[listed(c) for c in CLASSES])  # k rows a class
+    return _rates(sums.crossJoin(lists))
+
+
+def file_rows(units: DataFrame, lexicon: Lexicon, k: int = 3) -> DataFrame:
+    """Scores with the ``k`` most used flagged and unapproved single terms of each unit as arrays, unsorted."""
+    hits = written(term_hits(units, lexicon), "hits")
+    tops = None
+    for name, kind in (("top_terms", "jargon"), ("top_unapproved", "unapproved_unigram")):
+        each = top_of_each(hits, kind, k).groupBy(F.col("unit").alias("u")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias(name))
+        tops = each if tops is None else tops.join(each, "u", "full")
+    out = score(units, lexicon, hits).join(tops, F.col("unit") == F.col("u"), "left").drop("u")
+    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("top_terms", "top_unapproved")})
+
+
+def sentence_report(sentences: DataFrame, lexicon: Lexicon, cut: int = 160) -> DataFrame:
+    """(unit, sentence, terms, unapproved): sentences (unit, sentence, tokens) with a hit, cut to ``cut`` characters, and their
+    flagged and unapproved terms, most used first."""
+    hits = term_hits(sentences, lexicon).where("class IS NOT NULL")
+    kind = F.when(F.col("class") == "jargon", 0).when(F.col("class") == "unapproved_unigram", 1).otherwise(2)
+    terms = lambda keep: F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct(kind.alias("c"), (-F.col("n")).alias("m"), "term")))), lambda x: x["term"])
+    found = hits.groupBy(F.col("unit").alias("u")).agg(terms(kind == 0).alias("terms"), terms(kind > 0).alias("unapproved"))
+    return sentences.join(found, F.col("unit") == F.col("u")).select("unit", F.substring(strip(F.col("sentence")), 1, cut).alias("sentence"), "terms", "unapproved")
+
+
+def advisory(scores: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
+    """One row, the line of the advisory summary: the scores of the unit that comes last, and its ``k`` most used flagged terms.
+
+    The last unit is an aggregate, so nothing is sorted; no unit gives no row.
+    """
+    last = scores.agg(F.max_by(F.struct(*[c for c in scores.columns if c != "unit"]), "unit").alias("s"), F.max("unit").alias("last")).where("last IS NOT NULL")
+    best = hits.where("is_jargon").join(F.broadcast(last.select("last")), F.col("unit") == F.col("last")).orderBy(F.desc("n"), "term").limit(k)
+    terms = best.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "term"))), lambda x: F.concat(x["term"], F.lit("×"), (-x["m"]).cast("string"))).alias("terms"))
+    per = lambda c: F.col(f"s.{c}_density_per_1k").cast("string")
+    line = F.concat(F.lit("jargon (W-M10, advisory): "), per("jargon"), F.lit("/1k · unapproved "), per("unapproved_unigram"), F.lit("/1k unigrams, "), per("unapproved_bigram"), F.lit("/1k bigrams over "), F.format_number("s.content_words", 0), F.lit(" content words"))
+    return last.crossJoin(terms).select(F.concat(line, F.when(F.size("terms") > 0, F.concat(F.lit(" · top: "), F.array_join("terms", ", "))).otherwise("")).alias("value"))
 
 
 def score_corpus(scores: DataFrame) -> DataFrame:

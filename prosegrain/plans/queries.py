@@ -136,9 +136,10 @@ def approved_vocabulary(spark, sf_dir):
     return lexicon(spark, sf_dir).approved.drop("source")
 
 
-@query("stoplist_overlay", f"""WITH {O.LEXICON}, names AS (SELECT * FROM (VALUES {", ".join(f"('{s}')" for s in STOPLIST)}) n(name))
+@query("stoplist_overlay", f"""WITH {O.LEXICON}, names AS (SELECT * FROM (VALUES {", ".join(f"('{s}')" for s in STOPLIST)}) n(name)),
+kept AS MATERIALIZED (SELECT term, a_tf, a_df FROM counts WHERE term IN (SELECT name FROM names))
 SELECT term, approved_count, approved_doc_share, NULL::VARCHAR AS source FROM approved
-UNION ALL SELECT name, coalesce(a_tf, 0), coalesce(round_even(a_df::DOUBLE / a_docs, 4)::DOUBLE, 0), 'stoplist' FROM names CROSS JOIN bars LEFT JOIN counts ON term = name WHERE NOT EXISTS (FROM approved WHERE approved.term = name)""")
+UNION ALL SELECT name, coalesce(a_tf, 0), coalesce(round_even(a_df::DOUBLE / a_docs, 4)::DOUBLE, 0), 'stoplist' FROM names CROSS JOIN bars LEFT JOIN kept ON term = name WHERE name NOT IN (SELECT term FROM approved)""")
 def stoplist_overlay(spark, sf_dir):
     return L.build(corpus(spark, sf_dir), stoplist=STOPLIST).approved
 
@@ -191,6 +192,26 @@ def top_unapproved_by_docs(spark, sf_dir):
     return S.top_terms(hits(spark, sf_dir), "unapproved_unigram")
 
 
+def _listed(kind: str, order: str) -> str:
+    return f"(SELECT list(struct_pack(term := term, docs := docs, hits := hits) ORDER BY {order}) FROM ({_TOP.format(kind, order)})) AS top_{kind}"
+
+
+@query("corpus_report", f"""WITH {O.SCORED}, s AS (SELECT count(*) AS docs, sum(tokens)::BIGINT AS tokens, sum(content_words)::BIGINT AS content_words, sum(covered)::BIGINT AS covered, {", ".join(f"sum({c}_hits)::BIGINT AS {c}_hits" for c in S.CLASSES)}, {", ".join(f"count(*) FILTER ({c}_hits > 0) AS docs_with_{c}" for c in S.CLASSES)} FROM scores),
+l AS (SELECT {_listed("jargon", "hits DESC, term")}, {_listed("unapproved_unigram", "docs DESC, hits DESC, term")}, {_listed("unapproved_bigram", "docs DESC, hits DESC, term")})
+SELECT s.* EXCLUDE (covered), {", ".join(f"round_even(1000::DOUBLE / greatest(content_words, 1) * {c}_hits, 2)::DOUBLE AS {c}_density_per_1k" for c in S.CLASSES)}, round_even(covered::DOUBLE / greatest(content_words, 1), 4)::DOUBLE AS approved_coverage, {", ".join(f"array_to_string(list_transform(top_{c}, lambda x: x.term || ' ' || x.docs || ' ' || x.hits), ', ') AS top_{c}" for c in S.CLASSES)} FROM s, l""")
+def corpus_report(spark, sf_dir):
+    texts = {f"top_{c}": F.array_join(F.transform(f"top_{c}", lambda x: F.concat_ws(" ", x["term"], x["docs"].cast("string"), x["hits"].cast("string"))), ", ") for c in S.CLASSES}
+    return S.corpus_report(units(spark, sf_dir), lexicon(spark, sf_dir)).withColumns(texts)
+
+
+@query("advisory_line", f"""WITH {O.SCORED}, last AS (SELECT * FROM scores WHERE unit = (SELECT max(unit) FROM scores)), best AS (SELECT string_agg(term || '×' || n, ', ' ORDER BY n DESC, term) AS terms FROM (SELECT * FROM classed WHERE class = 'jargon' AND unit = (SELECT unit FROM last) ORDER BY n DESC, term LIMIT 5))
+SELECT 'jargon (W-M10, advisory): ' || jargon_density_per_1k || '/1k · unapproved ' || unapproved_unigram_density_per_1k || '/1k unigrams, ' || unapproved_bigram_density_per_1k || '/1k bigrams over ' || format('{{:,}}', content_words) || ' content words' || coalesce(' · top: ' || terms, '') AS value FROM last, best""")
+def advisory_line(spark, sf_dir):
+    u, lex = units(spark, sf_dir), lexicon(spark, sf_dir)
+    found = written(S.term_hits(u, lex), "hits")
+    return S.advisory(S.score(u, lex, found), found)
+
+
 @query("per_doc_top3", f"WITH {O.LEXICON}, {O.HITS} SELECT unit, rank::INTEGER AS rank, term, hits FROM (SELECT unit, term, n AS hits, row_number() OVER (PARTITION BY unit ORDER BY n DESC, term) AS rank FROM classed WHERE class = 'unapproved_unigram') WHERE rank <= 3")
 def per_doc_top3(spark, sf_dir):
     return S.top_of_each(hits(spark, sf_dir), "unapproved_unigram")
@@ -204,9 +225,9 @@ def sentences_a(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.explode(T.scored_sentences(F.col("text"))).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
 
 
-def sentence_units(spark, sf_dir) -> DataFrame:
+def sentence_units(spark, sf_dir, *keep: str) -> DataFrame:
     rows = docs(spark, sf_dir).select("doc_id", F.posexplode(T.scored_sentences(F.col("text"))).alias("k", "s"))
-    return rows.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("unit"), T.tokenize(F.col("s")).alias("tokens"))
+    return rows.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("unit"), T.tokenize(F.col("s")).alias("tokens"), *[F.col(c).alias("sentence") for c in keep])
 
 
 @query("score_sentences", f"""WITH {O.LEXICON.replace('tok AS', 'tok_d AS').replace('long AS (SELECT * EXCLUDE (toks), unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM tok)', 'tok AS (SELECT * FROM tok_d), long AS (SELECT * EXCLUDE (toks), unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM tok)')}, {SENTENCES_A},
@@ -218,6 +239,16 @@ def score_sentences(spark, sf_dir):
     return out.where("jargon_hits > 0 OR unapproved_unigram_hits > 0 OR unapproved_bigram_hits > 0")
 
 
+_SENTENCES_SQL = ORACLE["score_sentences"][: ORACLE["score_sentences"].rindex("SELECT * EXCLUDE (covered)")].rstrip()
+
+
+@query("sentence_report", f"""{_SENTENCES_SQL}, named AS (SELECT unit, string_agg(term, ', ' ORDER BY n DESC, term) FILTER (class = 'jargon') AS terms, string_agg(term, ', ' ORDER BY class DESC, n DESC, term) FILTER (class <> 'jargon') AS unapproved FROM classed WHERE class IS NOT NULL GROUP BY unit)
+SELECT unit, left(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), 160) AS sentence, coalesce(terms, '') AS terms, coalesce(unapproved, '') AS unapproved FROM sent JOIN named ON unit = doc_id || ':' || k""")
+def sentence_report(spark, sf_dir):
+    out = S.sentence_report(sentence_units(spark, sf_dir, "s"), lexicon(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ", ") for c in ("terms", "unapproved")})
+
+
 # --- extensions and comparison ----------------------------------------------
 
 _EXT = f"""etok AS (SELECT item_id AS unit, {O.tokens('text')} AS toks FROM benchmark WHERE len({O.tokens('text')}) >= 3), elong AS (SELECT unit, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM etok), {O.grams().replace('win', 'ewin').replace('grams AS', 'egrams AS').replace('FROM long', 'FROM elong')},
