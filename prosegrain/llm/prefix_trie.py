@@ -206,7 +206,8 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trie(paths: DataFrame, lengths: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row a node: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     rows = named(paths, lengths)
-    heavy = rows.groupBy(*NAME).agg(F.sum("rest").alias("weight")).where(F.col("weight") > limit).select(*NAME)
+    # Written, so that the planner knows how few they are and can send them to the rows, of which every one has the root's name.
+    heavy = cut(rows.groupBy(*NAME).agg(F.sum("rest").alias("weight")).where(F.col("weight") > limit).select(*NAME), "heavy-names")
     upto = rows.join(heavy, NAME).groupBy("conv").agg(F.max("depth").alias("k"))
     marked = cut(rows.join(upto, "conv", "left").withColumn("k", F.coalesce("k", F.lit(-1))), "marked")
 
