@@ -11,7 +11,8 @@ runs over all documents and whole texts. Features are words and their first lett
 how much more often they occur under label 1.
 
 Defined cases: a null or empty text has no sentence and gets the leak
-probability; a sentence without a feature has the probability PLAIN; labels that are null are left out, repeated labels of an id count
+probability; a sentence without a feature has no part in the
+product, however many there are; labels that are null are left out, repeated labels of an id count
 as 1 if any is 1; of several texts of a labelled id the one of least digest is
 learned from; repeated documents are scored each; without a label of either
 class no sentence has a feature; an empty table gives an empty result; other
@@ -39,9 +40,6 @@ WORD_CACHE = 150_000
 PREFIXES = (4, 5, 6)
 #: A sentence whose own probability reaches this is offending; there is no cap on their number.
 OFFENDING = 0.5
-#: Probability of a sentence that has no feature: nothing is known of it. It is no parameter of the fit, so that long
-#: texts, which have thousands of them, are not made toxic by their length.
-PLAIN = 5e-6
 
 
 class Model(NamedTuple):
@@ -89,7 +87,6 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.3
     number = {f: k for k, f in enumerate(names)}
     known: dict[str, list[int]] = {}
     feature, bag, doc_of = [], [], []
-    plain = np.zeros(len(y))  # sentences of each document without a feature
     for d, t in enumerate(texts):
         for a, b in sentences(t):
             found = []
@@ -101,8 +98,6 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.3
                 feature += found
                 bag += [len(doc_of)] * len(found)
                 doc_of.append(d)
-            else:
-                plain[d] += 1
     feature, bag, doc_of = (np.array(x, dtype=np.int64) for x in (feature, bag, doc_of))
     n_bags, n = len(doc_of), len(y)
     weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
@@ -111,7 +106,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.3
     for step in range(1, steps + 1):
         z = np.bincount(bag, w[feature], n_bags) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n) + plain * np.log1p(-PLAIN) + np.log1p(-leak)
+        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), n) + np.log1p(-leak)
         is_toxic = -np.expm1(none)
         push = np.where(y == 1, -np.exp(none) / np.maximum(is_toxic, 1e-9), 1.0) * weight
         dz = push[doc_of] * p / n
@@ -144,19 +139,14 @@ class Scorer:
             if len(self.cache) + len(new) > WORD_CACHE:
                 self.cache, new = {}, words
             self.learn(new)
-        spans, none, found = sentences(text), 1 - self.model.leak, []
-        told_of = any(map(self.cache.get, words))
-        plain = 0
-        for a, b in spans if told_of else ():
+        none, found = 1 - self.model.leak, []
+        for a, b in sentences(text) if any(map(self.cache.get, words)) else ():
             told = [x for w in text[a:b].split() for x in (self._of(w) or ())]
             if told:
                 p = logistic(sum(told) + self.model.bias)
                 none *= 1 - p
                 if p >= OFFENDING:
                     found.append((a, b, p))
-            else:
-                plain += 1
-        none *= (1 - PLAIN) ** (plain if told_of else len(spans))
         return 1 - none, found
 
     def _of(self, w: str) -> tuple[float, ...] | None:

@@ -182,5 +182,5 @@ def test_pipeline(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and jaccard_join.Bands(80).percent == 80

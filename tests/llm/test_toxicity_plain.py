@@ -30,7 +30,7 @@ def plain_loss(texts, labels, names, w, bias, leak=0.02, decay=2e-4):
         none = 1 - leak
         for a, b in toxicity.sentences(t):
             known = [w[names[f]] for word in t[a:b].split() for f in toxicity.features(word) if f in names]
-            none *= 1 - (1 / (1 + math.exp(-sum(known) - bias)) if known else toxicity.PLAIN)
+            none *= 1 - (1 / (1 + math.exp(-sum(known) - bias)) if known else 0)
         total -= (n / (2 * ones) if y else n / (2 * (n - ones))) / n * math.log(1 - none if y else none)
     return total
 
@@ -61,7 +61,15 @@ def test_the_score_is_the_noisy_or_of_all_sentences():
         none = 1 - model.leak
         for a, b in toxicity.sentences(text):
             known = [model.weights[f] for w in text[a:b].split() for f in toxicity.features(w) if f in model.weights]
-            none *= 1 - (1 / (1 + math.exp(-min(30, model.bias + sum(known)))) if known else toxicity.PLAIN)
+            none *= 1 - (1 / (1 + math.exp(-min(30, model.bias + sum(known)))) if known else 0)
         score, found = toxicity.Scorer(model)(text)
         assert score == pytest.approx(1 - none, abs=1e-12)
         assert all(text[a:b].strip() and p >= 0.5 for a, b, p in found)
+
+
+def test_length_makes_no_text_toxic():
+    score = toxicity.Scorer(toxicity.Model({"grobian": 4.0}, -2.0, 0.02))
+    clean, one = "a harmless line\n", "you grobian\n"
+    assert score(clean)[0] == score(clean * 1_000_000)[0] == pytest.approx(0.02)
+    assert score(clean * 500_000 + one + clean * 500_000)[0] == score(one)[0] > 0.85
+    assert score(clean * 500_000 + one)[1][0][:2] == (len(clean) * 500_000, len(clean) * 500_000 + len(one) - 1)
