@@ -10,6 +10,10 @@ DataFrame functions only. Equal texts share a key, so copies cost one posting
 each; the join that brings the candidates back is left to the planner, which
 splits a key that holds many rows.
 
+Clauses and rules are counted in words of WORD bits, so there may be any number
+of them. A private key is followed over up to 200 stretches of hyphens and 16
+header lines: beyond them the span ends where its lines or words of base64 do.
+
 Defined cases: a null text is empty and has no finding; repeated rows each get
 their findings; an empty table gives an empty result; other columns than id and
 text are ignored, whatever their names.
@@ -61,6 +65,8 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
+#: Bits of a whole number that are used.
+WORD = 62
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
@@ -94,16 +100,21 @@ def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
-    """(key, mask): bit k of the mask says that rule k's query holds for the text."""
+    """(key, mask): bit k % WORD of number k // WORD of the mask says that rule k's query holds for the text."""
     spark = docs.sparkSession
     rows = [(k, c, t) for k, clauses in queries.items() for c, clause in enumerate(clauses) for t in sorted(clause)]
     if not rows:
-        return docs.sparkSession.createDataFrame([], "key binary, mask long")
+        return docs.sparkSession.createDataFrame([], "key binary, mask array<long>")
     clauses = spark.createDataFrame(rows, "rule int, clause int, trigram string")  # fixed by the rules
-    need_all = F.create_map(*[F.lit(x) for k, q in queries.items() for x in (k, (1 << len(q)) - 1)])
+    words, out = -(-max(map(len, queries.values())) // WORD), -(-(max(queries) + 1) // WORD)
+    full = lambda n: [(1 << min(WORD, max(0, n - WORD * w))) - 1 for w in range(words)]
+    need_all = F.create_map(*[x for k, q in queries.items() for x in (F.lit(k), F.array(*[F.lit(n).cast("long") for n in full(len(q))]))])
+    bit = lambda place, w: F.expr(f"if({place} div {WORD} = {w}, shiftleft(1L, cast({place} % {WORD} as int)), 0L)")
     postings = index(docs, sorted({t for *_, t in rows}))
-    met = postings.join(F.broadcast(clauses), "trigram").groupBy("key", "rule").agg(F.bit_or(F.expr("shiftleft(1L, clause)")).alias("met"))
-    return met.where(F.col("met") == F.element_at(need_all, F.col("rule"))).groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
+    met = postings.join(F.broadcast(clauses), "trigram").groupBy("key", "rule").agg(*[F.bit_or(bit("clause", w)).alias(f"m{w}") for w in range(words)])
+    whole = met.where(F.array(*[F.col(f"m{w}") for w in range(words)]) == F.element_at(need_all, F.col("rule")))
+    held = whole.groupBy("key").agg(*[F.bit_or(bit("rule", w)).alias(f"r{w}") for w in range(out)])
+    return held.select("key", F.array(*[f"r{w}" for w in range(out)]).alias("mask"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, whole: bool = False) -> DataFrame:
@@ -117,7 +128,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex))}
     hits = candidates(keyed, queries).withColumnRenamed("key", "of")
     joined = keyed.join(hits, F.col("key") == F.col("of"), "left")
-    asked = lambda k: (F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0) if k in queries else F.lit(True)
+    asked = lambda k: F.coalesce(F.get("mask", F.lit(k // WORD)).bitwiseAND(F.lit(1 << k % WORD).cast("long")) != 0, F.lit(False)) if k in queries else F.lit(True)
     none = F.array().cast(SPAN)
     found = [F.when(asked(k), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
     return joined.select(F.col("row").alias("row" if whole else id_col), F.array_sort(F.concat(*found)).alias("found"))

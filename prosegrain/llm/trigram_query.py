@@ -209,10 +209,11 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     """Clauses of ``regex``, without repeats and without clauses a smaller one implies; none for syntax not known."""
     reader = _Reader(regex)
     try:
-        known = reader.alternatives().known
+        whole = reader.alternatives()
     except Unknown:
         return []
     if reader.at < len(regex):
         return []
-    found = list(dict.fromkeys(known))
+    # Alternatives that are all strings have no clause yet.
+    found = list(dict.fromkeys([*whole.known, *_clauses(whole.exact or set())]))
     return [c for c in found if not any(d < c for d in found)]
