@@ -13,16 +13,19 @@ from ..operators.bands import BANDS
 from . import settings
 from .schema import Checker
 
-_RANGE = {"type": "array", "minItems": 2, "items": {"type": "number"}}
-_COUNT = {"type": "integer"}
+# The fields of a table of bands.
+_RANGE = {"type": "array", "minItems": 2, "maxItems": 2, "items": {"type": "number"}}
+_COUNT, _RATE = {"type": "integer"}, {"type": "number"}
+#: A field that is not named here may only hold a text.
 SCHEMA = {
-    "type": "object", "required": ["name", "rules"],
+    "type": "object", "required": ["name", "rules"], "additionalProperties": {"type": "string"},
     "properties": {
-        "name": {"type": "string", "minLength": 1}, "description": {"type": "string"}, "meta": {"type": "object"},
+        "name": {"type": "string", "pattern": settings.NAME.pattern}, "description": {"type": "string", "minLength": 1},
+        "meta": {"type": "object", "properties": {"generated": {"type": "string"}, "script": {"type": "string"}, "unit": {"type": "string"}, "band_rule": {"type": "string"}, "min_words_guard": _COUNT, "excluded_format_artifacts": {"type": "array"}}},
         "rules": {"type": "object", "additionalProperties": {
-            "type": "object", "required": ["direction"],
+            "type": "object", "required": ["direction"], "additionalProperties": False,
             "properties": {
-                "direction": {"enum": ["ai-high", "human-high"]}, "human_universal": _RANGE, "human_internal": _RANGE, "ai_universal": {"type": "number"}, "ai_internal": {"type": "number"},
+                "direction": {"enum": ["ai-high", "human-high"]}, "human_universal": _RANGE, "human_internal": _RANGE, "ai_universal": _RATE, "ai_internal": _RATE,
                 "human_universal_n": _COUNT, "human_internal_n": _COUNT, "ai_universal_n": _COUNT, "ai_internal_n": _COUNT,
             },
         }},
@@ -39,8 +42,8 @@ def errors(doc: Any) -> list[str]:
             out.append(f"bands.rules.{rule}: the name is no rule's")
         for key in ("human_universal", "human_internal"):
             given = entry.get(key) if isinstance(entry, dict) else None
-            if isinstance(given, list) and len(given) > 2:
-                out.append(f"bands.rules.{rule}.{key}: a low and a high end are wanted")
+            if isinstance(given, list) and len(given) == 2 and all(type(x) in (int, float) for x in given) and given[0] > given[1]:
+                out.append(f"bands.rules.{rule}.{key}: the low end is above the high one")
     return out
 
 
@@ -71,11 +74,33 @@ def frame(spark: SparkSession, table: dict) -> DataFrame:
     return spark.createDataFrame(rows, BANDS)
 
 
+def number(v: float) -> str:
+    """A rate as it is shown: as ``functions.text.number_text`` does."""
+    return "0" if v == 0 else f"{v:.2f}".rstrip("0").rstrip(".") if v < 10 else f"{v:.1f}"
+
+
+def parts(entry: Mapping[str, Any]) -> list[str]:
+    """The reference rates of a rule: human, internal, and that of machines where it counts."""
+    out = [f"{word} {number(entry[key][0])}-{number(entry[key][1])}" for key, word in (("human_universal", "human"), ("human_internal", "int")) if entry.get(key)]
+    machine = entry.get("ai_universal", entry.get("ai_internal"))
+    return out + ([f"ai ~{number(machine)}"] if machine is not None and entry["direction"] != "human-high" else [])
+
+
 def lines(table: dict, scope: str) -> list[str]:
-    """A table as text: a head, then a line a rule."""
-    out = [f"{table['name']} ({scope}): {len(table['rules'])} rules"] + ([table["description"]] if table.get("description") else [])
-    for rule, e in sorted(table["rules"].items()):
-        ranges = [f"{word} {e[key][0]:g}-{e[key][1]:g}" for key, word in (("human_universal", "human"), ("human_internal", "internal")) if e.get(key)]
-        machine = e.get("ai_universal", e.get("ai_internal"))
-        out.append("  ".join([f"{rule:<6}", f"{e['direction']:<10}", *ranges, *([f"machine {machine:g}"] if machine is not None else [])]))
+    """A table as text: a head, its description, then a line a rule."""
+    meta = table.get("meta") or {}
+    head = [f"{table['name']} ({scope}): {len(table['rules'])} rules", *([f"generated {meta['generated']}"] if meta.get("generated") else []), *([meta["unit"]] if meta.get("unit") else [])]
+    return [", ".join(head), *([table["description"]] if table.get("description") else []), *(" · ".join([f"  {rule:<6}{e['direction']:<11}", *parts(e)]) for rule, e in table["rules"].items())]
+
+
+def listing(scopes: Mapping[str, Path]) -> list[str]:
+    """Every table that can be found, in the order of the scopes, with its number of rules; ``?`` for one that is wrong."""
+    out = []
+    for scope, folder in scopes.items():
+        for at in sorted(folder.glob("*.json")) if folder.is_dir() else ():
+            try:
+                rules = str(len(load(at)["rules"]))
+            except ValueError:
+                rules = "?"
+            out.append(f"{at.stem:<16} {scope:<9} {rules:>2} rules  {at}")
     return out

@@ -19,6 +19,7 @@ PLAIN = {
     "const": (None, lambda v, w: v == w, "must be {!r}"),
     "enum": (None, lambda v, w: v in w, "must be one of {}"),
     "minItems": ("array", lambda v, w: len(v) >= w, "has fewer entries than {}"),
+    "maxItems": ("array", lambda v, w: len(v) <= w, "has more entries than {}"),
     "minLength": ("string", lambda v, w: len(v) >= w, "is shorter than {}"),
     "pattern": ("string", lambda v, w: re.match(w, v) is not None, "has another form than {}"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,9 @@ EXTENSION_FILES = ("*.txt", "*.md", "*.json", "*.jsonl")
 
 
 def located(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """(the full name that files below ``path`` begin with, whether it is a folder)."""
+    """(the full name that files below ``path`` begin with, whether it is a folder); a local path that is there is meant as such."""
+    if "://" not in path and Path(path).exists():
+        path = f"file://{Path(path).resolve()}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(at):
@@ -40,7 +44,7 @@ def files(spark: SparkSession, path: str, globs: tuple[str, ...]) -> DataFrame:
         rows = rows.option("pathGlobFilter", globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}")
     at = F.lit(root.rstrip("/"))
     name = F.substr("path", F.length(at) + 2) if folder else F.element_at(F.split("path", "/"), -1)
-    return rows.load(path).select(F.lit(root).alias("root"), name.alias("name"), "content")
+    return rows.load(root).select(F.lit(root).alias("root"), name.alias("name"), "content")
 
 
 def some_files(spark: SparkSession, path: str, globs: tuple[str, ...]) -> DataFrame:
@@ -188,6 +192,13 @@ def read_stoplist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("term")).where("term <> ''").distinct()
 
 
+def read_zipf(spark: SparkSession, path: str) -> DataFrame:
+    """(term, zipf): a term and its frequency on the Zipf scale a line, by a tab, or a Parquet table of these columns."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path).select("term", F.col("zipf").cast("double").alias("zipf"))
+    return spark.read.option("sep", "\t").schema("term string, zipf double").csv(path).where("term IS NOT NULL AND zipf IS NOT NULL")
+
+
 def calibration_files(spark: SparkSession, corpora: list[dict]) -> DataFrame:
     """(label, name, text, valid, words, sha256) of the ``.txt`` files of corpora (label, path), bytes read as they are.
 

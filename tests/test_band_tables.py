@@ -44,6 +44,6 @@ def test_check_with_bands(spark, tmp_path, capsys):
     assert cli.main(["check", "--bands", str(tmp_path / "none.json"), str(tmp_path / "short.md")]) == 2
     assert cli.main(["check", "--bands", bands, "--json", "--rules", "W-M1", str(tmp_path / "long.md")]) == 1
     report = json.loads(capsys.readouterr().out)
-    assert report["bands"]["rules"]["W-M1"]["status"] == "FAIL" and len(report["findings"]) == 40 and report["counts"] == {"W-M1": 40}
+    assert report["bands"]["rules"]["W-M1"]["status"] == "FAIL" and len(report["findings"]) == 40 and report["counts"] == {"findings": 40, "rules_checked": 1} and report["by_rule"] == {"W-M1": 40}
     capsys.readouterr()
     assert cli.main(["bands", "show", bands]) == 0 and "memo (path): 2 rules" in capsys.readouterr().out
