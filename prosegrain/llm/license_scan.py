@@ -31,6 +31,10 @@ _SOURCE = "redistributions of source code must retain the above copyright notice
 _BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 _AS_IS = "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
 _GNU = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+_FREE = "this program is free software"
+_LATER = "either version {} of the license or at your option any later version"
+_NAMES = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_AS_IS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
 _CC = "creative commons attribution{} {} {} license"
 
 
@@ -56,8 +60,8 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "BSDSOURCE": _marked(_SOURCE, before=("1", "a")),
     "BSDBOTH": tuple(f"{_BSD} {s}" for s in _marked(_SOURCE, before=("1", "a"))),  # wrapped, with a bullet or a number in brackets
     "BSDBINARY": _marked(_BINARY, before=("2", "b")),
-    "BSDNAMES": _marked("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", before=("3", "c")),
-    "BSDASIS": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+    "BSDNAMES": (_NAMES,),
+    "BSDASIS": (_BSD_AS_IS,),
     "ISCGRANT": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
     "ZEROGRANT": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
     "ISCASIS": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
@@ -80,16 +84,22 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "LGPLTITLE21": ("gnu lesser general public license version 2 1 february 1999",),
     "LGPLTITLE3": ("gnu lesser general public license version 3 29 june 2007",),
     "AGPLTITLE3": ("gnu affero general public license version 3 19 november 2007",),
-    "GNUFREE": tuple(f"this {x} is free software" for x in ("program", "library", "file", "software")),
+    "GNUFREE": (_FREE,),
     "GPLTERMS": (_GNU.format("general public license"),),
     "LGPLTERMS": (_GNU.format("lesser general public license"), _GNU.format("library general public license")),
     "AGPLTERMS": (_GNU.format("affero general public license"),),
+    "GPLTERMS2": (_GNU.format("general public license version 2"), _GNU.format("general public license version 2 only")),
+    "GPLTERMS3": (_GNU.format("general public license version 3"),),
+    "LGPLTERMS21": (_GNU.format("lesser general public license version 2 1"),),
     "EITHER2": ("either version 2 of the license or at your option any later version",),
     "EITHER21": ("either version 2 1 of the license or at your option any later version",),
     "EITHER3": ("either version 3 of the license or at your option any later version",),
-    "GPLNOTICE3": tuple(f"this {x} is free software {_GNU.format('general public license')} either version 3 of the license or at your option any later version" for x in ("program", "library", "file", "software")),
-    "LGPLNOTICE3": tuple(f"this {x} is free software {_GNU.format('lesser general public license')} either version 3 of the license or at your option any later version" for x in ("program", "library", "file", "software")),
-    "AGPLNOTICE3": tuple(f"this {x} is free software {_GNU.format('affero general public license')} either version 3 of the license or at your option any later version" for x in ("program", "library", "file", "software")),
+    "GPLNOTICE2": (f"{_FREE} {_GNU.format('general public license')} {_LATER.format('2')}",),
+    "GPLNOTICE3": (f"{_FREE} {_GNU.format('general public license')} {_LATER.format('3')}",),
+    "LGPLNOTICE21": (f"{_FREE} {_GNU.format('lesser general public license')} {_LATER.format('2 1')}",),
+    "LGPLNOTICE3": (f"{_FREE} {_GNU.format('lesser general public license')} {_LATER.format('3')}",),
+    "AGPLNOTICE3": (f"{_FREE} {_GNU.format('affero general public license')} {_LATER.format('3')}",),
+    "GPLONLY2": (f"{_FREE} {_GNU.format('general public license version 2')}",),
     "BOOSTTITLE": ("boost software license version 1 0 august 17th 2003",),
     "BOOSTNOTICE": ("distributed under the boost software license version 1 0",),
     "CCZERO": ("cc0 1 0 universal", "creative commons legal code cc0 1 0 universal"),
@@ -114,7 +124,7 @@ NAMES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("cc0 1 0",),
 }
 NAMING = ("licensed under the {}", "released under the {}", "distributed under the {}", "this work is licensed under the {}", "this project is licensed under the {}", "licensed under {}", "this work is licensed under {}")
-TITLES = ("mit license", "the mit license", "isc license", "bsd 2 clause license", "bsd 3 clause license")
+TITLES = ("apache license version 2 0", "mit license", "the mit license", "isc license", "bsd 2 clause license", "bsd 3 clause license")
 CC_KINDS = {"BY": "", "BY-SA": " sharealike", "BY-NC": " noncommercial", "BY-ND": " noderivatives", "BY-NC-SA": " noncommercial sharealike", "BY-NC-ND": " noncommercial noderivatives"}
 CC_VERSIONS = {"4.0": "international", "3.0": "unported"}
 TAG = "spdx license identifier {}"
@@ -159,7 +169,7 @@ RULES: tuple[Rule, ...] = (
     Rule("BSD-2-Clause", ("BSDGRANT", "BSDSOURCE", "BSDBINARY", "BSDASIS"), (_LONG, _LONG, 0)), Rule("BSD-2-Clause", ("BSDBOTH", "BSDBINARY", "BSDASIS"), (_LONG, 0)),
     Rule("ISC", ("ISCGRANT", "ISCASIS")), Rule("ISC", ("ISCGRANT",)), Rule("0BSD", ("ZEROGRANT", "ISCASIS")), Rule("Zlib", ("ZLIBASIS", "ZLIBGRANT"), 4), Rule("Unlicense", ("UNLICENSE",)),
     Rule("MPL-2.0", ("MPLFORM",)), Rule("MPL-2.0", ("MPLHEAD", "TWOZERO"), 0), Rule("MPL-2.0", ("MPLTITLE",)),
-    Rule("GPL-2.0", ("GPLTITLE", "V2DATE"), 0), Rule("GPL-2.0", ("GPLTITLE2",)), Rule("GPL-2.0", ("GNUFREE", "GPLTERMS", "EITHER2"), 1),
+    Rule("GPL-2.0", ("GPLTITLE", "V2DATE"), 0), Rule("GPL-2.0", ("GPLTITLE2",)), Rule("GPL-2.0", ("GNUFREE", "GPLTERMS", "EITHER2"), 1), Rule("GPL-2.0", ("GPLNOTICE2",)), Rule("GPL-2.0", ("GNUFREE", "GPLTERMS2"), 0), Rule("GPL-2.0", ("GPLONLY2",)), Rule("GPL-3.0", ("GNUFREE", "GPLTERMS3"), 0), Rule("LGPL-2.1", ("GNUFREE", "LGPLTERMS21"), 0), Rule("LGPL-2.1", ("LGPLNOTICE21",)),
     Rule("GPL-3.0", ("GPLTITLE", "V3DATE"), 0), Rule("GPL-3.0", ("GPLTITLE3",)), Rule("GPL-3.0", ("GNUFREE", "GPLTERMS", "EITHER3"), 1), Rule("GPL-3.0", ("GPLNOTICE3",)),
     Rule("LGPL-2.1", ("LGPLTITLE", "V21DATE"), 0), Rule("LGPL-2.1", ("LGPLTITLE21",)), Rule("LGPL-2.1", ("GNUFREE", "LGPLTERMS", "EITHER21"), 1),
     Rule("LGPL-3.0", ("LGPLTITLE", "V3DATE"), 0), Rule("LGPL-3.0", ("LGPLTITLE3",)), Rule("LGPL-3.0", ("GNUFREE", "LGPLTERMS", "EITHER3"), 1), Rule("LGPL-3.0", ("LGPLNOTICE3",)),
@@ -173,6 +183,17 @@ ENDS = r"[.!?;]+(?:\s|\z)|\n"
 #: The same without line ends, for sentences that run over several lines.
 WRAPPED_ENDS = r"[.!?;]+(?:\s|\z)|\n\s*\n"
 FOREIGN = "-"
+# Sentences with a slot for a name, normalised, and the form they are looked up in.
+SLOTS = (
+    # The name may end in a full stop, which ends a sentence; what follows still tells the clause.
+    (r"^(?:(?:3|c|4|d) )?(?:neither the names? of .{1,160}? )?nor the names? of .{1,120}? may be used to endorse or promote products derived from this software without (?:specific )?prior written permission$", _NAMES),
+    (r"^this software is provided by .{1,160}? as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed$", _BSD_AS_IS),
+    (r"^.{1,80}? is free software( you can redistribute it .*)?$", _FREE + "{1}"),
+)
+SPDX = "SPDX-License-Identifier:"
+#: Parts of an expression: what joins licences, and an exception to the one before it.
+SPDX_JOINS, SPDX_EXCEPTION = r"\s+(?:OR|AND|or|and)\s+|[()]", r"\s+(?:WITH|with)\s+[A-Za-z0-9.+-]+"
+EITHER_OF, OR, OF_CHOICE = "licensed under either of ", " or ", r"^the | at your option$"
 #: Every rule has a sentence with one of these; other texts hold none and need not be read over line ends.
 GATE = r"licen[cs]e|software|distribut|released|rights|gnu|\bcc"
 
@@ -181,6 +202,21 @@ def normal(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def lookups(sentence: Column) -> Column:
+    """The normalised sentences that a sentence stands for: one, or one for each licence it lists."""
+
+    def one(n: Column) -> Column:
+        for pattern, form in SLOTS:
+            n = F.when(n.rlike(pattern), F.regexp_replace(n, pattern, form.replace("{1}", "$1"))).otherwise(n)
+        return n
+
+    operands = F.split(F.regexp_replace(F.substring_index(sentence, SPDX, -1), SPDX_EXCEPTION, ""), SPDX_JOINS)
+    tags = F.transform(F.filter(F.transform(operands, normal), lambda x: x != ""), lambda x: F.concat(F.lit(TAG.format("")), x))
+    chosen = lambda n: F.transform(F.split(F.substr(n, F.lit(len(EITHER_OF) + 1)), OR), lambda x: F.concat(F.lit("licensed under the "), F.regexp_replace(x, OF_CHOICE, "")))
+    plain = lambda n: F.when(n.startswith(EITHER_OF), chosen(n)).when(n.contains("software"), F.array(one(n))).otherwise(F.array(n))
+    return F.when(sentence.contains(SPDX), tags).otherwise(let(normal(sentence), plain))
+
+
 def sequences(text: Column) -> tuple[Column, Column]:
     """The text by lines, and by sentences that run over line ends: an identifier or ``-`` a sentence, parted by blanks.
 
@@ -190,7 +226,9 @@ def sequences(text: Column) -> tuple[Column, Column]:
     names, ids = F.array(*[F.lit(s) for s, _ in spelled]), F.array(*[F.lit(k) for _, k in spelled])
 
     def code(s: Column) -> Column:  # the few known sentences alone are searched for their identifier
-        return let(normal(s), lambda n: F.when(n.isin([s for s, _ in spelled]), F.get(ids, F.array_position(names, n).cast("int") - 1)).otherwise(FOREIGN))
+        known = lambda all_: F.filter(all_, lambda n: n.isin([s for s, _ in spelled]))
+        named = lambda found: F.array_join(F.transform(found, lambda n: F.get(ids, F.array_position(names, n).cast("int") - 1)), "+")
+        return let(known(lookups(s)), lambda k: F.when(F.size(k) > 0, named(k)).otherwise(FOREIGN))
 
     coded = lambda ends: F.array_join(F.transform(F.filter(F.split(text, ends, -1), lambda s: F.btrim(s) != ""), code), " ")
     return coded(ENDS).alias("by_line"), F.when(F.lower(text).rlike(GATE), coded(WRAPPED_ENDS)).alias("wrapped")

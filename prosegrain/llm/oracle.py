@@ -68,10 +68,19 @@ def licences() -> str:
     """Sentences as rows, joined with the table of spellings, and put together again."""
     spelled = ", ".join(f"({quoted(s)}, {quoted(k)})" for k, all_ in LS.SENTENCES.items() for s in all_)
     rules = ", ".join(f"({n}, {quoted(r.licence)}, {quoted(LS.rule_regex(r))}, {quoted(r.licence + ':' + '+'.join(r.ids))})" for n, r in enumerate(LS.RULES))
+    plain = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    one = "n"
+    for pattern, form in LS.SLOTS:
+        one = f"regexp_replace({one}, {quoted(pattern)}, {quoted(form.replace('{1}', chr(92) + '1'))})"
+    tags = f"list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(string_split(s, {quoted(LS.SPDX)})[-1], {quoted(LS.SPDX_EXCEPTION)}, '', 'g'), {quoted(LS.SPDX_JOINS)}), lambda x: {plain('x')}), lambda x: x <> ''), lambda x: {quoted(LS.TAG.format(''))} || x)"
+    chosen = f"list_transform(string_split(substr(n, {len(LS.EITHER_OF) + 1}), {quoted(LS.OR)}), lambda x: 'licensed under the ' || regexp_replace(x, {quoted(LS.OF_CHOICE)}, '', 'g'))"
+    lookups = f"CASE WHEN contains(s, {quoted(LS.SPDX)}) THEN {tags} WHEN starts_with(n, {quoted(LS.EITHER_OF)}) THEN {chosen} WHEN contains(n, 'software') THEN [{one}] ELSE [n] END"
     cut_at = lambda way, ends, where: f"SELECT rid, {way} AS way, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT rid, regexp_split_to_array(t, {quoted(ends)}) AS p FROM d WHERE {where})"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), spelled AS (SELECT * FROM (VALUES {spelled}) v(spelling, ident)), rules AS (SELECT * FROM (VALUES {rules}) v(place, licence, pattern, shown)),
 s AS ({cut_at(1, LS.ENDS, 'true')} UNION ALL {cut_at(2, LS.WRAPPED_ENDS, f"regexp_matches(lower(t), {quoted(LS.GATE)})")}),
-known AS (SELECT rid, way, i, coalesce(ident, '-') AS ident FROM (SELECT *, trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS spelling FROM s WHERE trim(s) <> '') LEFT JOIN spelled USING (spelling)),
+asked AS (SELECT rid, way, i, {lookups} AS wanted FROM (SELECT *, {plain('s')} AS n FROM s WHERE trim(s) <> '')),
+found_ids AS (SELECT rid, way, i, string_agg(ident, '+' ORDER BY j) AS ident FROM (SELECT rid, way, i, unnest(wanted) AS spelling, generate_subscripts(wanted, 1) AS j FROM asked) JOIN spelled USING (spelling) GROUP BY ALL),
+known AS (SELECT rid, way, i, coalesce(ident, '-') AS ident FROM asked LEFT JOIN found_ids USING (rid, way, i)),
 seqs AS (SELECT rid, way, string_agg(ident, ' ' ORDER BY i) AS seq, count(*) AS n, string_agg(ident, ' ' ORDER BY i) FILTER (ident <> '-') AS ids FROM known GROUP BY rid, way),
 met AS (SELECT DISTINCT rid, place, licence, shown FROM seqs, rules WHERE ids IS NOT NULL AND regexp_matches(seq, pattern)),
 found AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses, string_agg(shown, ',' ORDER BY place) AS rules FROM met GROUP BY rid),

@@ -37,5 +37,42 @@ def test_verbatim_bsd(spark):
 
 
 def test_another_third_clause_is_no_bsd_2(spark):
-    text = bsd(3, MARKS[0], "\n", 0).replace("the copyright holder nor", "the University nor")
+    text = bsd(3, MARKS[0], "\n", 0).replace("Neither the name of the copyright holder nor", "All papers must cite the copyright holder and")
     assert licenses(spark, [text]) == [""]
+
+
+@pytest.mark.parametrize("holder", ["the University", "Google Inc.", "Google LLC", "the <ORGANIZATION>", "the Regents of the University of X, Y. Z. Corp.", "Jane Doe"])
+@pytest.mark.parametrize("width", [0, 72])
+def test_other_holders(spark, holder, width):
+    texts = [bsd(3, m, gap, width).replace("the copyright\n   holder", "the copyright holder").replace("the copyright holder nor", f"{holder} nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", who) for m in MARKS for gap in ("\n", "\n\n") for who in ("THE REGENTS AND CONTRIBUTORS", "Jane Doe", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS")]
+    assert licenses(spark, texts) == ["BSD-3-Clause"] * len(texts)
+
+
+GNU = "{} is free software{} you can redistribute it and/or modify it under the terms of the {}License{} as published by the Free Software Foundation{}"
+
+
+def test_other_programs_and_notices(spark):
+    import textwrap
+
+    later = "; either version {} of the License, or (at your option) any later version."
+    cases = {}
+    for who in ("This program", "GNU Foo", "Foo", "The Foo Library 2"):
+        for stop, comma in ((";", ";"), (":", ",")):
+            for kind, name in (("GNU General Public ", "GPL"), ("GNU Lesser General Public ", "LGPL"), ("GNU Affero General Public ", "AGPL")):
+                for version in {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}[name]:
+                    cases[GNU.format(who, stop, kind, "", later.format(version).replace(";", comma, 1))] = f"{name}-{version if '.' in version else version + '.0'}"
+        cases[GNU.format(who, ";", "GNU General Public ", " version 2", ".")] = "GPL-2.0"
+        cases[GNU.format(who, ":", "GNU General Public ", " version 2", ".")] = "GPL-2.0"
+    got = licenses(spark, list(cases) + [textwrap.fill(c, 70) for c in cases])
+    assert got == list(cases.values()) * 2
+
+
+def test_expressions(spark):
+    cases = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT", "/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */": "GPL-2.0", "// SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-or-later": "BSD-3-Clause,GPL-2.0,MIT",
+        "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR unknown-1.0": "GPL-2.0", "SPDX-License-Identifier: unknown OR other": "", "SPDX-License-Identifier:": "", "x\nSPDX-License-Identifier: ISC\ny": "ISC",
+        "Licensed under either of Apache License, Version 2.0 or MIT license": "Apache-2.0,MIT", "Licensed under either of the Apache License 2.0 or the MIT License at your option.": "Apache-2.0,MIT",
+        "Licensed under either of\n\n * Apache License, Version 2.0\n   (LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0)\n * MIT license\n   (LICENSE-MIT or http://opensource.org/licenses/MIT)\n\nat your option.": "Apache-2.0,MIT",
+        "Licensed under either of two names or none.": "",
+    }
+    assert licenses(spark, list(cases)) == list(cases.values())

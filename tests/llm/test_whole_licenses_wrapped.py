@@ -69,7 +69,7 @@ def test_sql_agrees(spark, tmp_path):
 
     from prosegrain.llm.oracle import ORACLE
 
-    texts = [None, "", " \n ", APACHE, MPL, GPL, bsd(2, MARKS[1], "\n", 72), "word " * 60_000 + "All rights reserved.", "All rights reserved.\n" + MPL, "no licence. at all", "rights"]
+    texts = [None, "", " \n ", "SPDX-License-Identifier: (MIT AND ISC) OR GPL-2.0 WITH x\nrest", "Licensed under either of MIT license or the ISC license.", bsd(3, MARKS[0], "\n", 72).replace("the copyright holder nor", "Acme Inc. nor"), GPL.replace("This program", "GNU Foo"), APACHE, MPL, GPL, bsd(2, MARKS[1], "\n", 72), "word " * 60_000 + "All rights reserved.", "All rights reserved.\n" + MPL, "no licence. at all", "rights"]
     docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts + texts)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
