@@ -21,3 +21,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete what this application wrote on the way, once its results are elsewhere. DataFrames made before can no longer be read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -18,7 +18,7 @@ from ..operators import lexicon as L
 from ..operators import parse_rules as P
 from ..operators import rules as R
 from ..operators import score as S
-from ..operators.store import written
+from ..operators.store import purge, written
 from ..operators.terms import tokenized
 from ..sources import readers, writers
 from . import band_tables, calibration, documents, settings
@@ -525,4 +525,7 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    code = main()
+    if (active := SparkSession.getActiveSession()) is not None:
+        purge(active)
+    sys.exit(code)
