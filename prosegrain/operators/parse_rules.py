@@ -1,14 +1,18 @@
 """Rules over a dependency parse, as relations over a table of parsed tokens.
 
 Token table: (path, text_line, sent, sent_text, i, line, text, pos, tag, dep, head, chunk,
-is_space, is_punct): ``sent_text`` is the sentence, ``text_line`` its first
-line, ``line`` the token's, ``head`` the head's ``i``, ``chunk`` the noun chunk or null. ``parse``
+is_space, is_punct): ``sent_text`` is the sentence, on its first token at least (on every one it
+would take the square of a sentence's length), ``text_line`` its first line, ``line`` the token's,
+``head`` the head's ``i``, ``chunk`` the noun chunk or null. ``parse``
 makes it with spaCy where that is installed; without it the rules are skipped.
+
+Rules about one sentence look at an array of its tokens, in the row. They take a token table,
+which is gathered by one shuffle, or sentences that have their tokens already (``SENTENCES``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import list_items
 from ..functions.spans import find_all, strip_code, strip_markup
-from ..functions.text import one_line, sentence_words, strip
+from ..functions.text import let, one_line, sentence_words, strip
 
 TOKENS = "path string, text_line int, sent int, sent_text string, i int, line int, text string, pos string, tag string, dep string, head int, chunk int, is_space boolean, is_punct boolean"
+SENTENCES = "path string, sent int, text_line int, sent_text string, tokens array<struct<i:int,text:string,pos:string,tag:string,dep:string,head:int,is_space:boolean,is_punct:boolean>>"
 KEY = ["path", "sent"]
+FIELDS = ["i", "text", "pos", "tag", "dep", "head", "is_space", "is_punct"]
 # What parts two blocks, a list item's marker, forms of "have", and modal verbs.
 BLANK_LINES = r"\n(?:[ \t]*\n)+\s*"
 ITEM_MARK = r"(?md)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(?=[^\n])"
@@ -97,7 +103,7 @@ def parse_rows(rows: DataFrame, model: str = "en_core_web_sm") -> DataFrame:
                 chunk = {t.i: k for k, c in enumerate(doc.noun_chunks) for t in c}
                 for k, sent in enumerate(doc.sents):
                     line = doc.text.count("\n", 0, sent.start_char) + first
-                    found += [(path, line, k, sent.text, t.i, doc.text.count("\n", 0, t.idx) + first, t.text, t.pos_, t.tag_, t.dep_, t.head.i, chunk.get(t.i), t.is_space, t.is_punct) for t in sent]
+                    found += [(path, line, k, sent.text if t.i == sent.start else None, t.i, doc.text.count("\n", 0, t.idx) + first, t.text, t.pos_, t.tag_, t.dep_, t.head.i, chunk.get(t.i), t.is_space, t.is_punct) for t in sent]
             yield pd.DataFrame(found, columns=[c.split()[0] for c in TOKENS.split(", ")])
 
     return rows.select("path", "line", "body", "starts").mapInPandas(run, TOKENS)
@@ -119,53 +125,78 @@ def parse_items(docs: DataFrame, model: str = "en_core_web_sm") -> DataFrame:
     key = F.from_json("path", "path string, line int")
     found = parse_rows(alone, model).withColumn("key", key).select(F.col("key.path").alias("path"), F.col("key.line").alias("text_line"), *[c.split()[0] for c in TOKENS.split(", ")[2:]])
     bodies = items.select(F.col("path").alias("p"), F.col("line").alias("l"), "body")
-    return found.join(bodies, (F.col("path") == F.col("p")) & (F.col("text_line") == F.col("l"))).withColumn("sent_text", F.col("body")).drop("p", "l", "body")
+    return found.join(bodies, (F.col("path") == F.col("p")) & (F.col("text_line") == F.col("l"))).withColumn("sent_text", F.when(F.col("i") == 0, F.col("body"))).drop("p", "l", "body")
+
+
+def gathered(tokens: DataFrame, *key: str) -> DataFrame:
+    """(path, line, sent_text, tokens) a sentence, or what else ``key`` names: its tokens as an array, by their places.
+
+    A table that has ``tokens`` already, as :data:`SENTENCES`, is taken as it is, so nothing is shuffled.
+    """
+    if "tokens" in tokens.columns:
+        return tokens.select("path", F.col("text_line").alias("line"), "sent_text", "tokens")
+    rows = tokens.groupBy(*key).agg(F.first("sent_text", ignorenulls=True).alias("said"), F.first("text_line").alias("line"), F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("tokens"))
+    return rows.select("path", "line", F.col("said").alias("sent_text"), "tokens")
+
+
+def _first(tokens: Column, keep: Callable[[Column], Column]) -> Column:
+    """The first token for which ``keep`` holds, or null."""
+    return F.get(F.filter(tokens, keep), F.lit(0))
+
+
+def _found(path: str, line: Column, rule: str, label: Column, match: Column, fix: Column | None = None) -> list[Column]:
+    return [F.col(path), line.cast("int").alias("line"), F.lit(rule).alias("rule"), label.alias("label"), match.alias("match"), (F.lit(None) if fix is None else fix).cast("string").alias("fix")]
 
 
-def sentences(tokens: DataFrame) -> DataFrame:
-    """One row a sentence of three words or more: its root, whether it is an instruction, its line and text."""
-    root = F.col("head") == F.col("i")
-    rows = tokens.groupBy(*KEY).agg(
-        F.first("sent_text").alias("sent_text"), F.first("text_line").alias("line"), F.count_if(~F.col("is_space") & ~F.col("is_punct")).alias("words"),
-        F.min(F.when(root, F.struct("i", "text", "pos", "tag"))).alias("root"),
-        F.collect_set(F.when(F.col("dep").isin("nsubj", "nsubjpass", "expl"), F.col("head"))).alias("with_subject"),
-    ).where("words >= 3")
-    verb = F.col("root.pos").isin("VERB", "AUX") & (F.col("root.tag") == "VB")
-    return rows.withColumn("imperative", F.coalesce(verb & ~F.array_contains("with_subject", F.col("root.i")), F.lit(False))).drop("words", "with_subject")
+def _each(rows: DataFrame, hit: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with the fields of ``hit(tokens)``, where it is not null. It is exploded, as a filter would be pushed below and computed twice."""
+    return rows.select("path", "line", "sent_text", F.inline(F.array_compact(F.array(let(F.col("tokens"), hit)))))
 
 
-def _found(rows: DataFrame, rule: str, label: Column, match: Column, fix: Column | None = None) -> DataFrame:
-    return rows.select("path", F.col("line").cast("int").alias("line"), F.lit(rule).alias("rule"), label.alias("label"), match.alias("match"), (F.lit(None) if fix is None else fix).cast("string").alias("fix"))
+def _sentence(t: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(root, imperative)`` for a sentence of three words or more: its root, and whether it is an instruction."""
+
+    def known(root: Column) -> Column:
+        subject = F.exists(t, lambda x: F.coalesce(x["dep"].isin("nsubj", "nsubjpass", "expl") & (x["head"] == root["i"]), F.lit(False)))
+        return body(root, F.coalesce(root["pos"].isin("VERB", "AUX") & (root["tag"] == "VB") & ~subject, F.lit(False)))
+
+    words = F.size(F.filter(t, lambda x: ~x["is_space"] & ~x["is_punct"]))
+    return F.when(words >= 3, let(_first(t, lambda x: x["head"] == x["i"]), known))
 
 
 def sentence_length(tokens: DataFrame) -> DataFrame:
-    limit = F.when(F.col("imperative"), 20).otherwise(25)
-    rows = sentences(tokens).withColumn("n", sentence_words(F.col("sent_text"))).withColumn("most", limit).where("n > most")
-    kind = F.when(F.col("imperative"), "instruction").otherwise("description")
-    return _found(rows, "T-M1", F.format_string("%d-word %s, limit %d", F.col("n"), kind, F.col("most")), one_line(strip(F.col("sent_text"))))
+    rows = gathered(tokens, *KEY).withColumn("n", sentence_words(F.col("sent_text"))).where("n > 20")  # the lower limit
+    of = lambda t: _sentence(t, lambda _, told: F.struct(told.alias("told")))
+    rows = rows.select("path", "line", "sent_text", "n", F.inline(F.array_compact(F.array(let(F.col("tokens"), of))))).where("told OR n > 25")
+    kind, most = F.when(F.col("told"), "instruction").otherwise("description"), F.when(F.col("told"), 20).otherwise(25)
+    return rows.select(*_found("path", F.col("line"), "T-M1", F.format_string("%d-word %s, limit %d", F.col("n"), kind, most), one_line(strip(F.col("sent_text")))))
 
 
 def one_instruction(tokens: DataFrame) -> DataFrame:
-    extra = tokens.where("dep = 'conj' AND tag = 'VB'").select(*KEY, "i", "text", "head")
-    rows = sentences(tokens).where("imperative").join(extra.withColumnsRenamed({"i": "e_i", "text": "e_text", "head": "e_head"}), KEY).where("e_head = root.i")
-    rows = rows.groupBy(*KEY).agg(F.first("line").alias("line"), F.first("sent_text").alias("sent_text"), F.first("root.text").alias("r"), F.sort_array(F.collect_list(F.struct("e_i", "e_text"))).alias("more"))
-    verbs = F.array_join(F.concat(F.array("r"), F.transform("more", lambda x: x["e_text"])), ", ")
-    return _found(rows, "T-M2", F.format_string("%d instructions (%s)", F.size("more") + 1, verbs), one_line(F.col("sent_text")))
+    def hit(t: Column) -> Column:
+        def more(root: Column, told: Column) -> Column:
+            others = F.filter(t, lambda x: (x["dep"] == "conj") & (x["tag"] == "VB") & (x["head"] == root["i"]))
+            return F.when(told, let(others, lambda o: F.when(F.size(o) > 0, F.struct((F.size(o) + 1).alias("n"), F.array_join(F.concat(F.array(root["text"]), F.transform(o, lambda x: x["text"])), ", ").alias("verbs")))))
+
+        return _sentence(t, more)
+
+    rows = _each(gathered(tokens, *KEY), hit)
+    return rows.select(*_found("path", F.col("line"), "T-M2", F.format_string("%d instructions (%s)", "n", "verbs"), one_line(F.col("sent_text"))))
 
 
 def simple_tenses(tokens: DataFrame) -> DataFrame:
-    ahead = W.partitionBy(*KEY).orderBy("i").rowsBetween(1, 3)
-    rows = tokens.withColumn("next", F.collect_list(F.struct("tag", "text")).over(ahead))
-    rows = rows.withColumn("hit", F.get(F.filter("next", lambda x: x["tag"] == "VBN"), F.lit(0)))
-    rows = rows.where(F.lower("text").isin(HAVE) & F.col("pos").isin("AUX", "VERB") & F.col("hit").isNotNull())
-    first = rows.groupBy(*KEY).agg(F.min_by(F.struct("text", F.col("hit.text").alias("hit")), "i").alias("x"))
-    rows = sentences(tokens).join(first, KEY)
-    return _found(rows, "T-M4", F.format_string("perfect tense (%s %s)", "x.text", "x.hit"), one_line(F.col("sent_text")))
+    def hit(t: Column) -> Column:
+        done = lambda k: _first(F.slice(t, k + 2, F.lit(3)), lambda y: y["tag"] == "VBN")
+        perfect = F.transform(t, lambda x, k: F.when(F.lower(x["text"]).isin(HAVE) & x["pos"].isin("AUX", "VERB"), F.struct(x["text"].alias("have"), done(k).alias("done"))))
+        return _sentence(t, lambda *_: _first(perfect, lambda x: x["done"].isNotNull()))
+
+    rows = _each(gathered(tokens, *KEY), hit)
+    return rows.select(*_found("path", F.col("line"), "T-M4", F.format_string("perfect tense (%s %s)", "have", "done.text"), one_line(F.col("sent_text"))))
 
 
 def ing_main_verb(tokens: DataFrame) -> DataFrame:
-    rows = sentences(tokens).where("root.tag = 'VBG'")
-    return _found(rows, "T-M5", F.format_string("-ing main verb (%s)", "root.text"), one_line(F.col("sent_text")))
+    rows = _each(gathered(tokens, *KEY), lambda t: _sentence(t, lambda root, _: F.when(root["tag"] == "VBG", F.struct(root["text"].alias("verb")))))
+    return rows.select(*_found("path", F.col("line"), "T-M5", F.format_string("-ing main verb (%s)", "verb"), one_line(F.col("sent_text"))))
 
 
 def noun_clusters(tokens: DataFrame) -> DataFrame:
@@ -175,7 +206,7 @@ def noun_clusters(tokens: DataFrame) -> DataFrame:
     nouns = nouns.withColumn("island", F.col("at") - F.row_number().over(W.partitionBy("path", "chunk").orderBy("i")))
     runs = nouns.groupBy("path", "chunk", "island").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.min_by("line", "i").alias("line"), F.sort_array(F.collect_list(F.struct("i", "text"))).alias("words")).where("n > 3")
     best = runs.groupBy("path", "chunk").agg(F.max_by(F.struct("n", "line", "words"), F.struct("n", (-F.col("first")).alias("f"))).alias("x")).select("path", "x.*")
-    return _found(best, "T-M7", F.format_string("%d nouns in a row", "n"), F.array_join(F.transform("words", lambda x: x["text"]), " "))
+    return best.select(*_found("path", F.col("line"), "T-M7", F.format_string("%d nouns in a row", "n"), F.array_join(F.transform("words", lambda x: x["text"]), " ")))
 
 
 def non_imperative(items: DataFrame) -> DataFrame:
@@ -183,20 +214,27 @@ def non_imperative(items: DataFrame) -> DataFrame:
 
     Fires on "you" or "we" as subject of a verb with a modal auxiliary.
     """
-    key = ["path", "text_line"]
-    subject = items.where((F.col("dep") == "nsubj") & F.lower("text").isin("you", "we")).groupBy(*key).agg(F.min_by(F.struct("text", "head", "sent_text"), "i").alias("s"))
-    modal = items.where(F.col("dep").isin("aux", "auxpass") & F.lower("text").isin(MODALS)).select(*key, F.struct("i", "text").alias("m"), F.col("head").alias("m_head"))
-    rows = subject.join(modal, key).where("m_head = s.head").groupBy(*key).agg(F.first("s").alias("s"), F.min("m").alias("m"))
-    heads = items.select(*key, F.col("i").alias("h_i"), F.col("text").alias("h_text"))
-    rows = rows.join(heads, key).where("h_i = s.head").withColumn("line", F.col("text_line"))
-    fix = F.concat(F.upper(F.substring("h_text", 1, 1)), F.lower(F.expr("substring(h_text, 2)")), F.lit(" ..."))
-    return _found(rows, "T-M10", F.format_string("non-imperative instruction (%s %s)", "s.text", "m.text"), strip(F.substring("s.sent_text", 1, 70)), fix)
+
+    def hit(t: Column) -> Column:
+        def of(s: Column) -> Column:
+            modal = _first(t, lambda x: x["dep"].isin("aux", "auxpass") & F.lower(x["text"]).isin(MODALS) & (x["head"] == s["head"]))
+            verb = _first(t, lambda x: x["i"] == s["head"])
+            return let(F.struct(modal.alias("m"), verb.alias("h")), lambda x: F.when(x["m"].isNotNull() & x["h"].isNotNull(), F.struct(s["text"].alias("subject"), x["m"]["text"].alias("modal"), x["h"]["text"].alias("verb"))))
+
+        return let(_first(t, lambda x: (x["dep"] == "nsubj") & F.lower(x["text"]).isin("you", "we")), of)
+
+    rows = _each(gathered(items, "path", "text_line"), hit)
+    fix = F.concat(F.upper(F.substring("verb", 1, 1)), F.lower(F.expr("substring(verb, 2)")), F.lit(" ..."))
+    return rows.select(*_found("path", F.col("line"), "T-M10", F.format_string("non-imperative instruction (%s %s)", "subject", "modal"), strip(F.substring("sent_text", 1, 70)), fix))
 
 
 def passive_voice(tokens: DataFrame) -> DataFrame:
-    first = tokens.where(F.col("dep").isin("nsubjpass", "auxpass")).groupBy(*KEY).agg(F.min_by("head", "i").alias("of"))
-    rows = sentences(tokens).join(first, KEY).join(tokens.select(*KEY, F.col("i").alias("h_i"), F.col("text").alias("h_text")), KEY).where("h_i = of")
-    return _found(rows, "W-M11", F.format_string("passive clause (%s)", "h_text"), one_line(F.col("sent_text")))
+    def hit(t: Column) -> Column:
+        first = _first(t, lambda x: x["dep"].isin("nsubjpass", "auxpass"))
+        return _sentence(t, lambda *_: let(first, lambda f: _first(t, lambda x: x["i"] == f["head"])))
+
+    rows = _each(gathered(tokens, *KEY), hit)
+    return rows.select(*_found("path", F.col("line"), "W-M11", F.format_string("passive clause (%s)", "text"), one_line(F.col("sent_text"))))
 
 
 PARSE_RULES = {"T-M1": sentence_length, "T-M2": one_instruction, "T-M4": simple_tenses, "T-M5": ing_main_verb, "T-M7": noun_clusters, "W-M11": passive_voice}

@@ -23,6 +23,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to as many tasks as a shuffle has: a file of one row group is read by one task, which would do all
+    work in the row alone. Rows go round, so no key decides where they are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def purge(spark: SparkSession) -> None:
     """Delete what this application wrote on the way, once its results are elsewhere. DataFrames made before can no longer be read."""
     at = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -8,12 +8,15 @@ and sentence of the table takes part, and both engines make the same table.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.spans import running
+from ..functions.text import let
 from ..operators import parse_rules as P
 
 PIECE = r"[A-Za-z]+|[.!?]|\n"
+#: The k-th match has k marks before it.
+SENTENCE = r"[^.!?]*[.!?]|[^.!?]+"
 #: By the first two digits of a word's digest, below the number: what the word is replaced by, so that every rule has words to look for.
 WORDS = [(6, "have"), (10, "had"), (16, "you"), (22, "we"), (30, "should"), (36, "must")]
 #: By the third digit, up to the number: part of speech and tag.
@@ -22,40 +25,64 @@ TAGS = [(5, "NOUN", "NN"), (6, "PROPN", "NNP"), (8, "VERB", "VB"), (9, "VERB", "
 DEPS = [(1, "nsubj"), (2, "nsubjpass"), (3, "auxpass"), (5, "conj"), (7, "aux"), (8, "expl"), (15, "dep")]
 
 
-def _digit(digest: Column, at: int, n: int = 1) -> Column:
-    return F.conv(F.substring(digest, at, n), 16, 10).cast("int")
+def _by(number: Column, table: list, place: int, size: int = 16) -> Column:
+    """The entry of the first row whose bound ``number`` (under ``size``) does not pass, as one look into an array."""
+    return F.get(F.array(*[F.lit(next((row[place] for row in table if n <= row[0]), None)).cast("string") for n in range(size)]), number)
 
 
-def _by(number: Column, table: list, place: int) -> Column:
-    out = F.lit(None).cast("string")
-    for row in reversed(table):
-        out = F.when(number <= row[0], row[place]).otherwise(out)
-    return out
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(path, sent, first, text_line, ws): a row a sentence, its words, marks and line ends as ``ws``, made in the document's row."""
+    cut = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SENTENCE), F.lit(0))
+    each = F.transform(cut, lambda s: F.regexp_extract_all(s, F.lit(PIECE), F.lit(0)))
+
+    def placed(all_: Column) -> Column:
+        size, ends = F.transform(all_, F.size), F.transform(all_, lambda ws: F.size(F.filter(ws, lambda w: w == "\n")))
+        return let(running(size), lambda n: let(running(ends), lambda m: F.transform(all_, lambda ws, k: F.struct((F.get(n, k) - F.size(ws)).alias("first"), (F.coalesce(F.get(m, k - 1), F.lit(0)) + 1).alias("text_line"), ws.alias("ws")))))
+
+    found = docs.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(let(each, placed)).alias("sent", "x"))
+    return found.select("path", "sent", "x.*").where(F.size("ws") > 0)
+
+
+def _tokens(*more: str) -> Column:
+    """The array of a sentence's tokens, out of the columns of :func:`_pieces`; ``more``: ``line`` and ``chunk``."""
+    n, first = F.size("ws"), F.col("first")
+    root = (first + F.conv(F.substring(F.md5(F.concat_ws(":", "path", F.col("sent").cast("string"))), 1, 4), 16, 10).cast("int") % n).cast("int")
+
+    def token(w: Column, k: Column, root: Column, lines: Column | None) -> Column:
+        def made(h: Column) -> Column:
+            digits = lambda at, many=1: F.shiftright(h, 4 * (10 - at - many)).bitwiseAND((1 << 4 * many) - 1).cast("int")
+            i, at = (first + k).cast("int"), (first + digits(5, 4) % n).cast("int")
+            space, punct = w == "\n", w.isin(".", "!", "?")
+            other = lambda value, a, b: F.when(space, a).when(punct, b).otherwise(value)
+            fields = {
+                "i": i, "text": other(F.coalesce(_by(digits(1, 2), [(k - 1, w) for k, w in WORDS], 1, 256), w), w, w),
+                "pos": other(_by(digits(3), TAGS, 1), "SPACE", "PUNCT"), "tag": other(_by(digits(3), TAGS, 2), "_SP", "."),
+                "dep": F.when(i == root, "ROOT").otherwise(_by(digits(4), DEPS, 1)), "head": F.when((at == i) | (i == root), root).otherwise(at), "is_space": space, "is_punct": punct,
+            }
+            if more:
+                fields |= {"line": (F.col("text_line") + F.get(lines, k) - space.cast("int")).cast("int"), "chunk": F.when(digits(9) >= 3, F.floor(i / 9).cast("int"))}
+            return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+        return let(F.conv(F.substring(F.md5(F.lower(w)), 1, 9), 16, 10).cast("long"), made)
+
+    lines = running(F.transform("ws", lambda w: (w == "\n").cast("int"))) if more else F.lit(None).cast("array<int>")
+    return let(root, lambda r: let(lines, lambda m: F.transform("ws", lambda w, k: token(w, k, r, m))))
+
+
+def sentence_table(docs: DataFrame) -> DataFrame:
+    """``parse_rules.SENTENCES`` for documents (doc_id, text): a row a sentence with its tokens, made in the document's row."""
+    return _pieces(docs).select("path", "sent", "text_line", F.array_join("ws", " ").alias("sent_text"), _tokens().alias("tokens"))
 
 
 def token_table(docs: DataFrame) -> DataFrame:
-    """``parse_rules.TOKENS`` for documents (doc_id, text): words, marks that end a sentence, and line ends."""
-    words = docs.select(F.col("doc_id").cast("string").alias("path"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PIECE), F.lit(0)).alias("ws"))
-    rows = words.select("path", F.posexplode("ws").alias("i", "w")).withColumns({"is_space": F.col("w") == "\n", "is_punct": F.col("w").isin(".", "!", "?")})
-    before = W.partitionBy("path").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumns({"sent": F.coalesce(F.count_if("is_punct").over(before), F.lit(0)).cast("int"), "line": (F.coalesce(F.count_if("is_space").over(before), F.lit(0)) + 1).cast("int"), "h": F.md5(F.lower("w"))})
-    own = W.partitionBy("path", "sent")
-    rows = rows.withColumns({"first": F.min("i").over(own), "n": F.count("*").over(own), "text_line": F.min("line").over(own), "all": F.collect_list("w").over(own.orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    root = (F.col("first") + _digit(F.md5(F.concat_ws(":", "path", F.col("sent").cast("string"))), 1, 4) % F.col("n")).cast("int")
-    at = (F.col("first") + _digit(F.col("h"), 5, 4) % F.col("n")).cast("int")
-    rows = rows.withColumns({"root": root, "at": at, "plain": ~F.col("is_space") & ~F.col("is_punct")})
-    other = lambda value, space, punct: F.when(F.col("is_space"), space).when(F.col("is_punct"), punct).otherwise(value)
-    text = F.when(F.col("plain"), F.coalesce(_by(_digit(F.col("h"), 1, 2), [(k - 1, w) for k, w in WORDS], 1), F.col("w"))).otherwise(F.col("w"))
-    kind = _digit(F.col("h"), 3)
-    return rows.select(
-        "path", "text_line", "sent", F.array_join("all", " ").alias("sent_text"), "i", "line", text.alias("text"), other(_by(kind, TAGS, 1), "SPACE", "PUNCT").alias("pos"), other(_by(kind, TAGS, 2), "_SP", ".").alias("tag"),
-        F.when(F.col("i") == F.col("root"), "ROOT").otherwise(_by(_digit(F.col("h"), 4), DEPS, 1)).alias("dep"), F.when(F.col("at") == F.col("i"), F.col("root")).when(F.col("i") == F.col("root"), F.col("root")).otherwise(F.col("at")).alias("head"),
-        F.when(_digit(F.col("h"), 9) >= 3, F.floor(F.col("i") / 9).cast("int")).alias("chunk"), "is_space", "is_punct",
-    )
+    """``parse_rules.TOKENS`` for documents (doc_id, text): words, marks that end a sentence, and line ends. A sentence's text is on its first token."""
+    rows = _pieces(docs).select("path", "sent", "text_line", "first", F.array_join("ws", " ").alias("said"), F.inline(_tokens("line", "chunk")))
+    names = [c.split()[0] for c in P.TOKENS.split(", ")]
+    return rows.withColumn("sent_text", F.when(F.col("i") == F.col("first"), F.col("said"))).select(*names)
 
 
 def item_table(tokens: DataFrame) -> DataFrame:
-    """The sentences of a token table as items, each with a line of its own."""
+    """The sentences of a token table, or of a table of sentences, as items, each with a line of its own."""
     return tokens.withColumn("text_line", F.col("sent"))
 
 
