@@ -16,6 +16,8 @@ from .text import let, one_line
 
 #: Most pieces of a text that are appended one by one.
 APPENDED = 64
+#: Numbers that are summed one by one.
+BLOCK = 16
 MATCH = "array<struct<start:int,stop:int,line:int,hit:string>>"
 #: A fence opens at the start of a line and closes at the next fence of its kind, else at the end of the text.
 FENCE = r"(?smd)^[ \t]*(```+|~~~+).*?(?:\1|\z)"
@@ -33,8 +35,7 @@ def _pieces(text: Column, regex: str) -> Column:
     return F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.concat(hits, F.array(F.lit(""))).alias("hit"))
 
 
-def running(values: Column) -> Column:
-    """Sums of an array of whole numbers from its first element on, by doubling steps: n log n, without appending."""
+def _doubled(values: Column) -> Column:
     steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
 
     def add(sums: Column, k: Column) -> Column:
@@ -44,27 +45,46 @@ def running(values: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), steps - 1), values, add)
 
 
-def find_all(text: Column, regex: str) -> Column:
-    """Leftmost non-overlapping matches as (start, stop, line, hit): code points from 0, lines from 1."""
-    none = F.array().cast(MATCH)
+def running(values: Column) -> Column:
+    """Sums of an array of ints from its first element on: appended within blocks of ``BLOCK``, whose totals are summed by
+    doubling steps. Neither is the square of the length, and only one element in ``BLOCK`` takes part in the steps."""
+    none = F.array().cast("array<int>")
+
+    def block(x: Column) -> Column:
+        append = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"] + v)).alias("out"))
+        return F.aggregate(x, F.struct(F.lit(0).alias("at"), none.alias("out")), append)
+
+    def joined(blocks: Column) -> Column:
+        return let(_doubled(F.transform(blocks, lambda x: x["at"])), lambda t: F.flatten(F.transform(blocks, lambda x, k: F.transform(x["out"], lambda v: v + F.coalesce(F.get(t, k - 1), F.lit(0))))))
+
+    def dealt(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK))
+        return let(F.transform(starts, lambda k: block(F.slice(v, k, F.lit(BLOCK)))), joined)
+
+    return let(values, dealt)
+
+
+def find_all(text: Column, regex: str, lined: bool = True) -> Column:
+    """Leftmost non-overlapping matches as (start, stop, line, hit): code points from 0, lines from 1, or null unless ``lined``."""
+    none, none_yet = F.array().cast(MATCH), F.lit(None).cast("int")
 
     def add(acc: Column, x: Column) -> Column:
-        start, line = acc["at"] + F.length(x["gap"]), acc["line"] + newlines(x["gap"])
+        start, line = acc["at"] + F.length(x["gap"]), acc["line"] + newlines(x["gap"]) if lined else none_yet
         stop = start + F.length(x["hit"])
         found = F.array(F.struct(start.alias("start"), stop.alias("stop"), line.alias("line"), x["hit"].alias("hit"))).cast(MATCH)
-        return F.struct(stop.alias("at"), (line + newlines(x["hit"])).alias("line"), F.when(x["hit"] != "", F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        return F.struct(stop.alias("at"), (line + newlines(x["hit"]) if lined else none_yet).alias("line"), F.when(x["hit"] != "", F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
     def few(p: Column) -> Column:
-        return F.aggregate(p, F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out")), add, lambda a: a["out"])
+        return F.aggregate(p, F.struct(F.lit(0).alias("at"), (F.lit(1) if lined else none_yet).alias("line"), none.alias("out")), add, lambda a: a["out"])
 
     def many(p: Column) -> Column:
         ends = running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
-        lines = running(F.transform(p, lambda x: newlines(x["gap"]) + newlines(x["hit"])))
+        lines = running(F.transform(p, lambda x: newlines(x["gap"]) + newlines(x["hit"]))) if lined else F.array().cast("array<int>")
         placed = let(ends, lambda e: let(lines, lambda n: F.transform(p, lambda x, i: place(x, F.get(e, i), F.get(n, i)))))
         return F.filter(placed, lambda x: x["hit"] != "").cast(MATCH)
 
     def place(x: Column, stop: Column, n: Column) -> Column:
-        return F.struct((stop - F.length(x["hit"])).alias("start"), stop.alias("stop"), (n - newlines(x["hit"]) + 1).alias("line"), x["hit"].alias("hit"))
+        return F.struct((stop - F.length(x["hit"])).alias("start"), stop.alias("stop"), (n - newlines(x["hit"]) + 1 if lined else none_yet).alias("line"), x["hit"].alias("hit"))
 
     pieces = F.transform(_pieces(text, regex), lambda x: F.struct(F.coalesce(x["gap"], F.lit("")).alias("gap"), F.coalesce(x["hit"], F.lit("")).alias("hit")))
     # Both give the same; appending is quicker for a few matches and takes the square of many.

@@ -49,7 +49,7 @@ def item_texts(docs: DataFrame) -> DataFrame:
 def breaks(docs: DataFrame) -> DataFrame:
     """(path, at): places, in code points, where a sentence must start: after a blank line, and where a list item's marker ends."""
     coded = strip_code(F.coalesce("text", F.lit("")))
-    after = lambda text, regex: F.transform(find_all(text, regex), lambda x: x["stop"])
+    after = lambda text, regex: F.transform(find_all(text, regex, lined=False), lambda x: x["stop"])
     return docs.select("path", F.explode(F.array_distinct(F.concat(after(strip_markup(coded), BLANK_LINES), after(coded, ITEM_MARK)))).alias("at"))
 
 
