@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from .text import STOPWORDS
 
 #: Tokens that are looked at together; a longer list is a lot of its own.
-LOT = 500_000
+LOT = 1_000_000
 
 
 class Found(NamedTuple):
