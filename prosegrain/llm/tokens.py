@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,9 @@ LOT_BYTES = 1 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 FOLD[[ord(c) for c in "\t\n\r"]] = ord(" ")
-#: Words of letters whose case is folded go to the model at once; their other steps change nothing but the alphabet.
-LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
+#: Words of ASCII and Latin-1 letters go to the model at once, as their other steps change nothing but case and alphabet;
+#: ASCII symbols behind them, if there are any, are a piece of their own.
+LETTERS = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
 #: Stands between words that are encoded together; one token, and never part of another as blanks surround it.
 BETWEEN = "\x01"
 
@@ -55,9 +57,9 @@ class WordEncoder:
     Only for a tokenizer that folds case, drops white space and keeps letters
     and punctuation in separate tokens, as ``word_bpe_49k`` does: then the ids
     of a text are those of its pieces between blanks, tabs and line ends, in
-    order, and a full stop or comma that ends a piece after a letter or digit
-    is a token of its own. Anything else inside a piece is left to the
-    tokenizer.
+    order, a full stop or comma that ends a piece after a letter or digit is a
+    token of its own, and so are the ids of symbols that end a piece of
+    letters. Anything else inside a piece is left to the tokenizer.
     """
 
     def __init__(self, path: str, keep_old: bool = True):
@@ -67,6 +69,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Ids are kept in as few bytes as the vocabulary needs.
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        #: Writes so many ids; longer words are few.
+        self.pack = [struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(32)]
         self.keep_old = keep_old
         self.forget()
         (self.between,) = self._ids(BETWEEN)
@@ -84,7 +88,7 @@ class WordEncoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, self.dtype).tobytes()
 
     def _letters(self, word: str) -> bytes:
         return self._bytes([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.alphabet))])
@@ -105,25 +109,33 @@ class WordEncoder:
 
     def _learn(self, names: list[str], held: list[bytes | None]) -> None:
         """Fill in the ids of the names that the cache does not hold."""
-        cache, old, later = self.cache, self.old, []
+        cache, old, later, match = self.cache, self.old, [], LETTERS.match if self.direct else lambda w: None
         for k, w in enumerate(names):
             if held[k] is not None:
                 continue
             ids = old.get(w) if old else None
-            if ids is None:
-                # Case is folded here only where it is the same for every reader: no Latin-1 letter's case depends on its neighbours.
+            if ids is None and (found := match(w)):
+                stem, tail = found.groups()
+                if not stem.isascii():
+                    # Case is folded here only where it is the same for every reader: no Latin-1 letter's case depends on its neighbours.
+                    stem = stem.lower()
+                if stem != w:
+                    ids = cache.get(stem) or (old.get(stem) if old else None)
+                if ids is None:
+                    ids = cache[stem] = self._letters(stem)
+                if tail:
+                    end = cache.get(tail)
+                    if end is None:
+                        end = cache[tail] = self._bytes(self._ids(tail))
+                    ids += end
+            elif ids is None:
                 stem, end = w if w.isascii() or max(w) > "\xff" else w.lower(), b""
                 if stem[-1] in ".," and stem[-2:-1].isalnum() and stem[-2] <= "\xff":
                     stem, end = stem[:-1], self.ends[stem[-1]]
-                if stem is not w:
-                    ids = cache.get(stem) or (old.get(stem) if old else None)
+                ids = cache.get(stem) or (old.get(stem) if old else None)
                 if ids is None:
-                    if not (self.direct and LETTERS.match(stem)):
-                        later.append((k, stem, end))
-                        continue
-                    ids = self._letters(stem)
-                    if stem is not w:
-                        cache[stem] = ids
+                    later.append((k, stem, end))
+                    continue
                 ids += end
             held[k] = cache[w] = ids
         if later:
@@ -143,7 +155,7 @@ class WordEncoder:
         folded = pa.StringArray.from_buffers(n, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(data))
         pieces = pc.split_pattern(folded, " ")
         words = pieces.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
         if len(self.cache) + len(names) > CACHE_WORDS:
             full = self.cache
             self.forget()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("prosegrain.llm")
 from prosegrain.llm import ans, packing, token_files
 from prosegrain.llm.common import new_path
-from prosegrain.llm.tokens import default_path, encoder
+from prosegrain.llm.tokens import WordEncoder, default_path, encoder
 
 TEXTS = [None, "", " ", "One two. Three, four!", "a" * 500, "word " * 9000, "x.. y., z_. a). b... c.\x85d \x1ce. f ́. g .", "\x01 a\x01b ΑΣ. É.\nÀ,\tn° 5.", "<|endoftext|> 's DON'T ÅÅ ①²½ İI ß ς Σ 1234 !!??", "One two. Three, four!"]
 
@@ -29,6 +29,18 @@ def test_words_give_the_ids_of_the_text(text):
     assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_symbols_behind_letters_are_encoded_once():
+    e, asked = WordEncoder(default_path()), []
+    plain = e._ids
+    e._ids = lambda text: asked.append(text) or plain(text)
+    tails = ["", ".", ",", "!!", "%%%", "'", "_)", "<|", "$|>"]
+    words = [w + t for w in ("the", "unheard", "Éÿß", "straße", "àb", "ÑANDÚ") for t in tails]
+    for text in (" ".join(words), " ".join(reversed(words))):  # the second from the cache
+        (ids,) = e.each(pa.array([text]))
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == sorted(tails[1:])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 3 * ans.LANES * 5), st.integers(1, 300), st.integers(0, 99))
 def test_ans_round_trip(n, symbols, seed):
